@@ -202,8 +202,8 @@ b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUV
 i AS (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS p FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS k FROM i),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT r, w, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0),
-hit AS (SELECT at.r, at.p, win.n, win.item_id FROM at, sizes JOIN win ON win.n = sizes.n AND win.k = array_to_string(at.w[at.p:at.p + sizes.n - 1], ' ') WHERE at.p + sizes.n - 1 <= len(at.w)),
+pos AS (SELECT r, w, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0),
+hit AS (SELECT pos.r, pos.p, win.n, win.item_id FROM pos CROSS JOIN sizes JOIN win ON win.n = sizes.n AND win.k = array_to_string(pos.w[pos.p:pos.p + sizes.n - 1], ' ') WHERE pos.p + sizes.n - 1 <= len(pos.w)),
 words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM hit) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
 SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
