@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .common import table
 from .fm_index import FMIndex
-from .vectext import hashes, runs
+from .vectext import hashes, lengths, runs
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # in UTF-8, of lower-cased text: the contract's class, byte by byte
 _IS_WORD = np.zeros(256, bool)
@@ -155,9 +155,8 @@ def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size_now = [], 0
         for batch in batches:
-            lens = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
             cut = 0
-            for i, n in enumerate(lens.tolist()):
+            for i, n in enumerate(lengths(batch.column("text")).tolist()):
                 size_now += n
                 if size_now >= shard_bytes:
                     yield shard(pa.Table.from_batches([*held, batch.slice(cut, i + 1 - cut)]))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, simhash, wavelet_tokens
 
-_MODULES = [decontaminate, simhash]
+_MODULES = [decontaminate, simhash, wavelet_tokens]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}

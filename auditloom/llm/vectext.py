@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _R = np.random.default_rng(20240607)
 _BYTE = _R.integers(0, 2**64, 65536, dtype=np.uint64) | np.uint64(1)
@@ -31,3 +33,17 @@ def hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int =
     out ^= lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     out ^= out >> np.uint64(29)
     return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def lengths(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text; null: 0."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+
+
+def cuts(texts: pa.Array, size: int) -> list[int]:
+    """Ends of slices of about `size` bytes."""
+    upto = np.cumsum(lengths(texts))
+    out: list[int] = []
+    while (done := out[-1] if out else 0) < len(upto):
+        out.append(max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + size, "right"))))
+    return out
