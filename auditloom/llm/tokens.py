@@ -35,18 +35,42 @@ class Encoder:
     points beyond Latin) are encoded whole.
     """
 
-    def __init__(self, definition: str, most_pieces: int = 400_000):
+    def __init__(self, definition: str, most_pieces: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[int, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.most = most_pieces
+        self.forget()
+
+    def forget(self) -> None:
+        """The pieces known so far: sorted hashes, and where the ids of each begin and end in a row of ids."""
+        self.known, self.begin, self.end, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16 if len(self.last) <= 1 << 16 else np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, names: np.ndarray, pieces: list[str], step: int = 500) -> None:
+        """Encodes pieces, many in one text with spaces between, and adds them to the known ones; names: their hashes."""
+        parts = [pieces[i : i + step] for i in range(0, len(pieces), step)]
+        all_ids, sizes = [], []
+        for part, ids in zip(parts, self.whole([" ".join(p) for p in parts]), strict=True):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # a vocabulary whose ids don't tell where pieces end
+                each = self.whole(part)
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            all_ids.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        ends = np.cumsum(np.concatenate(sizes)) + len(self.ids)
+        at = np.searchsorted(self.known, names)
+        self.begin = np.insert(self.begin, at, np.concatenate([[len(self.ids)], ends[:-1]]))
+        self.end, self.known = np.insert(self.end, at, ends), np.insert(self.known, at, names)
+        self.ids = np.concatenate([self.ids, *all_ids]).astype(self.ids.dtype)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
         plain = np.array(["'" not in t and not any(s in t for s in self.special) for t in texts], bool)
@@ -67,20 +91,17 @@ class Encoder:
         lower = _LOWER[units]
         h = hashes(lower, starts, ends)
         different, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        names = different.tolist()
         if len(self.known) > self.most:
-            self.known.clear()
-        fresh = [i for i, x in enumerate(names) if x not in self.known]
-        pieces = [lower[starts[at[i]] : ends[at[i]]].astype("<u2").tobytes().decode("utf-16-le") for i in fresh]
-        for i, ids in zip(fresh, self.whole(pieces), strict=True):
-            self.known[names[i]] = ids
-        table = [self.known[x] for x in names]
-        size = np.array([len(x) for x in table], np.int64)
-        flat = np.concatenate([*table, np.zeros(0, np.uint32)])
-        begin = np.cumsum(size) - size
-        n = size[inverse]
-        total = int(n.sum())
-        ids = flat[np.arange(total) + np.repeat(begin[inverse] - (np.cumsum(n) - n), n)]
+            self.forget()
+        where = np.searchsorted(self.known, different)
+        fresh = np.ones(len(different), bool)
+        fresh[where < len(self.known)] = self.known[where[where < len(self.known)]] != different[where < len(self.known)]
+        if fresh.any():
+            text = lower.astype("<u2").tobytes().decode("utf-16-le")  # one unit each, so that places stay
+            self.learn(different[fresh], [text[a:b] for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)])
+            where = np.searchsorted(self.known, different)
+        n = (self.end[where] - self.begin[where])[inverse]
+        ids = self.ids[np.arange(int(n.sum())) + np.repeat(self.begin[where][inverse] - (np.cumsum(n) - n), n)]
         counts = np.bincount(of, weights=n, minlength=len(texts)).astype(np.int64)
         rest = np.flatnonzero(~plain)
         if not len(rest):
