@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix, simhash, wavelet_tokens
+from . import decontaminate, lines, mix, simhash, wavelet_tokens
 
-_MODULES = [decontaminate, simhash, wavelet_tokens, mix]
+_MODULES = [decontaminate, simhash, lines, wavelet_tokens, mix]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}
