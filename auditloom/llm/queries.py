@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lines, mix, simhash, toxicity, wavelet_tokens
+from . import decontaminate, langid, lines, mix, secrets, simhash, toxicity, wavelet_tokens
 
-_MODULES = [decontaminate, langid, toxicity, simhash, lines, wavelet_tokens, mix]
+_MODULES = [decontaminate, langid, secrets, toxicity, simhash, lines, wavelet_tokens, mix]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}
