@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lines, mix, secrets, simhash, toxicity, wavelet_tokens
+import corpus_pipeline
 
-_MODULES = [decontaminate, langid, secrets, toxicity, simhash, lines, wavelet_tokens, mix]
-QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+from . import decontaminate, langid, licences, lines, media, mix, secrets, simhash, toxicity, wavelet_tokens
+
+_MODULES = [decontaminate, langid, secrets, toxicity, licences, simhash, media, lines, wavelet_tokens, mix]
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
