@@ -1,7 +1,296 @@
-"""All registered queries of the library proper, and their SQL."""
+"""All registered queries of the library proper, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..operators import correlate, findings, graph, sequence, source_text
+from . import bindings as B
+
+FLAGSHIP = "td_findings_dedup"
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers the function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+RANK = "CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {B.FINDINGS_SQL}, k AS (SELECT *, {B.CATEGORY_SQL} AS category, replace(file, 'contracts/', '') AS at_file, line // 5 AS bucket, {B.PRIORITY_SQL} AS priority FROM findings),
+r AS (SELECT *, row_number() OVER (PARTITION BY category, at_file, bucket ORDER BY priority DESC, ord) AS n FROM k) SELECT category, at_file, CAST(bucket AS BIGINT) AS bucket, ord, scanner_id, severity, confidence, score, file, line, function, priority FROM r WHERE n = 1""")
+def td_findings_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return findings.deduplicated(B.findings(spark, d))
+
+
+@query(f"""WITH {B.FINDINGS_SQL}, k AS (SELECT count(*) AS a, count(DISTINCT ({B.CATEGORY_SQL}, file, line // 5)) AS b FROM findings) SELECT a AS original, b AS deduplicated, a - b AS removed, CASE WHEN a > 0 THEN round(100.0 * (a - b) / a, 4) ELSE 0 END AS reduction FROM k""")
+def td_dedup_stats(spark: SparkSession, d: str) -> DataFrame:
+    return findings.dedup_stats(B.findings(spark, d))
+
+
+@query(f"""WITH {B.FINDINGS_SQL} SELECT scanner_id, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(*) FILTER (severity = 'Informational') AS informational, count(*) AS total FROM findings GROUP BY scanner_id""")
+def td_severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    return findings.severity_counts(B.findings(spark, d), "scanner_id")
+
+
+@query(f"""WITH {B.FINDINGS_SQL} SELECT ord, severity, score FROM findings WHERE {RANK} >= 3 AND score >= 0.6""")
+def td_min_severity_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return findings.at_least(B.findings(spark, d), "High", 0.6).select("ord", "severity", "score")
+
+
+@query(f"""WITH {B.FINDINGS_SQL} SELECT ord, {B.PRIORITY_SQL} AS priority FROM findings QUALIFY row_number() OVER (PARTITION BY file ORDER BY {B.PRIORITY_SQL} DESC, ord) <= 5""")
+def td_top_per_file(spark: SparkSession, d: str) -> DataFrame:
+    """The five findings of the highest priority of each file (a top-k report)."""
+    f = B.findings(spark, d).withColumn("priority", rules.priority(F.col("severity"), F.col("confidence")))
+    return f.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("priority"), "ord"))).where("n <= 5").select("ord", "priority")
+
+
+@query(f"""WITH {B.FINDINGS_SQL} SELECT ord, function FROM findings WHERE NOT (score < 0.3 OR lower(function) LIKE 'get%' OR lower(function) LIKE 'has%' OR lower(function) LIKE 'can%' OR lower(function) LIKE 'check%' OR (lower(function) LIKE 'is%' AND (scanner_id <> 'simple-timestamp' OR {RANK} < 3)) OR (severity = 'Informational' AND confidence = 'Low'))""")
+def td_suppression(spark: SparkSession, d: str) -> DataFrame:
+    f = B.findings(spark, d)
+    return f.where(~rules.suppressed(F.col("score"), F.col("function"), F.col("scanner_id"), F.col("severity"), F.col("confidence"))).select("ord", "function")
+
+
+@query("""WITH c AS (SELECT p_partkey, (['Token', 'MockToken', 'SafeVault', 'Vault', 'PoolExample', 'TestPool'])[CAST(p_partkey % 6 AS INT) + 1] || p_size AS a, (['Vault', 'VaultExample'])[CAST(p_partkey % 2 AS INT) + 1] AS b FROM part) SELECT p_partkey, regexp_matches(a, '^(Attack|Exploit|Test|Mock|Secure|Fixed|Safe|Example)|Example$') AS by_start, regexp_matches(b, '^(Attack|Exploit|Test|Mock|Secure|Fixed|Safe|Example)|Example$') AS by_end FROM c""")
+def td_skip_contracts(spark: SparkSession, d: str) -> DataFrame:
+    p = B.table(spark, d, "part")
+    a = F.concat(B.chosen(("Token", "MockToken", "SafeVault", "Vault", "PoolExample", "TestPool"), F.col("p_partkey")), F.col("p_size"))
+    return p.select("p_partkey", rules.skipped_contract(a).alias("by_start"), rules.skipped_contract(B.chosen(("Vault", "VaultExample"), F.col("p_partkey"))).alias("by_end"))
+
+
+@query("""WITH o AS (SELECT *, CAST(left(o_orderpriority, 1) AS INT) AS p, o_orderkey % 3 AS v, o_orderkey % 5 AS s, o_orderkey % 7 AS t FROM orders),
+a AS (SELECT *, least(5 - p + CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END, 4) AS r FROM o), b AS (SELECT *, least(r + CASE WHEN v < 2 THEN 1 ELSE 0 END, 4) AS r2 FROM a),
+c AS (SELECT *, CASE WHEN s = 0 AND t IN (0, 1) THEN 4 ELSE r2 END AS r3 FROM b) SELECT o_orderkey, (['Informational', 'Low', 'Medium', 'High', 'Critical'])[CASE WHEN t = 2 THEN greatest(r3 - 1, 0) ELSE r3 END + 1] AS severity FROM c""")
+def td_severity_rules(spark: SparkSession, d: str) -> DataFrame:
+    o, k = B.table(spark, d, "orders"), F.col("o_orderkey")
+    base = rules.severity_name(5 - F.substring("o_orderpriority", 1, 1).cast("int"))
+    contract = F.when(F.col("o_orderstatus") == "O", "TokenA").otherwise("PoolA")
+    scanner = F.when(k % 5 == 0, "reentrancy-simple").otherwise("other")
+    about = B.chosen(("a withdraw path", "a transfer path", "unused", "plain", "plain", "plain", "plain"), k)
+    return o.select("o_orderkey", rules.adjusted_severity(base, contract, B.chosen(B.VISIBILITY, k), scanner, about).alias("severity"))
+
+
+@query("""WITH p AS (SELECT event_id, user_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events) SELECT a.user_id AS file, count(*) AS pairs, round(sum(1 - abs(a.m - b.m) / 10.0), 4) AS score FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(a.m - b.m) < 10 GROUP BY 1""")
+def td_location_correlation(spark: SparkSession, d: str) -> DataFrame:
+    minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
+    e = B.table(spark, d, "events").select("event_id", "user_id", minute.alias("m"))
+    return correlate.near_pairs(e, "user_id", "m", "event_id").groupBy("file").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("score"), 4).alias("score"))
+
+
+_WORDS = r"list_distinct(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: strlen(w) > 3), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')))"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations), p AS (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w),
+s AS (SELECT conv_id, turn, len(list_intersect(w, b)) AS i, len(list_distinct(list_concat(w, b))) AS u FROM p WHERE b IS NOT NULL) SELECT conv_id, turn, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS similarity FROM s WHERE CASE WHEN u > 0 THEN i / u ELSE 0 END >= 0.21""")
+def td_semantic_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that share words with the turn before."""
+    c = B.table(spark, d, "conversations").select("conv_id", "turn", correlate.words(F.col("text")).alias("w"))
+    c = c.withColumn("b", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null").withColumn("s", correlate.jaccard(F.col("w"), F.col("b")))
+    return c.where("s >= 0.21").select("conv_id", "turn", F.round("s", 6).alias("similarity"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, avg(l_discount * 10) AS m FROM lineitem GROUP BY 1) SELECT l_orderkey, n, round(m, 6) AS mean, round(least(m * ln(n) / 10, 0.3), 6) AS boost, least(m * ln(n) / 10, 0.3) > 0.2 AS raised FROM g""")
+def td_confidence_boost(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.boosted(B.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") * 10).alias("s")), "l_orderkey", "s")
+
+
+@query("""SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag = 'N') = 2""")
+def td_cross_validated(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.cross_validated(B.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "N").alias("llm")), "l_orderkey", "llm")
+
+
+@query("""SELECT l_orderkey, arg_max(l_linenumber, (l_discount, -l_linenumber)) AS l_linenumber, round(least(max(l_discount) + 0.2 * avg(l_discount), 1), 6) AS l_discount, array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ',') AS l_suppkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS l_returnflag FROM lineitem GROUP BY 1""")
+def td_merged_groups(spark: SparkSession, d: str) -> DataFrame:
+    l = B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_suppkey", "l_returnflag")
+    return correlate.merged(l, "l_orderkey", "l_linenumber", "l_discount", "l_suppkey", "l_returnflag")
+
+
+BY, ORDER = ["user_id"], ["ts", "event_id"]
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+
+
+@query("""SELECT w.user_id, count(*) AS pairs, count(DISTINCT w.event_id) AS writes_after_call FROM events w JOIN events c ON c.user_id = w.user_id AND c.event_type = 'error' AND (c.ts, c.event_id) < (w.ts, w.event_id) WHERE w.event_type = 'purchase' GROUP BY 1""")
+def td_call_then_write(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.call_write_pairs(_events(spark, d), BY, ORDER, F.col("event_type") == "error", F.col("event_type") == "purchase")
+
+
+@query("""SELECT c.event_id, (SELECT arg_min(w.event_id, (w.ts, w.event_id)) FROM events w WHERE w.user_id = c.user_id AND w.event_type = 'purchase' AND (w.ts, w.event_id) > (c.ts, c.event_id)) AS first_write FROM events c WHERE c.event_type = 'error' AND EXISTS (SELECT 1 FROM events w WHERE w.user_id = c.user_id AND w.event_type = 'purchase' AND (w.ts, w.event_id) > (c.ts, c.event_id))""")
+def td_first_write_after_call(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return sequence.first_after(e, BY, ORDER, F.col("event_type") == "error", F.col("event_type") == "purchase", "event_id").select("event_id", "first_write")
+
+
+@query("""WITH r AS (SELECT *, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events), g AS (SELECT user_id, run, count(*) FILTER (event_type = 'view') AS c FROM r WHERE run > 0 GROUP BY 1, 2) SELECT user_id, count(*) AS calls, count(*) FILTER (c = 0) AS unchecked FROM g GROUP BY 1""")
+def td_unchecked_calls(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.unchecked_calls(_events(spark, d), BY, ORDER, F.col("event_type") == "click", F.col("event_type") == "view")
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS ops, count(*) FILTER (l_returnflag = 'R') AS loops FROM lineitem GROUP BY 1) SELECT *, CASE WHEN ops > 5 THEN 'gas-limit-dos' ELSE 'moderate-gas-dos' END AS finding_type, CASE WHEN ops <= 5 THEN 'Low' WHEN ops > 10 OR loops > 2 THEN 'High' ELSE 'Medium' END AS severity FROM g WHERE ops > 3 AND loops > 0""")
+def td_gas_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    g = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("ops"), F.count_if(F.col("l_returnflag") == "R").alias("loops"))
+    return sequence.gas_findings(g, "ops", "loops")
+
+
+@query("""WITH g AS (SELECT l_suppkey, count(*) FILTER (l_linestatus = 'O') AS stores FROM lineitem GROUP BY 1) SELECT l_suppkey, stores FROM g WHERE stores > 10""")
+def td_state_modifications(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_linestatus") == "O").alias("stores")).where("stores > 10")
+
+
+@query("""WITH x AS (SELECT (['mul', 'sub', 'add', 'div'])[l_linenumber % 4 + 1] AS op, l_returnflag = 'R' AS external, l_linestatus = 'O' AS in_loop FROM lineitem),
+y AS (SELECT *, CASE WHEN NOT external OR op = 'div' THEN NULL WHEN op = 'sub' OR (op = 'mul' AND in_loop) THEN 'High' ELSE 'Medium' END AS severity, CASE WHEN NOT external OR op = 'div' THEN NULL WHEN in_loop THEN 'High' ELSE 'Medium' END AS confidence FROM x) SELECT op, in_loop, severity, confidence, count(*) AS n FROM y WHERE severity IS NOT NULL GROUP BY ALL""")
+def td_overflow_matrix(spark: SparkSession, d: str) -> DataFrame:
+    x = B.table(spark, d, "lineitem").select(B.chosen(("mul", "sub", "add", "div"), F.col("l_linenumber")).alias("op"), (F.col("l_returnflag") == "R").alias("external"), (F.col("l_linestatus") == "O").alias("in_loop"))
+    severity, confidence = sequence.overflow_matrix(F.col("op"), F.col("external"), F.col("in_loop"))
+    return x.select("op", "in_loop", severity.alias("severity"), confidence.alias("confidence")).where("severity is not null").groupBy("op", "in_loop", "severity", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+EDGES_SQL = """e AS (SELECT DISTINCT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda name, a, x, b, y: B.table(spark, d, name).select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst")).distinct()
+    return t("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(t("supplier", "n", "s_nationkey", "s", "s_suppkey")).unionByName(t("lineitem", "s", "l_suppkey", "p", "l_partkey"))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT root, dst, depth + 1 FROM w JOIN e ON src = node WHERE depth < 20), m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2) SELECT root, CAST(depth AS BIGINT) AS depth, count(*) AS nodes FROM m GROUP BY ALL""")
+def td_call_depths(spark: SparkSession, d: str) -> DataFrame:
+    roots = B.table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("root"))
+    return graph.depths(_edges(spark, d), roots).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("""SELECT l_suppkey AS header, count(*) AS tails, max(l_partkey) AS last_tail FROM lineitem WHERE l_suppkey <= l_partkey GROUP BY 1""")
+def td_back_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.back_edges(B.table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+@query("""SELECT o_custkey, count(DISTINCT o_orderkey) AS callees, count(*) AS paths, count(*) FILTER (l_returnflag = 'R') AS external_paths FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def td_function_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as callees and their lines as paths: pre-aggregated before the join."""
+    l = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("p"), F.count_if(F.col("l_returnflag") == "R").alias("x"))
+    o = B.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("callees"), F.sum("p").alias("paths"), F.sum("x").alias("external_paths"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) SELECT doc_id, CAST(len(a) AS BIGINT) AS n_lines, md5(array_to_string(list_transform(a, lambda x, i: lpad(CAST(i AS VARCHAR), 4, ' ') || ' | ' || x), chr(10))) AS numbered FROM l""")
+def td_numbered_source(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.md5(source_text.numbered(F.col("text"))).alias("numbered"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), w AS (SELECT *, array_to_string(list(x) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), chr(10)) AS s FROM l) SELECT doc_id, line, md5(s) AS snippet FROM w WHERE regexp_matches(x, '(?i)licen[cs]e')""")
+def td_context_snippets(spark: SparkSession, d: str) -> DataFrame:
+    docs = B.table(spark, d, "documents")
+    hits = docs.where(F.col("text").rlike("(?i)licen[cs]e"))  # lines of others have no part in a hit's context
+    return source_text.context(source_text.lines(hits, "doc_id", "text"), "doc_id", F.col("line_text").rlike("(?i)licen[cs]e")).select("doc_id", "line", F.md5("snippet").alias("snippet"))
+
+
+@query(r"""SELECT page_id, CAST(length(html) AS BIGINT) AS before, md5(regexp_replace(regexp_replace(html, '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g')) AS stripped FROM pages""")
+def td_comment_strip(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("before"), F.md5(source_text.without_comments(F.col("html"))).alias("stripped"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CAST(strlen(text) // 4 AS BIGINT) AS tokens FROM conversations), r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM c) SELECT conv_id, turn, tokens, CAST(used AS BIGINT) AS used FROM r WHERE used <= 100""")
+def td_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that fit a budget of tokens, from the first on."""
+    c = B.table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.octet_length("text") / 4).cast("long").alias("tokens"))
+    return c.withColumn("used", F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("turn"))).where("used <= 100")
+
+
+@query("""SELECT event_type AS op, count(*) AS n, count(DISTINCT user_id) AS functions FROM events GROUP BY 1""")
+def td_opcode_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "events").groupBy(F.col("event_type").alias("op")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("functions"))
+
+
+@query("""SELECT conv_id, turn, md5(replace(replace('Role: {role}. Find faults in: {source}', '{role}', role), '{source}', text)) AS prompt FROM conversations""")
+def td_prompt_templates(spark: SparkSession, d: str) -> DataFrame:
+    prompt = F.replace(F.replace(F.lit("Role: {role}. Find faults in: {source}"), F.lit("{role}"), F.col("role")), F.lit("{source}"), F.col("text"))
+    return B.table(spark, d, "conversations").select("conv_id", "turn", F.md5(prompt).alias("prompt"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def td_json_from_prose(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON object within a text, parsed by a fixed schema."""
+    prose = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\n"))
+    return B.table(spark, d, "events").select("event_id", F.from_json(F.regexp_extract(prose, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), "k long")["k"].alias("k"))
+
+
+_T = {"x": B.sql_chosen(B.STATEMENTS, "event_id"), "f": B.sql_chosen(B.FUNCTION_NAMES, "user_id"), "m": B.sql_chosen(B.MUTABILITY, "event_id // 8")}
+
+
+@query(f"""WITH t AS (SELECT event_id, {_T['x']} AS x, {_T['f']} AS f, {_T['m']} AS m FROM events),
+b AS (SELECT *, x LIKE '%\\%%' ESCAPE '\\' AS md, x LIKE '%==%' OR x LIKE '%!=%' AS eq, x LIKE 'if %' OR x LIKE '% if %' AS i, x LIKE '%return %' AS ret, x LIKE '%keccak256%' OR x LIKE '%sha256%' AS kec, x LIKE '%require%' OR x LIKE '%revert%' AS req, x LIKE '% > %' OR x LIKE '% >= %' OR x LIKE '% < %' OR x LIKE '% <= %' AS cmp, x LIKE '%last%' OR x LIKE '%prev%' AS lp FROM t WHERE x LIKE '%block.timestamp%' OR x LIKE '%now%'),
+c AS (SELECT *, kec OR (md AND i) AS rnd, (req AND cmp) OR (req AND eq AND lp) AS safe, md OR eq OR i OR ret AS used FROM b WHERE NOT (x LIKE '%=%' AND NOT eq AND NOT i AND NOT ret AND NOT md)),
+s AS (SELECT *, CASE WHEN used AND rnd THEN 'High' WHEN used AND safe THEN 'Low' WHEN used AND md THEN 'High' ELSE 'Medium' END AS severity, CASE WHEN used AND rnd THEN 0.9 WHEN used AND safe THEN 0.4 WHEN used AND md THEN 0.85 WHEN used AND (i OR ret) THEN 0.7 ELSE 0.6 END AS score FROM c)
+SELECT event_id, severity, CAST(score AS DOUBLE) AS score FROM s WHERE NOT (regexp_matches(f, '^is[A-Z]') AND m IN ('view', 'pure') AND NOT rnd AND score < 0.7) AND NOT (m IN ('view', 'pure') AND score < 0.6)""")
+def td_timestamp_findings(spark: SparkSession, d: str) -> DataFrame:
+    e, k = B.table(spark, d, "events"), F.col("event_id")
+    lines = e.select("event_id", B.chosen(B.STATEMENTS, k).alias("x"), B.chosen(B.FUNCTION_NAMES, F.col("user_id")).alias("f"), B.chosen(B.MUTABILITY, F.expr("event_id div 8")).alias("m"))
+    return source_text.timestamp_findings(lines, "f", "m", F.col("x")).select("event_id", "severity", "score")
+
+
+_A = {"b": B.sql_chosen(B.BODIES, "o_orderkey"), "h": B.sql_chosen(B.HEADERS, "o_orderkey // 3"), "f": B.sql_chosen(B.FUNCTION_NAMES, "o_custkey"), "m": B.sql_chosen(B.MUTABILITY, "o_custkey // 2"), "v": B.sql_chosen(B.VISIBILITY, "o_custkey // 5")}
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, regexp_replace({_A['b']}, '/\\*.*?\\*/', '', 'g') AS b, {_A['h']} AS h, {_A['f']} AS f, {_A['m']} AS m, {_A['v']} AS v FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_matches(b, '\\.transfer\\(|\\.send\\(|\\.call\\{{value:') THEN 'unprotected-ether-withdrawal' WHEN b LIKE '%owner = %' THEN 'unprotected-ownership-change' WHEN b LIKE '%selfdestruct(%' THEN 'unprotected-selfdestruct' ELSE 'missing-access-control' END AS finding_type,
+CASE WHEN regexp_matches(b, '\\.transfer\\(|\\.send\\(|\\.call\\{{value:') THEN 'High' WHEN b LIKE '%owner = %' OR b LIKE '%selfdestruct(%' THEN 'Critical' ELSE 'Medium' END AS severity FROM t
+WHERE regexp_matches(b, '\\.transfer\\(|\\.call\\{{value:|selfdestruct\\(|owner = |_mint\\(') AND NOT (b LIKE '%require%' AND b LIKE '%msg.sender%' AND b LIKE '%owner%') AND b NOT LIKE '%NotOwner()%' AND h NOT LIKE '%onlyOwner%' AND lower(f) NOT LIKE '%deposit%' AND NOT (lower(f) LIKE '%withdraw%' AND b LIKE '%balances[msg.sender]%') AND m <> 'view' AND v <> 'internal'""")
+def td_access_findings(spark: SparkSession, d: str) -> DataFrame:
+    o, k, c = B.table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    f = o.select("o_orderkey", B.chosen(B.BODIES, k).alias("body"), B.chosen(B.HEADERS, F.expr("o_orderkey div 3")).alias("header"), B.chosen(B.FUNCTION_NAMES, c).alias("func"), B.chosen(B.MUTABILITY, F.expr("o_custkey div 2")).alias("mutability"), B.chosen(B.VISIBILITY, F.expr("o_custkey div 5")).alias("visibility"))
+    return source_text.access_findings(f).select("o_orderkey", "finding_type", "severity")
+
+
+_G = {"c": B.sql_chosen(B.CONDITIONS, "p_partkey"), "b": B.sql_chosen(B.LOOP_BODIES, "p_partkey // 4"), "p": B.sql_chosen(B.PARAMS, "p_size")}
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_G['c']} AS c, {_G['b']} AS b, {_G['p']} AS p FROM part), x AS (SELECT *, regexp_extract(c, '(\\w+)\\.length', 1) AS a FROM t)
+SELECT p_partkey, CASE WHEN b LIKE '%.transfer(%' THEN 'gas-limit-dos-external-call' WHEN b LIKE '%delete %' THEN 'gas-limit-dos-delete' ELSE 'gas-limit-dos' END AS finding_type, CASE WHEN b LIKE '%.transfer(%' THEN 'Critical' ELSE 'High' END AS severity FROM x
+WHERE a <> '' AND (a = 'users' OR p LIKE '%[] memory ' || a || '%' OR p LIKE '%[] calldata ' || a || '%') AND (b LIKE '%+=%' OR b LIKE '%delete %' OR b LIKE '%.transfer(%')""")
+def td_gas_limit_loops(spark: SparkSession, d: str) -> DataFrame:
+    loops = B.table(spark, d, "part").select("p_partkey", B.chosen(B.CONDITIONS, F.col("p_partkey")).alias("condition"), B.chosen(B.LOOP_BODIES, F.expr("p_partkey div 4")).alias("body"), B.chosen(B.PARAMS, F.col("p_size")).alias("params"))
+    return source_text.gas_limit_findings(loops).select("p_partkey", "finding_type", "severity")
+
+
+@query("""WITH s AS (SELECT p_partkey, CAST(p_size % 9 AS INT) AS a, CAST(p_partkey % 20 AS INT) AS b, CAST(p_partkey % 3 AS INT) AS k FROM part) SELECT p_partkey, a AS minor, CASE WHEN k = 1 THEN 0 ELSE b END AS patch, (0, a, CASE WHEN k = 1 THEN 0 ELSE b END) >= (0, 8, 0) AS checked FROM s WHERE k <> 2""")
+def td_pragma_versions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.pmod("p_partkey", F.lit(3))
+    number = F.concat_ws(".", F.lit("0"), (F.col("p_size") % 9).cast("string"), F.when(k != 1, (F.col("p_partkey") % 20).cast("string")))
+    source = F.when(k == 2, F.lit("contract A {}")).otherwise(F.concat(F.lit("// x\npragma solidity >="), number, F.lit(" <0.9.0;\ncontract A {}")))
+    v = B.table(spark, d, "part").select("p_partkey", rules.version(source).alias("v")).where("v is not null")
+    return v.select("p_partkey", F.col("v.minor").alias("minor"), F.col("v.patch").alias("patch"), (F.col("v") >= F.struct(F.lit(0), F.lit(8), F.lit(0))).alias("checked"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_orderstatus = 'O' AS several, o_orderkey % 2 = 0 AS critical, o_orderkey % 5 = 0 AS guarded, o_orderkey % 7 = 0 AS protected, o_orderkey % 11 = 0 AS test FROM orders),
+a AS (SELECT *, CAST(0.7 AS FLOAT) + CASE WHEN several THEN CAST(0.1 AS FLOAT) ELSE CAST(0 AS FLOAT) END AS s FROM x), b AS (SELECT *, s + CASE WHEN critical THEN CAST(0.1 AS FLOAT) ELSE CAST(0 AS FLOAT) END AS t FROM a), c AS (SELECT *, t + CASE WHEN protected OR guarded THEN CAST(-0.4 AS FLOAT) ELSE CAST(0 AS FLOAT) END AS u FROM b),
+e AS (SELECT *, CASE WHEN guarded THEN least(u, CAST(0.2 AS FLOAT)) ELSE u END AS v FROM c), f AS (SELECT *, greatest(CAST(0 AS FLOAT), least(CAST(1 AS FLOAT), v + CASE WHEN test THEN CAST(-0.3 AS FLOAT) ELSE CAST(0 AS FLOAT) END)) AS w FROM e) SELECT o_orderkey, round(CAST(w AS DOUBLE), 6) AS score, CASE WHEN CAST(w AS DOUBLE) >= 0.8 THEN 'High' WHEN CAST(w AS DOUBLE) >= 0.6 THEN 'Medium' ELSE 'Low' END AS level FROM f""")
+def td_reentrancy_confidence(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    s = rules.reentrancy_confidence(F.col("o_orderstatus") == "O", k % 2 == 0, k % 5 == 0, k % 7 == 0, k % 11 == 0).cast("double")
+    return B.table(spark, d, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", F.round("s", 6).alias("score"), rules.confidence_level(F.col("s")).alias("level"))
+
+
+@query("""WITH n AS (SELECT s_suppkey, 'f' || s_nationkey AS a, (['f' || s_nationkey, 'f' || s_nationkey || '_uint256', 'f' || s_nationkey || '0', 'g'])[CAST(s_suppkey % 4 AS INT) + 1] AS b FROM supplier) SELECT s_suppkey, a = b OR (starts_with(b, a) AND regexp_full_match(substr(b, length(a) + 1), '_[\\p{L}\\p{N}_]*')) AS same FROM n""")
+def td_canonical_names(spark: SparkSession, d: str) -> DataFrame:
+    a = F.concat(F.lit("f"), F.col("s_nationkey"))
+    b = F.get(F.array(a, F.concat(a, F.lit("_uint256")), F.concat(a, F.lit("0")), F.lit("g")), (F.col("s_suppkey") % 4).cast("int"))
+    return B.table(spark, d, "supplier").select("s_suppkey", rules.same_function(a, b).alias("same"))
+
+
+@query(f"""WITH {B.FINDINGS_SQL} SELECT ord, '- **' || severity || '** (' || confidence || ') ' || scanner_id || ' in ' || function || ' at ' || file || ':' || line AS markdown FROM findings""")
+def td_markdown_report(spark: SparkSession, d: str) -> DataFrame:
+    f = B.findings(spark, d).withColumn("title", F.concat("scanner_id", F.lit(" in "), F.col("function")))
+    return findings.markdown(f).select("ord", "markdown")
