@@ -82,7 +82,7 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, int] | None = None, sour
     if n_sources > MOST_SOURCES:
         raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} can be mixed")
     period = max(period, 4 * n_sources)
-    digits = max(1, ceil(log(max(1, largest or 0) / 1000, 16)) if largest else 1)
+    digits = max(1, ceil(log(largest / 200, 16))) if largest else 1  # ranges of about 200 rows at most
     wanted = None if weights is None else spark.createDataFrame([("" if k is None else f"={k}", int(w)) for k, w in weights.items()], "src string, weight long")
     plan = F.broadcast(schedule(shares(counts, wanted, period), period))  # a row for each slot of a period
     units = F.broadcast(shares(counts, wanted, period).select("src", "units"))
