@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +66,12 @@ RULES = (
     (("cc0-ref",), "public-domain"),
     (("reserved",), "all-rights-reserved"),
 )
-#: A sentence ends with a line, or at .!? before white space.
-END = r"[.!?]+\s+|\n+"
+#: A sentence may start and end at these: the ends of lines, and .!?: before white space.
+END = r"[.!?:]+\s+|\n+"
 DROPPED = r"[^\p{L}\p{N}.]+"
+MARK = "\x01"  # stands for END in marked()
+#: A known sentence from one MARK to another, the longest first; lines are joined, so that it may have others inside.
+KNOWN = f"(?<={MARK})(?:{'|'.join(f'[ {MARK}]'.join(map(re.escape, s.split())) for s in sorted(SENTENCES.values(), key=len, reverse=True))})(?={MARK})"
 
 
 def normalised(sentence: Column) -> Column:
@@ -74,17 +79,25 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(sentence), DROPPED, " "), r"^[ .]+|[ .]+$", "")
 
 
+def marked(text: Column) -> Column:
+    """As normalised(), with MARK before, after and at every END. Comment marks are neither letters nor digits (but for dnl and rem)."""
+    bare = F.regexp_replace(F.translate(F.lower(text), MARK, " "), r"(?m)^[ \t]*@?(?:dnl|rem)[ \t]", "")
+    ends = F.concat(F.lit(MARK), F.regexp_replace(F.regexp_replace(bare, r"\.{3,}", ".."), END, MARK), F.lit(MARK))
+    return F.regexp_replace(F.regexp_replace(ends, DROPPED.replace("^", f"^{MARK}"), " "), f"[ .]*{MARK}[ .{MARK}]*", MARK)
+
+
 def licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, n_sentences (known ones), sentences (their identifiers in order, comma-joined),
     licences (those that rules found, in order of the text and with repeats, comma-joined).
 
-    Other sentences between known ones are passed over. Each row is worked out where it is read: no shuffle, and the
+    A known sentence may be wrapped over lines, with comment marks in front and blank lines inside. Other sentences
+    between known ones are passed over. Each row is worked out where it is read: no shuffle, and the
     tables of sentences and rules are constants. Null, empty and very long texts give what their sentences give: of null
     and empty, none. Repeated or null ids do no harm; other columns are not read.
     """
     ids = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (s, k)))
-    cut = F.split(F.coalesce(text_col, F.lit("")), END)
-    found = F.filter(F.transform(cut, lambda s: F.try_element_at(ids, normalised(s))), lambda k: k.isNotNull())
+    cut = F.regexp_extract_all(marked(F.coalesce(text_col, F.lit(""))), F.lit(KNOWN), F.lit(0))
+    found = F.transform(cut, lambda s: F.try_element_at(ids, F.translate(s, MARK, " ")))
     seq = F.array_join(F.transform("found", lambda k: F.concat(F.lit("<"), k, F.lit(">"))), "")
     for sequence, licence in RULES:
         seq = F.replace(seq, F.lit("".join(f"<{k}>" for k in sequence)), F.lit(f"[{licence}]"))

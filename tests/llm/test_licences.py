@@ -21,3 +21,65 @@ def test_sentences_are_in_normal_form_and_rules_known(spark):
     df = spark.createDataFrame([(k, s) for k, s in X.SENTENCES.items()], "k string, s string")
     assert df.where(X.normalised(df.s) != df.s).count() == 0
     assert all(k in X.SENTENCES for seq, _ in X.RULES for k in seq)
+
+
+HEADERS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under
+the terms of the GNU General Public License as published by the Free Software
+Foundation, either version 3 of the License, or (at your option) any later
+version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT
+ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+details.""",
+}
+
+
+def test_wrapped_headers(spark):
+    want = {"MIT": 3, "Apache-2.0": 4, "BSD-3-Clause": 4, "GPL-3.0-or-later": 3}
+    rows = [(name, front.join(["", *text.split("\n")]).replace("\n", end)) for name, text in HEADERS.items() for front in ("\n", "\n# ", "\n * ", "\n// ", "\ndnl ") for end in ("\n", "\r\n")]
+    got = X.licences(spark.createDataFrame([(n, f"/*{t}\n */\nint x;") for n, t in rows], "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.n_sentences, r.licences) for r in got] == [(n, want[n], n) for n, _ in rows]
+
+
+def test_wrapped_and_one_line_notices(spark):
+    texts = ["Licensed under the\nMIT License", "This code is\n# released under the\n# BSD license", "x = 1\nReleased under the MIT License\ny = 2", "not\x01all rights reserved", "Notice: all rights\nreserved."]
+    got = X.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.licences for r in got] == ["MIT", "BSD", "MIT", "", "all-rights-reserved"]
