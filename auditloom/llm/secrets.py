@@ -28,7 +28,17 @@ ENCODINGS = (
     ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", ("A-Z", "a-z", "0-9")),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", ("A-Z", "a-z", "0-9")),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", ("A-Z", "a-z", "0-9")),
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", ("0-9", "a-z")),
+    ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", ("0-9", "A-Z")),
+    ("lower", "abcdefghijklmnopqrstuvwxyz", ("a-z",)),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ("A-Z",)),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", ("A-Z", "a-z")),
+    ("letters+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", ("A-Z", "a-z")),
+    ("letters-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", ("A-Z", "a-z")),
 )
+WORDY = {"base36", "BASE36", "lower", "upper", "letters", "letters+/", "letters-_"}  # words and names can be these, too
+# Weights of a to z: logarithm of about how many of a thousand letters of English, German, French and Spanish prose they are.
+_LETTERS = np.log([85, 16, 32, 44, 152, 14, 18, 28, 74, 4, 5, 43, 28, 83, 60, 23, 6, 66, 70, 72, 38, 12, 10, 4, 8, 7])
 _TESTED = [(name, {c: i for i, c in enumerate(alphabet)}, re.compile(f"[{re.escape(alphabet)}]+"), [re.compile(f"[{c}]") for c in classes]) for name, alphabet, classes in ENCODINGS]
 P_BINS = 400  # of log10(p), 20 to the decade: p-values down to 1e-20
 
@@ -69,22 +79,40 @@ def battery(x: np.ndarray, size: int) -> float:
     return min(1.0, 3 * min(p_uniform, p_runs, p_serial))
 
 
+def like_words(s: str) -> float:
+    """p-value of the letters of s being uniform, against their being those of prose: their mean weight is too high."""
+    x = np.array([ord(c) - 97 for c in s.lower() if "a" <= c <= "z"])
+    if not len(x):
+        return 1.0
+    return 0.5 * math.erfc(float(_LETTERS[x].mean() - _LETTERS.mean()) / float(_LETTERS.std()) * math.sqrt(len(x) / 2))
+
+
+def p_value(s: str, name: str, x: np.ndarray, size: int) -> float:
+    """The battery's, and for encodings that words can be, twice the lesser of that and like_words()."""
+    return min(1.0, 2 * min(battery(x, size), like_words(s))) if name in WORDY else battery(x, size)
+
+
 def length_bin(n: int) -> int:
     return n.bit_length()  # strata double in length
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Base spans (start, kind, end), sorted; candidates (start, end, stratum, p-value bin) that no base span overlaps."""
+    """Base spans (start, kind, end), sorted; candidates (start, end, stratum, p-value bin) that base spans don't cover whole."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    more = []
+    more, at, to = [], 0, 0  # base spans before `at` end before the candidate or were followed up to `to`
     for m in CANDIDATE.finditer(text):
-        if (found := encoding_of(m[0])) and not any(a < m.end() and m.start() < b for a, _, b in base):
+        if found := encoding_of(m[0]):
             name, x, size = found
+            while at < len(base) and base[at][0] <= max(to, m.start()):
+                to = max(to, base[at][2])
+                at += 1
+            if to >= m.start() + len(x):
+                continue
             stratum = length_bin(len(x)) * len(ENCODINGS) + [e[0] for e in ENCODINGS].index(name)
-            more.append((m.start(), m.end(), stratum, min(P_BINS, int(-20 * math.log10(max(battery(x, size), 1e-300))))))
+            more.append((m.start(), m.end(), stratum, min(P_BINS, int(-20 * math.log10(max(p_value(m[0], name, x, size), 1e-300))))))
     return base, more
 
 

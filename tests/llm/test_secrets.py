@@ -58,3 +58,40 @@ def test_whole_small_table(spark):
         r = rows[i]
         assert [r.n_assign, r.n_access, r.n_hex] == counts and r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
         assert [s for s in r.spans.split(",") if not s.startswith("random") and s] == [s for s in spans.split(",") if s]
+
+
+WORDS = "the and nation with further about government people without system house nothing chapter und nicht werden zwischen dans toutes maison donde ciudad information language".split()
+
+
+def test_keys_of_fewer_classes_are_found_and_words_not(spark):
+    r = random.Random(12)
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"base36": low + "0123456789", "BASE36": up + "0123456789", "lower": low, "upper": up, "letters": low + up}
+    keys = [(name, "".join(r.choice(a) for _ in range(40))) for name, a in alphabets.items() for _ in range(60)]
+    phrases = [x for _ in range(60) for w in [r.sample(WORDS, 6)] for x in ("".join(w), "".join(w).upper(), "".join(v.capitalize() for v in w), "".join(w) + str(r.randrange(9999)))]
+    rows = list(enumerate([f"é {k} end" for _, k in keys] + [f"é {k} end" for k in phrases]))
+    got = {x.doc_id: x.spans for x in S.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for name in alphabets:
+        assert sum(f"random:2:{2 + len(k)}" in got[i].split(",") for i, (n, k) in enumerate(keys) if n == name) >= 54, name
+    assert sum("random" in got[len(keys) + i] for i in range(len(phrases))) <= 12
+
+
+def test_new_p_values_are_calibrated():
+    r = random.Random(3)
+    for name, alphabet, classes in S.ENCODINGS:
+        if name in S.WORDY:
+            found = [(k, S.encoding_of(k)) for k in ("".join(r.choice(alphabet) for _ in range(30)) for _ in range(1500))]
+            p = np.array([S.p_value(k, *e) for k, e in found if e and e[0] == name])
+            assert (p < 0.05).mean() < 0.07
+
+
+def test_partly_covered_candidates_are_judged(spark):
+    r = random.Random(7)
+    part = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    keys = [f"{part(80)}{r.getrandbits(64):016x}{part(80)}" for _ in range(20)]  # long enough for the hex run not to show in the battery
+    whole = "Aa1bC9dE8fG7hJ6kL5mN4pQ3"
+    rows = list(enumerate([f"é {k}" for k in keys] + [f"token={whole} {whole}"]))
+    got = {x.doc_id: x.spans.split(",") for x in S.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(any(s.startswith("hex:") for s in got[i]) for i in range(20))
+    assert sum(f"random:2:{2 + len(k)}" in got[i] for i, k in enumerate(keys)) >= 18
+    assert got[20] == ["assign:0:30", "random:31:55"]
