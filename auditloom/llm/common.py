@@ -14,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a local master only, a new temporary one where unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
         if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -36,6 +38,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; what can't be hashed (maps, variants) by its text."""
+    plain = lambda t: not any(x in t for x in ("map<", "variant", "geo"))
+    return F.xxhash64(*(F.col(f"`{f.name}`") if plain(f.dataType.simpleString()) else F.col(f"`{f.name}`").cast("string") for f in df.schema.fields))
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
@@ -60,6 +68,6 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         was = new
     else:
-        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+        raise RuntimeError(f"components didn't settle in {max_rounds} rounds; give more by max_rounds")
     leaf = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaf.unionByName(leaf.select(F.col("component").alias("node"), "component").distinct())

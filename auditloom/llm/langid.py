@@ -14,7 +14,6 @@ from .ftrl import Ftrl, scores, softmax, temperature
 from .vectext import cuts
 
 DIMS = 1 << 14
-MOST_LANGUAGES = 1000
 
 
 def _fold(c: int) -> int:
@@ -96,7 +95,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     Document frequencies cover all of them. The regression is fitted on a bounded sample: for each language up to
     sample_rows / languages rows, those of the least hash; of these every fifth is kept for the temperature. Only hashed
-    n-gram counts of the sample come to the driver.
+    n-gram counts of the sample come to the driver, and a count for each language; the model has DIMS weights for each.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
 
@@ -117,16 +116,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         else:
             df[r.h] = r.n
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).toLocalIterator()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     if not sizes:
         return Model([], idf, np.zeros((DIMS, 0)), 1.0)
     languages = sorted(sizes)
     each = max(5, sample_rows // len(languages))
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
-    below = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(int(min(1.0, 2 * each / sizes[lang]) * (1 << 40))))))
-    small = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(below, F.col("lang")))
+    below = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 2 * each / sizes[lang]) * (1 << 40))) for lang in languages], "lang string, below long")
+    small = rows.withColumn("draw", draw).join(below, "lang").where("draw < below")
 
     def sparse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -153,8 +150,10 @@ def identified(docs: DataFrame, model: Model, *, text_col: str = "text", keep: t
 
     lang_pred is a learned language, or `und` with score 0 where the text is null, empty or without any letter, and for a
     model of no languages. Texts are read whole, whatever their length. Equal texts get equal predictions. The names
-    lang_pred and score may not be among keep.
+    lang_pred, score and _text among keep are a ValueError.
     """
+    if clash := {"lang_pred", "score", "_text"} & set(keep):
+        raise ValueError(f"{sorted(clash)} can't be kept: rename them first")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +172,8 @@ def identified(docs: DataFrame, model: Model, *, text_col: str = "text", keep: t
 def of_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without those of no language: text null or without a letter, or no language with a calibrated score of `least`.
 
-    The model learns from docs' own labels, of the rows whose crc32(doc_id) mod 3 isn't 1.
+    The model learns from docs' own labels, of the rows whose crc32(doc_id) mod 3 isn't 1. Where none of these has a label,
+    there is no language to tell, and all docs are kept.
     """
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)))
     at = {c: f"_{i}" for i, c in enumerate(docs.columns)}

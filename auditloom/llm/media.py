@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyarrow.dataset import dataset
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +69,8 @@ def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text
     """Writes docs as ZIP archives of WAVE members into folder (a URI that all executors reach); returns a lazy table
     (name, members, bytes), which has to be run for the files to appear.
 
-    An archive's name comes from the partition and its turn there and its bytes from its rows alone; it is put in place by
-    a rename. So a task that runs again, or twice at once, leaves the same files.
+    An archive's name has its attempt in it, and the table, once written as `_written` in the folder, lists those of the
+    attempts that Spark committed. So what a task leaves that runs again, or twice at once, is read by nobody.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +79,9 @@ def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text
 
         def close() -> pa.RecordBatch:
             zip_.close()
-            name = f"media-{part:06d}-{turn:05d}.zip"
-            with store.open_output_stream(temporary := f"{path}/.{name}.{uuid.uuid4().hex}") as f:
+            name = f"media-{part:06d}-{turn:05d}-{uuid.uuid4().hex[:12]}.zip"
+            with store.open_output_stream(f"{path}/{name}") as f:
                 f.write(buf.getbuffer())
-            store.move(temporary, f"{path}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([buf.getbuffer().nbytes])], ["name", "members", "bytes"])
 
         for batch in batches:
@@ -106,19 +107,24 @@ def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text
     return source.mapInArrow(run, "name string, members long, bytes long")
 
 
-def retried(read: Callable[[], bytes], attempts: int = 3) -> bytes:
+def retried(read: Callable, attempts: int = 3, pause: float = 0.2):
+    """What read() returns; errors of storage, and of bytes that are short or damaged, are tried again after a growing pause."""
     for left in range(attempts - 1, -1, -1):
         try:
             return read()
-        except (OSError, ValueError, zlib.error):
+        except (OSError, ValueError, EOFError, struct.error, zlib.error, zipfile.BadZipFile):
             if not left:
                 raise
+            time.sleep(pause)
+            pause *= 2
 
 
 def member_bytes(store: fs.FileSystem, path: str, info: zipfile.ZipInfo) -> bytes:
     """One member read by its offset alone and checked against its checksum; independent of every other member."""
     with store.open_input_file(path) as f:
         head = f.read_at(LOCAL, info.header_offset)
+        if len(head) != LOCAL:
+            raise ValueError(f"{path} is cut short")
         name, extra = struct.unpack("<HH", head[LENGTHS])
         raw = f.read_at(info.compress_size, info.header_offset + LOCAL + name + extra)
     data = zlib.decompress(raw, -15) if info.compress_type == zipfile.ZIP_DEFLATED else raw
@@ -138,11 +144,15 @@ class ArchiveReader(DataSourceReader):
         self.folder, self.split, self.batch = folder, split, batch
 
     def partitions(self) -> list[ArchiveRange]:
-        """Byte ranges of the folder's archives, planned from names and sizes; an archive's own directory is read by the
-        tasks that get its ranges."""
+        """Byte ranges of the folder's archives, planned from the names and sizes in its table `_written`, or of a folder
+        without one, from its files; an archive's own directory is read by the tasks that get its ranges."""
         store, path = fs.FileSystem.from_uri(self.folder)
-        files = [i for i in store.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(".zip") and not i.base_name.startswith(".")]
-        ranges = [ArchiveRange(i.path, at, min(at + self.split, i.size)) for i in sorted(files, key=lambda i: i.path) for at in range(0, i.size, self.split)]
+        if store.get_file_info(f"{path}/_written").type == fs.FileType.Directory:
+            written = dataset(f"{path}/_written", filesystem=store, format="parquet").to_table(columns=["name", "bytes"])
+            files = [(f"{path}/{n}", size) for n, size in zip(written["name"].to_pylist(), written["bytes"].to_pylist(), strict=True)]
+        else:
+            files = [(i.path, i.size) for i in store.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(".zip")]
+        ranges = [ArchiveRange(name, at, min(at + self.split, size)) for name, size in sorted(files) for at in range(0, size, self.split)]
         return ranges or [ArchiveRange("", 0, 0)]
 
     def read(self, partition: ArchiveRange) -> Iterator[pa.RecordBatch]:
@@ -150,8 +160,12 @@ class ArchiveReader(DataSourceReader):
         if not partition.path:
             return
         store, _ = fs.FileSystem.from_uri(self.folder)
-        with store.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            members = [m for m in z.infolist() if partition.start <= m.header_offset < partition.end]
+
+        def listed() -> list[zipfile.ZipInfo]:
+            with store.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
+                return [m for m in z.infolist() if partition.start <= m.header_offset < partition.end]
+
+        members = retried(listed)
         rows, size = [], 0
         for m in members:
             i, n = json.loads(m.comment)
@@ -204,9 +218,11 @@ def stored_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """docs' texts as media rows (id, n_bytes, archive, at, media), written to archives in the shared folder and read back.
 
     Null texts count as empty, and an empty text is one frame of bytes 32; repeated rows and null ids are members of their
-    own; empty docs make no archives and no rows; other columns are not read. Ids are whole numbers.
+    own; empty docs make no archives and no rows; other columns are not read. Ids are whole numbers, any other type is a TypeError.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError("ids are whole numbers")
     folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path)

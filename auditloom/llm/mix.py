@@ -7,9 +7,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
-
-MOST_SOURCES = 2000
+from .common import row_hash, stored, table
 
 
 def _key(source: Column) -> Column:
@@ -22,7 +20,7 @@ def shares(counts: DataFrame, weights: DataFrame | None, period: int) -> DataFra
     counts: (src, n). weights: (src, weight) of whole numbers, 0 or more; none: the whole square root of n.
     """
     w = counts.withColumn("weight", F.floor(F.sqrt("n"))) if weights is None else counts.join(weights, "src", "left").fillna(0, ["weight"])
-    every = Window.partitionBy(F.lit(0))  # a row for each source: MOST_SOURCES at most
+    every = Window.partitionBy(F.lit(0))  # a row for each source
     w = w.withColumn("free", F.lit(period) - F.count(F.lit(1)).over(every)).withColumn("all", F.greatest(F.sum("weight").over(every), F.lit(1)))
     w = w.withColumn("whole", F.expr("1 + (weight * free) div all")).withColumn("rest", F.expr("(weight * free) % all"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), "src"))
@@ -30,35 +28,34 @@ def shares(counts: DataFrame, weights: DataFrame | None, period: int) -> DataFra
 
 
 def schedule(parts: DataFrame, period: int) -> DataFrame:
-    """One period of slots: (src, turn, slot, before), `before` listing (n, units, blocks before the slot) of all sources.
+    """One period of slots: (src, turn, slot), a row for each; parts: (src, units), the units sum to the period.
 
     Block k = 0, 1, ... of a source of u units has release floor(k * period / u) and deadline ceil((k + 1) * period / u).
-    Each slot goes to the released block of the earliest deadline, ties by source. The units sum to the period, so every
+    Each slot goes to the released block of the earliest deadline, ties by source. As the units sum to the period, every
     slot is filled, every deadline met, and no source strays a whole block from its share; windows repeat after a period.
+    The blocks that are released and not yet placed are an array of numbers (deadline, then source), one for each source at
+    most, and a slot takes the least: period times sources steps on plain numbers.
     """
-    a = parts.agg(F.sort_array(F.collect_list(F.struct("src", "n", "units"))).alias("a"))
+    n = parts.count()
+    named = parts.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("src")).cast("long") - 1)
+    blocks = named.select("i", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("k"))
+    blocks = blocks.select(F.expr(f"k * {period} div units").alias("slot"), (F.expr(f"((k + 1) * {period} + units - 1) div units") * F.lit(n) + F.col("i")).alias("code"))
+    slots = parts.sparkSession.range(period).select(F.col("id").alias("slot"))
+    released = slots.join(blocks.groupBy("slot").agg(F.collect_list("code").alias("codes")), "slot", "left")
+    one = released.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes")))).alias("at"))
 
     def bound(x: Column, f) -> Column:
         """f of x, with x worked out once."""
         return F.get(F.transform(F.array(x), f), F.lit(0))
 
-    def step(acc: Column, t: Column) -> Column:
-        def bid(x: Column, done: Column, i: Column) -> Column:
-            deadline = F.floor(((done + 1) * F.lit(period) + x["units"] - 1) / x["units"])
-            return F.struct(F.when(F.floor(done * F.lit(period) / x["units"]) <= t, deadline).otherwise(F.lit(2**62)).alias("d"), i.alias("i"))
-
-        def slot(done: Column) -> Column:
-            best = F.array_min(F.transform("a", lambda x, i: bid(x, F.get(done, i), i)))["i"]
-            return F.struct(best.alias("pick"), done.alias("done"))
+    def step(acc: Column, at: Column) -> Column:
+        take = lambda ready: bound(F.array_min(ready), lambda best: F.struct(F.concat(acc["out"], F.array(best)).alias("out"), F.array_remove(ready, best).alias("ready")))
+        return bound(F.concat(acc["ready"], at["codes"]), take)
 
-        done = F.transform(acc["done"], lambda d, i: d + F.coalesce(i == acc["pick"], F.lit(False)).cast("long"))
-        return bound(bound(done, slot), lambda x: F.struct(F.concat(acc["out"], F.array(x)).alias("out"), x["pick"].alias("pick"), x["done"].alias("done")))
-
-    start = "named_struct('out', cast(array() as array<struct<pick: int, done: array<bigint>>>), 'pick', cast(null as int), 'done', transform(a, x -> 0L))"
-    one = a.select("a", F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(period - 1).cast("long")), F.expr(start), step, lambda acc: acc["out"]).alias("order"))
-    rows = one.select("a", F.posexplode("order").alias("slot", "x")).where("x.pick is not null")
-    before = F.transform("a", lambda x, i: F.struct(x["n"].alias("n"), x["units"].alias("units"), F.get(F.col("x.done"), i).alias("had")))
-    return rows.select(F.get(F.col("a"), F.col("x.pick"))["src"].alias("src"), F.col("slot").cast("long").alias("slot"), before.alias("before")).withColumn("turn", F.row_number().over(Window.partitionBy("src").orderBy("slot")).cast("long") - 1)
+    start = F.expr("named_struct('out', cast(array() as array<bigint>), 'ready', cast(array() as array<bigint>))")
+    rows = one.select(F.posexplode(F.aggregate("at", start, step, lambda acc: acc["out"])).alias("slot", "code"))
+    rows = rows.select(F.col("slot").cast("long").alias("slot"), F.expr(f"code % {n}").alias("i")).join(named.select("i", "src"), "i")
+    return rows.select("src", (F.row_number().over(Window.partitionBy("src").orderBy("slot")).cast("long") - 1).alias("turn"), "slot")
 
 
 def mixed(docs: DataFrame, *, weights: dict[str | None, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = 8, period: int = 1000, name: str = "position") -> DataFrame:
@@ -68,34 +65,55 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, int] | None = None, sour
     slots by Pfair windows (see schedule()), so that while every source lasts, each has had its share of any beginning to
     within one block. A source that runs out leaves its slots to nobody: they close up, and the rest keep their
     proportions. Every row appears once. weights: whole numbers by source; sources not named get one unit a period; none:
-    the whole square root of their rows. Rows are ranked within ranges of md5(id), whose number grows with the largest
-    source, so no task holds a source. Null sources are a source of their own, null ids come first in it; repeated rows get
-    places of their own; empty docs give no rows. More than MOST_SOURCES sources are an error: group them first.
+    the whole square root of their rows. The period is `period` slots, or four for each source if these are more.
+
+    Rows are ranked within ranges of md5(id), whose number grows with the largest source, and placed within one turn of the
+    period, so no task holds a source; the schedule is a row for each slot of a period and joined by (source, turn). Null
+    sources are a source of their own, null ids come first in it; repeated rows get places of their own; empty docs give no
+    rows.
     """
     spark = docs.sparkSession
     cols = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(cols)))
     source, doc = F.col(f"_{cols.index(source_col)}"), F.col(f"_{cols.index(id_col)}")
     keyed = plain.withColumn("src", _key(source)).withColumn("h", F.coalesce(F.md5(doc.cast("string")), F.lit("")))
-    counts = keyed.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(keyed.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "sources")
     n_sources, largest = counts.agg(F.count(F.lit(1)), F.max("n")).first()
-    if n_sources > MOST_SOURCES:
-        raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} can be mixed")
+    if not n_sources:
+        return docs.withColumn(name, F.lit(0).cast("long"))
     period = max(period, 4 * n_sources)
     digits = max(1, ceil(log(largest / 200, 16))) if largest else 1  # ranges of about 200 rows at most
     wanted = None if weights is None else spark.createDataFrame([("" if k is None else f"={k}", int(w)) for k, w in weights.items()], "src string, weight long")
-    plan = F.broadcast(schedule(shares(counts, wanted, period), period))  # a row for each slot of a period
-    units = F.broadcast(shares(counts, wanted, period).select("src", "units"))
+    parts = stored(shares(counts, wanted, period), "shares")
+    plan = stored(schedule(parts.select("src", "units"), period), "schedule")
     keyed = keyed.withColumn("bucket", F.substring("h", 1, digits))
     offsets = keyed.groupBy("src", "bucket").agg(F.count(F.lit(1)).alias("rows"))
-    offsets = offsets.withColumn("offset", F.sum("rows").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    inner = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", doc, F.xxhash64(*plain.columns)))
-    ranked = keyed.withColumn("inner", inner).join(offsets.select("src", "bucket", "offset"), ["src", "bucket"])
-    ranked = ranked.withColumn("rank", F.coalesce("offset", F.lit(0)) + F.col("inner") - 1).join(units, "src")
-    ranked = ranked.withColumn("k", F.expr(f"rank div {block}")).withColumn("turn", F.expr("k % units")).withColumn("round", F.expr("k div units"))
-    at = ranked.join(plan, ["src", "turn"])
-    ahead = F.aggregate("before", F.lit(0).cast("long"), lambda acc, x: acc + F.least(x["n"], F.lit(block) * (F.col("round") * x["units"] + x["had"])))
-    return at.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(cols)), (ahead + F.expr(f"rank % {block}")).alias(name))
+    offsets = offsets.withColumn("offset", F.sum("rows").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).join(parts.select("src", "units"), "src")
+    inner = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", doc, row_hash(plain)))
+    ranked = keyed.withColumn("inner", inner).join(offsets.select("src", "bucket", "offset", "units"), ["src", "bucket"])
+    ranked = ranked.withColumn("rank", F.coalesce("offset", F.lit(0)) + F.col("inner") - 1).withColumn("k", F.expr(f"rank div {block}"))
+    at = ranked.withColumn("turn", F.expr("k % units")).withColumn("round", F.expr("k div units")).join(plan, ["src", "turn"])
+    # rows before a round: sums over thousands of rounds, then over the rounds of one thousand, so that no window holds all
+    rounds = at.groupBy("round").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.expr("round div 4096"))
+    upto = lambda *by: F.coalesce(F.sum("rows").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = rounds.groupBy("part").agg(F.sum("rows").alias("rows")).select("part", upto(F.lit(0), "part").alias("parts_before"))
+    before = rounds.withColumn("inside", upto("part", "round")).join(whole, "part").select("round", (F.col("inside") + F.col("parts_before")).alias("before"))
+    placed = at.withColumn("in_round", F.row_number().over(Window.partitionBy("round").orderBy("slot", "rank"))).join(before, "round")
+    return placed.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(cols)), (F.col("before") + F.col("in_round") - 1).alias(name))
+
+
+def with_places(docs: DataFrame, name: str, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """As mixed(), for rows with long texts: places are worked out on ids, sources and hashes of the rows, and the other
+    columns move once, to meet them."""
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)))
+    doc, source = f"_{docs.columns.index(id_col)}", f"_{docs.columns.index(source_col)}"
+    tagged = plain.withColumn("tag", row_hash(plain))
+    places = mixed(tagged.select(doc, source, "tag"), source_col=source, id_col=doc, name="place", **options).select(F.col(doc).alias("id"), F.col("tag").alias("of"), "place")
+    places = stored(places, "places")
+    # rows alike in every column are one here, and again one for each of their places
+    other = tagged.groupBy(doc, "tag").agg(*(F.first(c).alias(c) for c in plain.columns if c != doc))
+    rows = other.join(places, other[doc].eqNullSafe(places["id"]) & (F.col("tag") == F.col("of")))
+    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("place").alias(name))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
@@ -103,7 +121,7 @@ def in_order(docs: DataFrame, **options) -> DataFrame:
     written table hold the mixture in order."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = next(x for x in (f"place{i or ''}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
-    return mixed(docs, name=place, **options).repartitionByRange(n, place).sortWithinPartitions(place).drop(place)
+    return with_places(docs, place, **options).repartitionByRange(n, place).sortWithinPartitions(place).drop(place)
 
 
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,17 +132,17 @@ QUERIES = {"op10_mixture": op10_mixture}
 ORACLE_SQL = {
     "op10_mixture": """
 WITH RECURSIVE c AS (SELECT coalesce('=' || source, '') AS src, count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS weight FROM documents GROUP BY ALL),
-w AS (SELECT *, 1000 - count(*) OVER () AS free, CAST(sum(weight) OVER () AS BIGINT) AS every FROM c),
+w AS (SELECT *, greatest(1000, 4 * count(*) OVER ()) AS per, greatest(1000, 4 * count(*) OVER ()) - count(*) OVER () AS free, CAST(sum(weight) OVER () AS BIGINT) AS every FROM c),
 v AS (SELECT *, 1 + (weight * free) // every AS whole, row_number() OVER (ORDER BY (weight * free) % every DESC, src) AS place, row_number() OVER (ORDER BY src) AS i FROM w),
-u AS (SELECT src, i, n, CAST(whole + CASE WHEN place <= 1000 - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS units FROM v),
-a AS (SELECT list(units ORDER BY i) AS us FROM u),
+u AS (SELECT src, i, n, per, CAST(whole + CASE WHEN place <= per - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS units FROM v),
+a AS (SELECT list(units ORDER BY i) AS us, max(per) AS per FROM u),
 s AS (
-  SELECT 0 AS slot, list_transform(us, lambda x: 0) AS done, us, CAST(NULL AS BIGINT) AS pick FROM a
+  SELECT 0 AS slot, list_transform(us, lambda x: 0) AS done, us, per, CAST(NULL AS BIGINT) AS pick FROM a
   UNION ALL
-  SELECT slot + 1, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END), us, p
-  FROM (SELECT *, list_sort(list_transform(us, lambda x, i: {'d': CASE WHEN (done[i] * 1000) // x <= slot THEN ((done[i] + 1) * 1000 + x - 1) // x ELSE 1000000000 END, 'i': i}))[1].i AS p FROM s WHERE slot < 1000)),
+  SELECT slot + 1, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END), us, per, p
+  FROM (SELECT *, list_sort(list_transform(us, lambda x, i: {'d': CASE WHEN (done[i] * per) // x <= slot THEN ((done[i] + 1) * per + x - 1) // x ELSE 1000000000 END, 'i': i}))[1].i AS p FROM s WHERE slot < per)),
 slots AS (SELECT slot - 1 AS slot, pick AS i, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM s WHERE slot > 0),
 r AS (SELECT doc_id, source, u.i, u.units, row_number() OVER (PARTITION BY u.src ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS rank FROM documents JOIN u ON u.src = coalesce('=' || source, '')),
-b AS (SELECT r.*, (rank // 8) // units * 1000 + slot AS t FROM r JOIN slots ON slots.i = r.i AND slots.turn = (rank // 8) % units)
+b AS (SELECT r.*, (rank // 8) // units * per + slot AS t FROM (SELECT r.*, per FROM r, a) r JOIN slots ON slots.i = r.i AND slots.turn = (rank // 8) % units)
 SELECT doc_id, source, CAST(row_number() OVER (ORDER BY t, rank) - 1 AS BIGINT) AS position FROM b"""
 }

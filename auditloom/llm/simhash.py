@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, row_hash, stored, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width; 23 bits, the code's length, with zeros above
 REACH = 2  # differing bits that link
@@ -111,7 +111,8 @@ def links(nodes: DataFrame, bucket: int = 64) -> DataFrame:
     word are 2 bits apart at most, and two that link meet (under the word between them), so joining each to the least
     one of a word loses no connection; a word has 65 members at most.
     """
-    held = stored(keys(nodes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "golay")
+    every = stored(keys(nodes), "golay")
+    held = stored(every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "golay")
     small = held.where(F.col("n") <= bucket).select("key", "fp")
     left, right = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH)).select("a", "b")
@@ -144,8 +145,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id (null last), then by a hash of its
-    text and by its other columns."""
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id (null last), then by hashes of its
+    text and of the whole row."""
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)))
     key, text = f"_{docs.columns.index('doc_id')}", f"_{docs.columns.index('text')}"
     rows, groups = grouped(plain, key, text)
@@ -153,8 +154,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     one = rows.groupBy("fp").agg(first("r")).join(groups, "fp").groupBy("component").agg(F.min("r").alias("r")).select(F.col("r.id").alias("id"), F.col("r.tag").alias("tag"))
     marked = plain.withColumn("tag", F.xxhash64(text))
     kept = marked.join(one, marked[key].eqNullSafe(one["id"]) & (marked["tag"] == one["tag"]), "left_semi")
-    turn = F.row_number().over(Window.partitionBy(key, "tag").orderBy(*(c for c in plain.columns if c not in (key, text)), key))
-    return kept.withColumn("turn", turn).where("turn = 1").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    turn = F.row_number().over(Window.partitionBy(key, "tag").orderBy("row"))
+    return kept.withColumn("row", row_hash(plain)).withColumn("turn", turn).where("turn = 1").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

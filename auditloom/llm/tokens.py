@@ -27,12 +27,26 @@ _CLASS = np.array([*map(_class, range(LIMIT)), _ODD], np.uint8)
 _LOWER = np.array([ord(chr(c).lower()) if c != 0x130 else c for c in range(LIMIT)] + [0xFFFF], np.uint16)
 
 
+def differ(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Which of the non-empty pieces a[from:to] are not b[from:to]."""
+    out = a_to - a_from != b_to - b_from
+    use = np.flatnonzero(~out)
+    n = (a_to - a_from)[use]
+    if not len(use):
+        return np.flatnonzero(out)
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum()))
+    same = a[place + np.repeat(a_from[use] - first, n)] == b[place + np.repeat(b_from[use] - first, n)]
+    out[use] = ~np.logical_and.reduceat(same, first)
+    return np.flatnonzero(out)
+
+
 class Encoder:
     """For tokenizers that lower-case, drop white space, and split into letters, single digits and other characters.
 
     encode() gives what the tokenizer gives for each whole text: pieces of such a split are encoded independently, so that
     the ids of a text are those of its pieces. Texts in which the split isn't certain (contractions, special tokens, code
-    points beyond Latin) are encoded whole.
+    points beyond Latin) are encoded whole. Known pieces are found by hash and compared as text.
     """
 
     def __init__(self, definition: str, most_pieces: int = 3_000_000):
@@ -48,7 +62,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """The pieces known so far: sorted hashes, and where the ids of each begin and end in a row of ids."""
+        """The pieces known so far: sorted hashes, where the ids of each begin and end in a row of ids, and the same of its text."""
+        self.text, self.text_begin, self.text_end = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known, self.begin, self.end, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16 if len(self.last) <= 1 << 16 else np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -70,6 +85,10 @@ class Encoder:
         self.begin = np.insert(self.begin, at, np.concatenate([[len(self.ids)], ends[:-1]]))
         self.end, self.known = np.insert(self.end, at, ends), np.insert(self.known, at, names)
         self.ids = np.concatenate([self.ids, *all_ids]).astype(self.ids.dtype)
+        ends = np.cumsum([len(x) for x in pieces]) + len(self.text)
+        self.text_begin = np.insert(self.text_begin, at, np.concatenate([[len(self.text)], ends[:-1]]))
+        self.text_end = np.insert(self.text_end, at, ends)
+        self.text = np.concatenate([self.text, np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
@@ -100,6 +119,8 @@ class Encoder:
             text = lower.astype("<u2").tobytes().decode("utf-16-le")  # one unit each, so that places stay
             self.learn(different[fresh], [text[a:b] for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)])
             where = np.searchsorted(self.known, different)
+        # hashes are no proof: a text with a piece that isn't the one known by its hash is encoded whole
+        plain[of[differ(lower, starts, ends, self.text, self.text_begin[where][inverse], self.text_end[where][inverse])]] = False
         n = (self.end[where] - self.begin[where])[inverse]
         ids = self.ids[np.arange(int(n.sum())) + np.repeat(self.begin[where][inverse] - (np.cumsum(n) - n), n)]
         counts = np.bincount(of, weights=n, minlength=len(texts)).astype(np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,16 +11,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import shared_dir, stored, table
 from .tokens import Encoder
 from .vectext import cuts
 
 MAGIC = b"WMTOK1\n"
 END_ID = 1
+MANIFEST = "part long, seq long, n_tokens long, bytes long, path string"
 WORDS = 8  # 64-bit words between two running counts
 
 
@@ -151,26 +154,36 @@ def encoder_of(definition: str) -> Encoder:
     return Encoder(definition)
 
 
-def token_files(docs: DataFrame, *, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, shard_tokens: int = 1 << 20) -> DataFrame:
-    """Documents as wavelet-matrix files, in ascending order of order_col (id_col if not given): (part, seq, n_tokens, file).
+def token_files(docs: DataFrame, *, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, shard_tokens: int = 1 << 20, range_bytes: int = 32 << 20, folder: str | None = None) -> DataFrame:
+    """Documents as wavelet-matrix files in a folder, in ascending order of order_col (id_col if not given). Returns their
+    manifest (part, seq, n_tokens, bytes, path), which is kept beside them as the table `_manifest`.
 
-    Rows are dealt out by ranges of the order and sorted within; each task cuts its rows into shards of about
-    shard_tokens ids (one longer document is a shard of its own), END_ID after each document. Nulls come first in the
-    order; rows that tie come by text. Null texts count as empty. The tokenizer's definition is read on the driver and
-    broadcast (it doesn't grow with the data). The files are a written table in the shared folder: one file a row.
+    Rows are dealt out by ranges of the order, of about range_bytes of text each, and sorted within; each task cuts its
+    rows into shards of about shard_tokens ids (one longer document is a shard of its own), END_ID after each document.
+    Nulls come first in the order; rows that tie come by text. Null texts count as empty. The tokenizer's definition is
+    read on the driver and broadcast (it doesn't grow with the data). Each shard is one file, which from_bytes() reads
+    without any other. A file's name has its attempt in it, and the manifest holds those of the attempts that Spark
+    committed: what a lost task leaves is not read. folder: a URI that all executors reach; none: one in the shared folder.
     """
     spark = docs.sparkSession
     with open(tokenizer_path or default_tokenizer(), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
+    folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         encoder = encoder_of(definition.value)
         names, counts, held, tokens = [], [], [], 0
+        store, root = fs.FileSystem.from_uri(folder)
 
         def shard() -> pa.RecordBatch:
             file = WaveletMatrix.of(np.concatenate(held)).to_bytes({"ids": names, "counts": counts})
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([tokens]), pa.array([file], pa.binary())], ["part", "seq", "n_tokens", "file"])
+            name = f"tokens-{part:06d}-{seq:05d}-{uuid.uuid4().hex[:12]}.wm"
+            with store.open_output_stream(f"{root}/{name}") as f:
+                f.write(file)
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([tokens]), pa.array([len(file)]), pa.array([f"{folder}/{name}"])], ["part", "seq", "n_tokens", "bytes", "path"])
 
         for batch in batches:
             at = 0
@@ -193,21 +206,26 @@ def token_files(docs: DataFrame, *, tokenizer_path: str | None = None, id_col: s
     source = docs.select(order.alias("place"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if source.schema["id"].dataType.typeName() not in ("long", "integer", "short", "byte", "string"):
         raise TypeError("ids are integers or strings")
-    dealt = source.repartitionByRange(ranges(spark), "place").sortWithinPartitions("place", "text")
-    return stored(dealt.select("id", "text").mapInArrow(run, "part long, seq long, n_tokens long, file binary"), "tokens")
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = source.repartitionByRange(int(-(-total // range_bytes)) or 1, "place").sortWithinPartitions("place", "text")
+    dealt.select("id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/_manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
-def ranges(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def read_tokens(manifest: DataFrame, id_type: str = "long") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) for each document, all from the files of token_files(), one file after another.
 
-
-def read_tokens(files: DataFrame, id_type: str = "long") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) for each document, all from the files of token_files()."""
+    id_type: "string" for ids that are strings, else the whole number type of the ids.
+    """
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    files = manifest.repartition(int(total >> 22) + manifest.sparkSession.sparkContext.defaultParallelism, "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, file in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("file"), strict=True):
-                matrix, about = WaveletMatrix.from_bytes(memoryview(file.as_buffer()).tobytes())
+            for part, seq, path in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "path")), strict=True):
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as f:
+                    matrix, about = WaveletMatrix.from_bytes(f.read())
                 ids, ends = matrix.ids(), np.cumsum(about["counts"])
                 starts = ends - about["counts"]
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -215,7 +233,7 @@ def read_tokens(files: DataFrame, id_type: str = "long") -> DataFrame:
 
     kind = pa.string() if id_type == "string" else {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[id_type]
     docs = files.mapInArrow(run, f"part long, seq long, id {id_type}, inside long, n_tokens long, ids_crc32 long")
-    shards = files.select("part", "seq", "n_tokens")
+    shards = manifest.select("part", "seq", "n_tokens")
 
     def before(*by: str):
         w = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)

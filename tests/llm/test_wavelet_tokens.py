@@ -8,6 +8,7 @@ from auditloom.llm import wavelet_tokens as W
 from auditloom.llm.tokens import Encoder
 
 ODD = ["", None, "a", "It's John's 'quoted' they'LL", "<|endoftext|> x <|startoftext|>y", "x<|endoftext", "naïve café ÀÉÎ ŒUVRE", "İstanbul ǅ ẞ", "日本語 テキスト 123", "é x y z", "1234 ½ x²", "a_b--c..!! ###x", "tab\tnew\nline\r\n", "\x0b\x0c\x1c\x85", "!" * 500, "a" * 3000, "🙂🙂 ok", "Ⱥb", "x" + "\x00" + "y", "ﬁ ﬂ", "µ ª º ¿qué?", "'", "''s"]
+ODD += ["a" + "m" * 4095 + "b", "b" + "m" * 4095 + "a"]  # two pieces of one hash
 
 
 @pytest.mark.parametrize("n,top", [(0, 5), (1, 1), (700, 3), (5000, 49407), (3000, 100_000)])
@@ -55,3 +56,20 @@ def test_whole_small_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, W.op9_wavelet_tokens(spark, d).collect()), key=str) == expected(rows)
+
+
+def test_pieces_of_one_hash(spark):
+    t = Tokenizer.from_file(W.default_tokenizer())
+    e = Encoder(open(W.default_tokenizer()).read())
+    for texts in (ODD[-2:], ODD[:-3:-1], ODD[-1:], ODD[-2:-1]):  # in one batch, the other way round, and known from before
+        ids, n = e.encode(texts)
+        for got, text in zip(np.split(ids, np.cumsum(n)[:-1]), texts, strict=True):
+            assert got.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_leftovers_are_not_read(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    manifest = W.token_files(docs, folder=f"file://{tmp_path}/t")
+    (tmp_path / "t" / "tokens-000000-00000-0.wm").write_bytes(b"left by a lost task")
+    assert [r.id for r in W.read_tokens(manifest).orderBy("id").collect()] == [1, 2]
+    assert len(list((tmp_path / "t").glob("*.wm"))) == manifest.count() + 1
