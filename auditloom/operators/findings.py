@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -16,14 +16,15 @@ def fingerprint(file: Column, line: Column) -> tuple[Column, Column]:
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:
-    """One finding of each category, file and bucket of lines: the one of the highest priority, the earliest of these.
+    """One finding of each category, file and bucket of lines: the one of the greatest score, of equals that of the lowest
+    priority, of these the last.
 
     Within a bucket any two findings are close enough to merge, so a group is its key. The best is found by max_by, which
     combines before the shuffle; so a file with very many findings costs a row for each task.
     """
     file, bucket = fingerprint(F.col("file"), F.col("line"))
     keyed = findings.select("*", rules.category(F.col("scanner_id")).alias("category"), file.alias("at_file"), bucket.alias("bucket"), rules.priority(F.col("severity"), F.col("confidence")).alias("priority"))
-    best = keyed.groupBy("category", "at_file", "bucket").agg(F.max_by(F.struct(*findings.columns, "priority"), F.struct("priority", (-F.col("ord")).alias("o"))).alias("f"))
+    best = keyed.groupBy("category", "at_file", "bucket").agg(F.max_by(F.struct(*findings.columns, "priority"), F.struct("score", (-F.col("priority")).alias("p"), "ord")).alias("f"))
     return best.select("category", "at_file", "bucket", "f.*")
 
 

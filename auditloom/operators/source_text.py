@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import pick
+
 
 def lines(sources: DataFrame, key: str, text: str) -> DataFrame:
     return sources.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line_text")).select(key, (F.col("pos") + 1).cast("long").alias("line"), "line_text")
@@ -19,6 +21,12 @@ def without_comments(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
 
 
+def stripped(text: Column) -> Column:
+    """Without comments (one that isn't closed goes to the end), and without the lines that are blank then."""
+    code = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?(\*/|$)", ""), r"//[^\n]*", "")
+    return F.array_join(F.filter(F.split(code, "\n"), lambda x: F.trim(F.translate(x, "\t\r", "  ")) != ""), "\n")
+
+
 def context(all_lines: DataFrame, key: str, hit: Column, before: int = 3, after: int = 3) -> DataFrame:
     """Hit lines with the lines around them."""
     w = Window.partitionBy(key).orderBy("line").rowsBetween(-before, after)
@@ -47,7 +55,7 @@ def functions_of(sources: DataFrame, key: str = "file", text: str = "content") -
 
 
 def timestamp_findings(lines_: DataFrame, name: str, mutability: str, text: str) -> DataFrame:
-    """Lines that read the block time, with a severity and a score by what they do with it."""
+    """Lines that read the block time and take a remainder, compare for equality, branch or return: severity and score."""
     t = F.trim(text)
     has = lambda *parts: F.exists(F.array(*map(F.lit, parts)), lambda p: t.contains(p))
     mod, eq, ret = has("%"), has("==", "!="), has("return ")
@@ -57,26 +65,33 @@ def timestamp_findings(lines_: DataFrame, name: str, mutability: str, text: str)
     safe = (req & has(" > ", " >= ", " < ", " <= ")) | (req & eq & has("last", "prev"))
     assign = has("=") & ~eq & ~in_if & ~ret & ~mod
     used = mod | eq | in_if | ret
-    severity = F.when(used & random, "High").when(used & safe, "Low").when(used & mod, "High").otherwise("Medium")
-    score = F.when(used & random, 0.9).when(used & safe, 0.4).when(used & mod, 0.85).when(used & (in_if | ret), 0.7).otherwise(0.6)
+    severity = F.when(random, "High").when(safe, "Low").when(mod, "High").otherwise("Medium")
+    score = F.when(random, 0.9).when(safe, 0.4).when(mod, 0.85).when(in_if | ret, 0.7).otherwise(0.6)
     view = F.col(mutability).isin("view", "pure")
-    out = lines_.where(has("block.timestamp", "now") & ~assign).withColumns({"severity": severity, "score": score, "random": random})
+    out = lines_.where(has("block.timestamp", "now") & ~assign & used).withColumns({"severity": severity, "score": score, "random": random})
     return out.where(~(F.col(name).rlike("^is[A-Z]") & view & ~F.col("random") & (F.col("score") < 0.7)) & ~(view & (F.col("score") < 0.6))).drop("random")
 
 
+#: Operations that move value or ownership; what shows, in the code or among the modifiers, that the caller is checked.
+SENSITIVE = r"\.transfer\(|\.send\(|\.call\{value:|selfdestruct\(|delegatecall\(|(owner|admin) ?=(?!=)|_mint\(|_burn\(|totalSupply (\+|-)?= "
+GUARDS = "only(Owner|Admin|Role|Governance|Minter|Pauser|Controller)|auth|restricted"
+SENSITIVE_KINDS = ("unprotected-ether-withdrawal", "unprotected-ownership-change", "unprotected-selfdestruct", "missing-access-control")
+
+
 def access_findings(functions: DataFrame) -> DataFrame:
-    """Public functions that move value or ownership without a check of the caller. Columns func, visibility, mutability, header, body."""
-    b = without_comments(F.col("body"))
-    sensitive = b.rlike(r"\.transfer\(|\.send\(|\.call\{value:|selfdestruct\(|delegatecall\(|(owner|admin) = |_mint\(|_burn\(|totalSupply (\+|-)?= ")
-    low = b.contains("msg.sender")
-    guarded = (b.contains("require") & low & b.rlike("owner|admin")) | (b.contains("revert") & b.rlike("owner|admin|authorized")) | (b.contains("assert") & low & b.contains("owner")) | b.rlike(r"(OnlyOwner|Unauthorized|NotOwner)\(\)")
-    modified = F.col("header").rlike("only(Owner|Admin|Role|Governance|Minter|Pauser|Controller)|auth|restricted")
-    own = F.lower("func").contains("deposit") | (F.lower("func").contains("withdraw") & b.rlike(r"(balances|deposits|stakes)\[msg\.sender\]"))
-    kind = F.when(b.rlike(r"\.transfer\(|\.send\(|\.call\{value:"), "unprotected-ether-withdrawal").when(b.rlike("(owner|admin) = "), "unprotected-ownership-change").when(b.contains("selfdestruct("), "unprotected-selfdestruct").otherwise("missing-access-control")
-    from ..functions.rules import pick
-
-    severity = pick(kind, ("unprotected-ether-withdrawal", "unprotected-ownership-change", "unprotected-selfdestruct", "missing-access-control"), ("High", "Critical", "Critical", "Medium"))
-    return functions.where(sensitive & ~guarded & ~modified & ~own & ~F.col("mutability").isin("view", "pure") & ~F.col("visibility").isin("private", "internal")).withColumns({"finding_type": kind, "severity": severity})
+    """Public functions that move value or ownership without a check of the caller. Columns func, visibility, mutability, header, body.
+
+    Sensitive operations and guards are looked for in the whole text, checks in the code without // comments.
+    """
+    body, code = F.col("body"), F.regexp_replace("body", r"//[^\n]*", "")
+    whole = F.concat_ws(" ", "header", "body")
+    sender = code.contains("msg.sender")
+    checked = (code.contains("require") & sender & code.rlike("owner|admin")) | (code.contains("revert") & code.rlike("owner|admin|authorized")) | (code.contains("assert") & sender & code.contains("owner")) | code.rlike(r"(OnlyOwner|Unauthorized|NotOwner)\(\)")
+    own = F.lower("func").contains("deposit") | (F.lower("func").contains("withdraw") & body.rlike(r"(balances|deposits|stakes)\[msg\.sender\]"))
+    kind = F.when(body.rlike(r"\.transfer\(|\.send\(|\.call\{value:"), SENSITIVE_KINDS[0]).when(body.rlike("(owner|admin) ?=(?!=)"), SENSITIVE_KINDS[1]).when(body.contains("selfdestruct("), SENSITIVE_KINDS[2]).otherwise(SENSITIVE_KINDS[3])
+    severity = pick(kind, SENSITIVE_KINDS, ("High", "Critical", "Critical", "Medium"))
+    open_ = ~F.col("mutability").isin("view", "pure") & ~F.col("visibility").isin("private", "internal")
+    return functions.where(body.rlike(SENSITIVE) & ~checked & ~whole.rlike(GUARDS) & ~own & open_).withColumns({"finding_type": kind, "severity": severity})
 
 
 def gas_limit_findings(loops: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import correlate, findings, graph, sequence, source_text
+from ..operators import correlate, detectors, findings, graph, sequence, source_text
+from ..operators.facts import Facts
 from . import bindings as B
+from . import contracts as C
+from . import scan
 
 FLAGSHIP = "td_findings_dedup"
 QUERIES: dict = {}
@@ -29,7 +32,7 @@ RANK = "CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' TH
 
 
 @query(f"""WITH {B.FINDINGS_SQL}, k AS (SELECT *, {B.CATEGORY_SQL} AS category, replace(file, 'contracts/', '') AS at_file, line // 5 AS bucket, {B.PRIORITY_SQL} AS priority FROM findings),
-r AS (SELECT *, row_number() OVER (PARTITION BY category, at_file, bucket ORDER BY priority DESC, ord) AS n FROM k) SELECT category, at_file, CAST(bucket AS BIGINT) AS bucket, ord, scanner_id, severity, confidence, score, file, line, function, priority FROM r WHERE n = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY category, at_file, bucket ORDER BY score DESC, priority, ord DESC) AS n FROM k) SELECT category, at_file, CAST(bucket AS BIGINT) AS bucket, ord, scanner_id, severity, confidence, score, file, line, function, priority FROM r WHERE n = 1""")
 def td_findings_dedup(spark: SparkSession, d: str) -> DataFrame:
     return findings.deduplicated(B.findings(spark, d))
 
@@ -294,3 +297,57 @@ def td_canonical_names(spark: SparkSession, d: str) -> DataFrame:
 def td_markdown_report(spark: SparkSession, d: str) -> DataFrame:
     f = B.findings(spark, d).withColumn("title", F.concat("scanner_id", F.lit(" in "), F.col("function")))
     return findings.markdown(f).select("ord", "markdown")
+
+
+def _scanned(detector: detectors.Detector):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        found = detector.run(Facts(C.sources(spark, d)))
+        return found.select("file", "scanner_id", "finding_type", "severity", "confidence", "function", "line")
+
+    f.__name__ = "td_scan_" + detector.id.replace("source-", "").replace("-", "_")
+    return query(C.findings_sql(detector.id))(f)
+
+
+for _d in detectors.DETECTORS:
+    _scanned(_d)
+
+
+@query(f"""WITH f AS ({C.findings_sql()}) SELECT scanner_id, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(*) FILTER (severity = 'Informational') AS informational, count(*) AS total FROM f GROUP BY 1""")
+def td_scan_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every detector of the registry in one plan."""
+    return findings.severity_counts(scan.detected(Facts(C.sources(spark, d)), scan.selected(every=True)), "scanner_id")
+
+
+@query(f"""WITH {C.USED}, f(i, visibility, mutability, modifiers, params, fin) AS ({C.values(C.FUNCTION_FACTS)}) SELECT file, name AS func, visibility, mutability, modifiers, params, CAST(base AS BIGINT) AS line, CAST(base + fin AS BIGINT) AS end_line FROM used JOIN f USING (i) JOIN size USING (i)""")
+def td_facts_functions(spark: SparkSession, d: str) -> DataFrame:
+    f = Facts(C.sources(spark, d)).functions
+    return f.select("file", "func", "visibility", "mutability", F.array_join("modifiers", ",").alias("modifiers"), F.array_join(F.transform("params", lambda p: p["name"]), ",").alias("params"), F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+@query(f"""WITH {C.USED}, f(i, a, b, loop_type, condition, calls, writes, length) AS ({C.values(C.LOOP_FACTS)}) SELECT file, name AS func, loop_type, condition, calls, writes, length, CAST(base + a AS BIGINT) AS line, CAST(base + b AS BIGINT) AS end_line FROM used JOIN f USING (i) JOIN size USING (i)""")
+def td_facts_loops(spark: SparkSession, d: str) -> DataFrame:
+    f = Facts(C.sources(spark, d)).loops
+    return f.select("file", "func", "loop_type", "condition", F.col("contains_external_calls").alias("calls"), F.col("contains_storage_writes").alias("writes"), F.col("iterates_over_length").alias("length"), F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+@query(f"""WITH {C.USED}, f(i, a, call_type, target, is_checked) AS ({C.values(C.CALL_FACTS)}) SELECT file, name AS func, call_type, target, is_checked, CAST(base + a AS BIGINT) AS line FROM used JOIN f USING (i) JOIN size USING (i)""")
+def td_facts_calls(spark: SparkSession, d: str) -> DataFrame:
+    return Facts(C.sources(spark, d)).calls.select("file", "func", "call_type", "target", "is_checked", F.col("line").cast("long").alias("line"))
+
+
+@query(f"""WITH {C.USED}, f(i, a, left_side, right_side) AS ({C.values(C.ASSIGNMENT_FACTS)}) SELECT file, name AS func, left_side, right_side, CAST(base + a AS BIGINT) AS line FROM used JOIN f USING (i) JOIN size USING (i)""")
+def td_facts_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return Facts(C.sources(spark, d)).assignments.select("file", "func", "left_side", "right_side", F.col("line").cast("long").alias("line"))
+
+
+@query(f"""WITH {C.USED} SELECT file, 'onlyOwner' AS name, CAST(max(base + n) AS BIGINT) AS line, true AS is_access_control, coalesce(max(CASE WHEN i = 6 THEN 'setOwner' END), '') AS used_by FROM used JOIN size USING (i) GROUP BY file""")
+def td_facts_modifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Modifiers, and the functions that are restricted by them."""
+    facts = Facts(C.sources(spark, d))
+    used = facts.access_modifiers().groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("func")), ",").alias("used_by"))
+    return facts.modifiers.join(used, "file", "left").select("file", "name", F.col("line").cast("long").alias("line"), "is_access_control", F.coalesce("used_by", F.lit("")).alias("used_by"))
+
+
+@query(f"""WITH {C.USED}, f(i, a, b, loop_type, condition, calls, writes, length) AS ({C.values(C.LOOP_FACTS)}), g(i, c, left_side, right_side) AS ({C.values(C.ASSIGNMENT_FACTS)}) SELECT DISTINCT file, name AS func, CAST(base + a AS BIGINT) AS line FROM used JOIN f USING (i) JOIN g USING (i) JOIN size USING (i) WHERE c > b""")
+def td_facts_writes_after_loops(spark: SparkSession, d: str) -> DataFrame:
+    return Facts(C.sources(spark, d)).loops_before_assignments().select("file", "func", F.col("line").cast("long").alias("line"))
