@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import shared_dir, table
 from .fm_index import FMIndex
-from .vectext import hashes, lengths, runs
+from .vectext import cuts, hashes, lengths, runs
 
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # in UTF-8, of lower-cased text: the contract's class, byte by byte
-_IS_WORD = np.zeros(256, bool)
+_IS_WORD = np.zeros(256, bool)  # in UTF-8, of lower-cased text: the contract's class, byte by byte
 _IS_WORD[np.r_[0x30:0x3A, 0x61:0x7B, 0x80:0x100]] = True
 _GAP = 1  # the symbol between documents
 
@@ -26,21 +28,47 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode().lower()  # bytes.lower() changes A-Z alone
 
 
-def windows(items: list[tuple[int, str | None]], size: int) -> dict[tuple[bytes, ...], list[int]]:
-    """Each different window and the items that have it; an item of fewer words is one window, one of none has none."""
-    out: dict[tuple[bytes, ...], list[int]] = {}
-    for item, text in items:
-        words = tuple(WORD.findall(lowered(text)))
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            owners = out.setdefault(words[i : i + size], [])
-            if not owners or owners[-1] != item:
-                owners.append(item)
-    return out
-
-
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    ends = np.cumsum([len(w) for w in words])
-    return hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+class Block:
+    """The windows of some benchmark items, as places in one row of their words: an item of fewer than `size` words is one
+    window, one of none has none."""
+
+    def __init__(self, items: list[str], texts: list[bytes], size: int):
+        self.items, self.buf = items, np.frombuffer(b"\n".join(texts), np.uint8)
+        self.begin, self.end = runs(_IS_WORD[self.buf])
+        self.codes = hashes(self.buf, self.begin, self.end)
+        first = np.searchsorted(self.begin, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+        words = np.diff(first)
+        n = np.where(words > 0, np.maximum(1, words - size + 1), 0)
+        self.item = np.repeat(np.arange(len(items)), n)
+        self.start = np.repeat(first[:-1], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.len = np.repeat(np.minimum(words, size), n)
+
+    def words(self, window: int) -> list[bytes]:
+        at = range(self.start[window], self.start[window] + self.len[window])
+        return [self.buf[self.begin[i] : self.end[i]].tobytes() for i in at]
+
+
+_BLOCKS: OrderedDict[str, list[Block]] = OrderedDict()  # of the last benchmark that a worker used, if small
+
+
+def blocks_of(folder: str, size: int, most: int = 8 << 20) -> Iterator[Block]:
+    """The blocks of a benchmark table, one at a time. A worker keeps those of a benchmark of up to `most` bytes of text."""
+    if (known := f"{folder} {size}") in _BLOCKS:
+        yield from _BLOCKS[known]
+        return
+    store, path = fs.FileSystem.from_uri(folder)
+    held, total = [], 0
+    for rows in dataset(path, filesystem=store, format="parquet").to_batches(batch_size=1, batch_readahead=1, fragment_readahead=1):
+        for items, texts in zip(rows["items"].to_pylist(), rows["texts"].to_pylist(), strict=True):
+            block, total = Block(items, texts, size), total + sum(map(len, texts))
+            if total <= most:
+                held.append(block)
+            else:
+                held.clear()
+            yield block
+    if total <= most:
+        _BLOCKS.clear()
+        _BLOCKS[known] = held
 
 
 class Shard:
@@ -58,24 +86,27 @@ class Shard:
         t[self.at] = ids + 2
         self.index = FMIndex(t)
 
-    def find(self, patterns: list[tuple[bytes, ...]], codes: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """(text, first word, pattern) for each occurrence; codes: the hashes of the patterns' words."""
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        where = np.minimum(np.searchsorted(self.vocabulary, flat), max(0, len(self.vocabulary) - 1))
-        known = self.vocabulary[where] == flat if len(self.vocabulary) else np.zeros(len(flat), bool)
-        symbols = np.split(np.where(known, where + 2, -1), np.cumsum([len(c) for c in codes])[:-1]) if codes else []
-        low, high = self.index.search(symbols) if symbols else (np.zeros(0, int), np.zeros(0, int))
+    def find(self, block: Block) -> Iterator[tuple[int, int, int]]:
+        """(text, first word, window) for each occurrence of the block's windows."""
+        if not len(self.vocabulary) or not len(block.start):
+            return
+        where = np.minimum(np.searchsorted(self.vocabulary, block.codes), len(self.vocabulary) - 1)
+        symbols = np.where(self.vocabulary[where] == block.codes, where + 2, -1)
+        low, high = self.index.search_in(symbols, block.start, block.len)
         n = high - low
         rows = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
         place, which = self.index.locate(rows), np.repeat(np.arange(len(n)), n)
         word = np.searchsorted(self.at, place)
         text = np.searchsorted(self.first, word, "right") - 1
-        read: dict[int, list[bytes]] = {}
-        for d, w, p in zip(text.tolist(), (word - self.first[text]).tolist(), which.tolist(), strict=True):
-            if d not in read:
-                read = {d: WORD.findall(self.texts[d])} if len(read) > 256 else read | {d: WORD.findall(self.texts[d])}
-            if tuple(read[d][w : w + len(patterns[p])]) == patterns[p]:  # hashes of 64 bits are not proof
-                yield d, w, p
+        wanted: dict[int, list[bytes]] = {}
+        for d, w, p in zip(text.tolist(), word.tolist(), which.tolist(), strict=True):
+            if p not in wanted:
+                if len(wanted) > 4096:
+                    wanted.clear()
+                wanted[p] = block.words(p)
+            at = int(self.offset[d])
+            if all(self.texts[d][self.starts[i] - at : self.ends[i] - at] == x for i, x in zip(range(w, w + len(wanted[p])), wanted[p], strict=True)):  # hashes of 64 bits are not proof
+                yield d, w - int(self.first[d]), p
 
     def span(self, text: int, first: int, last: int) -> tuple[int, int]:
         """Code points [start, end) of words first to last."""
@@ -93,35 +124,61 @@ def _merged(occurrences: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(spark: SparkSession, bench: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int) -> list:
-    """Broadcasts of the benchmark's windows, each of items of block_bytes at most (or one longer item)."""
-    b = bench.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    total = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-2 * total // block_bytes) or 1
-    out = []
-    for k in range(n):
-        part = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        found = windows(sorted((r.i, r.t) for r in part.toLocalIterator()), size)
-        words = [w for p in found for w in p]
-        cuts = np.cumsum([len(p) for p in found])[:-1]
-        codes = np.split(_hash_words(words), cuts) if words else []
-        out.append(spark.sparkContext.broadcast((list(found), list(found.values()), codes)))
+def _joined(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(first word, last, first code point, last) of pieces' spans, those that touch as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for a, b, c, d in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2], max(d, out[-1][3]))
+        else:
+            out.append((a, b, c, d))
     return out
 
 
+def stored_blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int) -> str:
+    """Writes the benchmark to the shared folder as a table of blocks, lists of items and of lower-cased texts of block_bytes
+    at most (or one longer item); returns its place. Spark's tasks make the blocks: nothing passes through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for to in cuts(batch.column("t"), block_bytes):
+                part = batch.slice(done, to - done)
+                done = to
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("i").to_pylist()], pa.list_(pa.string())), pa.array([[lowered(x) for x in part.column("t").to_pylist()]], pa.list_(pa.binary()))], ["items", "texts"])
+
+    at = f"{shared_dir(bench.sparkSession)}/benchmark-{uuid.uuid4().hex}"
+    rows = bench.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    rows.mapInArrow(run, "items array<string>, texts array<binary>").write.parquet(at)
+    return at
+
+
+def pieces_of(text: bytes, most: int, overlap: int) -> list[tuple[int, int, bytes]]:
+    """(byte, word, piece): a text of over `most` bytes in pieces that begin at a word and reach `overlap` words into the next."""
+    if len(text) <= most:
+        return [(0, 0, text)]
+    begin, end = runs(_IS_WORD[np.frombuffer(text, np.uint8)])
+    out, word = [], 0
+    while word < len(begin):
+        to = max(word + 1, int(np.searchsorted(begin, begin[word] + most)))
+        out.append((int(begin[word]), word, text[begin[word] : end[min(len(begin), to + overlap) - 1]]))
+        word = to
+    return out or [(0, 0, b"")]
+
+
 def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  keep: tuple[str, ...] = (), size: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+                  keep: tuple[str, ...] = (), size: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 1 << 20, piece_bytes: int = 12 << 20) -> DataFrame:
     """One row for each row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, and the columns in keep.
 
-    Tasks cut their rows into shards of about shard_bytes of text (one longer text is a shard of its own), index each
-    different text of a shard once and search the benchmark's windows of `size` words block by block. items: ids as sorted
-    strings; spans: the merged removal spans in code points, end exclusive. contaminated: n_hit > 0 and share * n_hit >=
-    n_words. No shuffle; a lost task is redone from its input rows. The benchmark is sent in blocks of a checked size, and
-    a larger one makes more blocks. Null or empty texts have no words; repeated rows each get a row; an empty benchmark or
+    Tasks cut their rows into shards of about shard_bytes of text, index each different text of a shard once and search the
+    benchmark's windows of `size` words block by block. A longer text is a shard of its own, one of over piece_bytes is
+    indexed in pieces that overlap by a window, so that no index grows with a text. items: ids as sorted strings; spans:
+    the merged removal spans in code points, end exclusive. contaminated: n_hit > 0 and share * n_hit >= n_words. No
+    shuffle; a lost task is redone from its input rows. The benchmark is a table of blocks of block_bytes in the shared
+    folder, and a task reads one block at a time, so its size is bounded by nothing but time. Null or empty texts have no words; repeated rows each get a row; an empty benchmark or
     empty docs give no hits or no rows; null item ids own no windows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    blocks = _blocks(spark, bench.where(F.col(item_col).isNotNull()), item_col, item_text_col, size, block_bytes)
+    folder = stored_blocks(bench, item_col, item_text_col, block_bytes)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c) for c in keep if c not in (id_col, text_col)))
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
              T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
@@ -133,21 +190,30 @@ def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     def shard(rows: pa.Table) -> pa.RecordBatch:
         texts = [lowered(x) for x in rows["text"].to_pylist()]
         order = {x: i for i, x in enumerate(dict.fromkeys(texts))}
-        s = Shard(list(order))
-        found: dict[int, tuple[list, set]] = {}
-        for block in blocks:
-            patterns, owners, codes = block.value
-            for d, w, p in s.find(patterns, codes):
-                at, items = found.setdefault(d, ([], set()))
-                at.append((w, w + len(patterns[p])))
-                items.update(owners[p])
+        distinct = list(order)
+        found: list[set[str]] = [set() for _ in order]
+        merged: list[list] = [[] for _ in order]
+        n_words, whole = [0] * len(order), [x for x in order if len(x) <= piece_bytes]
+        indexed = [(whole, [(order[x], 0, 0) for x in whole])] if whole else []
+        for x in order:  # an index for each piece of a very long text, one after another
+            if len(x) > piece_bytes:
+                indexed += [([piece], [(order[x], byte, word)]) for byte, word, piece in pieces_of(x, piece_bytes, size - 1)]
+        for some, owners in indexed:
+            s, hits = Shard(some), {}
+            for block in blocks_of(folder, size):
+                for d, w, p in s.find(block):
+                    hits.setdefault(d, set()).add((w, w + int(block.len[p])))
+                    found[owners[d][0]].add(block.items[block.item[p]])
+            for d, (i, byte, word) in enumerate(owners):
+                n_words[i] = max(n_words[i], word + int(s.first[d + 1] - s.first[d]))
+                base = len(distinct[i][:byte].decode()) if byte else 0
+                for a, b in _merged(list(hits.get(d, ()))):
+                    merged[i].append((word + a, word + b, *(base + c for c in s.span(d, a, b - 1))))
         one: list[tuple] = []
-        for d in range(len(order)):
-            n = int(s.first[d + 1] - s.first[d])
-            at, ids = found.get(d, ([], set()))
-            merged, ids = _merged(at), sorted(map(str, ids))
-            hit = sum(b - a for a, b in merged)
-            one.append((n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and share * hit >= n, ids, [dict(zip(("start", "end"), s.span(d, a, b - 1), strict=True)) for a, b in merged]))
+        for i, n in enumerate(n_words):
+            ids, spans = sorted(found[i]), _joined(merged[i])
+            hit = sum(b - a for a, b, *_ in spans)
+            one.append((n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and share * hit >= n, ids, [{"start": c, "end": d} for *_, c, d in spans]))
         cols = list(zip(*(one[order[x]] for x in texts), strict=True))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), kind]
         return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in names), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*names, *(f.name for f in added)])

@@ -6,16 +6,18 @@ import numpy as np
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; t: symbols below 2**20, the last one 0 and nowhere else.
+    """Suffix array by prefix doubling; t: symbols below 2**31, the last one 0 and nowhere else.
 
-    The first round sorts by three symbols at once; each later round sorts only what is still tied.
+    The first round sorts by three symbols at once (two, if any needs more than 20 bits); each later round sorts only what
+    is still tied.
     """
     n = len(t)
     x = np.concatenate([t.astype(np.int64), np.zeros(3, np.int64)])
-    key = x[:n] << 40 | x[1 : n + 1] << 20 | x[2 : n + 2]
+    wide = int(t.max()) >= 1 << 20
+    key = x[:n] << 31 | x[1 : n + 1] if wide else x[:n] << 40 | x[1 : n + 1] << 20 | x[2 : n + 2]
     sa = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
-    at, sorted_key, k = np.arange(n), key[sa], 3
+    at, sorted_key, k = np.arange(n), key[sa], 2 if wide else 3
     while True:
         new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
         group = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
@@ -83,13 +85,11 @@ class Wavelet:
 
 
 class FMIndex:
-    """t: symbols from 1 on, below 2**20 - 1; a terminator is added."""
+    """t: symbols from 1 on, below 2**31; a terminator is added."""
 
     def __init__(self, t: np.ndarray, sample: int = 32):
         t = np.concatenate([np.asarray(t, np.int64), [0]])
         top = int(t.max())
-        if top >= 1 << 20:
-            raise ValueError("a shard has too many different symbols")
         sa = suffix_array(t)
         self.n = len(t)
         self.wavelet = Wavelet(t[sa - 1], top)
@@ -98,18 +98,19 @@ class FMIndex:
         self.marked, self.samples = Bits(marked), sa[marked].astype(np.int32)
 
     def search(self, patterns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [low, high) of the suffixes that begin with each pattern, by backward search of all patterns at once."""
         lens = np.array([len(p) for p in patterns], np.int64)
-        padded = np.full((len(patterns), int(lens.max(initial=1))), -1, np.int64)
-        for i, p in enumerate(patterns):
-            padded[i, : len(p)] = p
-        low, high = np.zeros(len(patterns), np.int64), np.where(lens > 0, self.n, 0)
+        return self.search_in(np.concatenate([*patterns, np.zeros(0, np.int64)]), np.cumsum(lens) - lens, lens)
+
+    def search_in(self, symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [low, high) of the suffixes that begin with each pattern symbols[start : start + len], by backward search of
+        all patterns at once; negative symbols are unknown."""
+        low, high = np.zeros(len(lens), np.int64), np.where(lens > 0, self.n, 0)
         alive = np.flatnonzero(lens)
-        for step in range(padded.shape[1]):
+        for step in range(int(lens.max(initial=0))):
             alive = alive[(step < lens[alive]) & (low[alive] < high[alive])]
             if not len(alive):
                 break
-            c = padded[alive, lens[alive] - 1 - step]
+            c = symbols[starts[alive] + lens[alive] - 1 - step]
             known = (c >= 0) & (c < len(self.wavelet.first))
             known[known] = self.wavelet.first[c[known]] >= 0
             high[alive[~known]] = low[alive[~known]]

@@ -81,3 +81,21 @@ def test_whole_small_table(spark):
     d = "/root/testdata/sf0.001"
     want = brute(*(map(tuple, spark.read.parquet(f"{d}/{t}.parquet").select(k, "text").collect()) for t, k in (("documents", "doc_id"), ("benchmark", "item_id"))))
     assert sorted(map(tuple, op1_decontaminate(spark, d).collect()), key=str) == want
+
+
+def test_long_texts_in_pieces(spark):
+    """Pieces of a few words: windows and spans over their limits are found as in the whole text."""
+    r = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{j}" if r.random() < 0.97 else "ü" for k in range(4) for j in range(20))) for i in range(20)] + [(99, "ß " + " ".join(f"w{i}" for i in range(20)) + " é")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string")
+    got = contamination(df, bench, piece_bytes=40)
+    assert sorted(map(tuple, got.drop("items", "spans").collect()), key=str) == brute(docs, BENCH)
+    assert [tuple(x) for x in got.where("doc_id = 99").first().spans] == [(2, 2 + len(BENCH[0][1]))]
+    assert sorted(map(str, got.collect())) == sorted(map(str, contamination(df, bench).collect()))
+
+
+def test_a_million_different_words():
+    t = np.arange(1, (1 << 20) + 50)
+    index = FMIndex(np.concatenate([t, t[:5]]), sample=64)
+    low_, high = index.search([t[:5], t[-3:], t[7:20]])
+    assert (high - low_).tolist() == [2, 1, 1] and sorted(index.locate(np.arange(low_[0], high[0]))) == [0, len(t)]
