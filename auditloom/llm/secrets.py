@@ -87,11 +87,30 @@ def like_words(s: str) -> float:
     return 0.5 * math.erfc(float(_LETTERS[x].mean() - _LETTERS.mean()) / float(_LETTERS.std()) * math.sqrt(len(x) / 2))
 
 
-def p_value(s: str, name: str, x: np.ndarray, size: int) -> float:
-    """The battery's, and for encodings that words can be, twice the lesser of that and like_words()."""
+_SHARE = np.exp(_LETTERS) / np.exp(_LETTERS).sum()
+_PROSE = float((_SHARE * _LETTERS).sum()), float(((_SHARE * _LETTERS**2).sum() - (_SHARE * _LETTERS).sum() ** 2) ** 0.5)  # mean and deviation of weights in prose
+DIGITS = 0.1  # share of digits that names and words have at most
+RANDOM = 0.01  # below this p-value of being random a string isn't
+
+
+def randomness(s: str, name: str, x: np.ndarray, size: int) -> float:
+    """p-value of s being random: the battery's, and for encodings that words can be, twice the lesser of that and like_words()."""
     return min(1.0, 2 * min(battery(x, size), like_words(s))) if name in WORDY else battery(x, size)
 
 
+def p_value(s: str, name: str, x: np.ndarray, size: int) -> float:
+    """p-value of s being a name or words: twice the lesser of two, that letters of prose weigh so little and that a string of
+    DIGITS digits has so many; 1 if the battery of tests shows that s isn't random."""
+    if randomness(s, name, x, size) < RANDOM:
+        return 1.0
+    letters = np.array([ord(c) - 97 for c in s.lower() if "a" <= c <= "z"])
+    mean, deviation = _PROSE
+    p = 0.5 * math.erfc((mean - float(_LETTERS[letters].mean())) / deviation * math.sqrt(len(letters) / 2) / math.sqrt(2)) if len(letters) else 1.0
+    d, n = sum(c.isdigit() for c in s), len(s)
+    q = sum(math.comb(n, k) * DIGITS**k * (1 - DIGITS) ** (n - k) for k in range(d, n + 1)) if n <= 400 else 0.5 * math.erfc((d - n * DIGITS) / math.sqrt(2 * n * DIGITS * (1 - DIGITS)))
+    return min(1.0, 2 * min(p, q))
+
+
 def length_bin(n: int) -> int:
     return n.bit_length()  # strata double in length
 
@@ -119,10 +138,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
 def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
     """One row for each row of docs: id_col, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Base spans are those of the three patterns. Other runs of 20 or more characters in which an encoding is recognised are
-    held to be secrets unless they are found to be non-random: a Benjamini-Hochberg procedure at `rate` over the battery's
-    p-values of all candidates of a stratum (encoding, and length by powers of two) in all documents, so that a test of
-    short strings isn't judged by the many long ones. P-values are counted in bins rounded up. Null and empty texts have
+    Base spans are those of the three patterns. Of other runs of 20 or more characters in which an encoding is recognised,
+    those are held to be secrets that the battery of randomness tests accepts and that are told from names and words: by a
+    Benjamini-Hochberg procedure over the p-values of all candidates of a stratum (encoding, and length by powers of two)
+    in all documents, so that of what is reported of each length a share of about `rate` at most is names or words, and
+    short strings aren't judged by the many long ones. P-values are counted in bins rounded up. Null and empty texts have
     no spans; equal texts have equal ones; repeated or null ids do no harm; other columns are not read.
     """
 
@@ -144,15 +164,15 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {source.schema['id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, stop: long>>, more array<struct<start: long, stop: long, stratum: int, bin: int>>"
     found = stored(source.mapInArrow(run, schema), "secrets")
-    # a bin b holds p-values of 10 ** -(b / 20) at most: the largest such p within rate * rank / all rejects all below it
+    # a bin b holds p-values of 10 ** -(b / 20) at most: the largest such p within rate * rank / all reports all below it
     bins = found.select(F.explode("more").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count(F.lit(1)).alias("n"))  # strata times bins at most
     w = Window.partitionBy("stratum")
     ranked = bins.withColumn("rank", F.sum("n").over(w.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     cut = ranked.groupBy("stratum").agg(F.min(F.when(F.pow(F.lit(10.0), -F.col("bin") / 20) <= F.lit(rate) * F.col("rank") / F.col("all"), F.col("bin"))).alias("bin")).where("bin is not null")
     one = cut.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "bin"))).alias("cut"))
-    rejects = one.first()["cut"] or {}  # a stratum an entry: encodings times lengths
-    limit = F.create_map(*(F.lit(x).cast("int") for kv in rejects.items() for x in kv)) if rejects else F.create_map().cast("map<int,int>")
-    kept = F.filter("more", lambda c: F.coalesce(c["bin"] < F.try_element_at(limit, c["stratum"]), F.lit(True)))
+    found_from = one.first()["cut"] or {}  # a stratum an entry: encodings times lengths
+    limit = F.create_map(*(F.lit(x).cast("int") for kv in found_from.items() for x in kv)) if found_from else F.create_map().cast("map<int,int>")
+    kept = F.filter("more", lambda c: F.coalesce(c["bin"] >= F.try_element_at(limit, c["stratum"]), F.lit(False)))
     whole = F.array_sort(F.concat("base", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["stop"].alias("stop")))))
     names = F.array(*map(F.lit, KINDS))
     spans = F.array_join(F.transform(whole, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")

@@ -81,7 +81,7 @@ def test_new_p_values_are_calibrated():
     for name, alphabet, classes in S.ENCODINGS:
         if name in S.WORDY:
             found = [(k, S.encoding_of(k)) for k in ("".join(r.choice(alphabet) for _ in range(30)) for _ in range(1500))]
-            p = np.array([S.p_value(k, *e) for k, e in found if e and e[0] == name])
+            p = np.array([S.randomness(k, *e) for k, e in found if e and e[0] == name])
             assert (p < 0.05).mean() < 0.07
 
 
@@ -95,3 +95,18 @@ def test_partly_covered_candidates_are_judged(spark):
     assert all(any(s.startswith("hex:") for s in got[i]) for i in range(20))
     assert sum(f"random:2:{2 + len(k)}" in got[i] for i, k in enumerate(keys)) >= 18
     assert got[20] == ["assign:0:30", "random:31:55"]
+
+
+NAMES = ["ThisIsAVeryLongClassName3ForTests", "thisIsNotASecretJustAnIdentifier1", "getUserAccountById2Service", "AbstractSingletonProxyFactoryBean2", "MAX_CONNECTION_TIMEOUT_SECONDS", "someReallyLongVariableName4Loop", "HTTPResponseHeaderParser2Impl"]
+
+
+def test_few_names_among_what_is_reported(spark):
+    """Names, paths and made-up identifiers with keys among them: few of the reported spans are names."""
+    r = random.Random(9)
+    part = lambda: r.choice(WORDS).capitalize()
+    names = NAMES + ["".join(part() for _ in range(r.randrange(4, 7))) + str(r.randrange(10)) for _ in range(300)] + ["".join(part() for _ in range(5)).lower() for _ in range(100)]
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(60)]
+    rows = list(enumerate([f"x {n} y" for n in names] + [f"x {k} y" for k in keys]))
+    got = {x.doc_id: "random" in x.spans for x in S.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong, right = sum(got[i] for i in range(len(names))), sum(got[len(names) + i] for i in range(len(keys)))
+    assert right >= 54 and wrong <= 0.1 * (wrong + right) and not any(got[i] for i in range(len(NAMES)))
