@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,93 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
+def semantic(rows: DataFrame, by: str, ord_: str, text: str, least: float = 0.3, weight: float = 0.7) -> DataFrame:
+    """(a, b, score) of rows of one `by` whose words have a Jaccard similarity of `least` or more: `weight` times it.
+
+    An inverted index: rows meet under the words that they share, and the shared words are counted.
+    """
+    w = rows.select(F.col(by).alias("g"), F.col(ord_).alias("o"), words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
+    each = w.select("g", "o", "n", F.explode("w").alias("word"))
+    side = lambda o, n: each.select("g", "word", F.col("o").alias(o), F.col("n").alias(n))
+    shared = side("a", "na").join(side("b", "nb"), ["g", "word"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    return shared.where(j >= least).select("a", "b", F.round(weight * j, 6).alias("score"))
+
+
+#: Kinds of findings that mean the same, by what they are called.
+SYNONYMS = {"reentrancy": ("reentrancy", "reentrant", "recursive_call", "external_call_before_state"), "access_control": ("access", "unauthorized", "permission", "owner")}
+
+
+def expanded(kind: Column) -> Column:
+    """The set of names of a kind: itself in lower case, and the names of each group that it belongs to."""
+    low = F.lower(kind)
+    hit = lambda key, names: F.when(low.contains(key) | F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(low, n)), F.array(*map(F.lit, (key, *names)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(low), *(hit(k, v) for k, v in SYNONYMS.items())))
+
+
+def pattern_score(a: Column, b: Column) -> Column:
+    """1 for equal kinds, else the Jaccard similarity of what they expand to."""
+    return F.when(a == b, 1.0).otherwise(jaccard(expanded(a), expanded(b)))
+
+
+def _greedy(pairs, threshold: float):
+    """One file's findings in order, each into the group that has the pair of the greatest score with it, else a new one."""
+    group, rows = {}, {}
+    for o, p, s in zip(pairs["o"], pairs["p"], pairs["score"], strict=True):
+        mine = rows.setdefault(o, {})
+        if p >= 0:
+            mine[p] = s
+    for o in sorted(rows):
+        best, at = 0.0, None
+        for g, s in sorted((group[p], s) for p, s in rows[o].items() if p in group):
+            if s > best and s >= threshold:
+                best, at = s, g
+        group[o] = o if at is None else at
+        yield o, group[o], best
+
+
+def grouped(scores: DataFrame, ords: DataFrame, by: str, ord_: str, threshold: float = 0.5) -> DataFrame:
+    """(by, ord, group, score): findings joined greedily to groups in their order; a group is named by its first finding.
+
+    scores: (by, a, b, score) of pairs a < b, worked out by joins; only these pairs, and each file's findings once, meet in
+    the step that goes through a file in order. What reaches a group is the greatest score with any of its members.
+    """
+    rows = ords.select(F.col(by).alias("g"), F.col(ord_).cast("long").alias("o"), F.lit(-1).cast("long").alias("p"), F.lit(0.0).alias("score"))
+    pairs = scores.select(F.col(by).alias("g"), F.col("b").cast("long").alias("o"), F.col("a").cast("long").alias("p"), F.col("score").cast("double").alias("score"))
+
+    def run(key, frame):
+        import pandas as pd
+
+        return pd.DataFrame([(*key, *r) for r in _greedy(frame.sort_values(["o", "p"]), threshold)], columns=["g", "o", "grp", "score"])
+
+    kind = rows.schema["g"].dataType.simpleString()
+    out = rows.unionByName(pairs).groupBy("g").applyInPandas(run, f"g {kind}, o long, grp long, score double")
+    return out.select(F.col("g").alias(by), F.col("o").alias(ord_), F.col("grp").alias("group"), "score")
+
+
+def statistics(groups: DataFrame, tier: str) -> DataFrame:
+    """One row on groups (group, tier): findings, those with company, groups, their mean size, groups of both tiers."""
+    g = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(tier).alias("tiers"))
+    out = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("correlated"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("tiers") > 1).alias("cross_validated"))
+    return out.withColumn("mean_size", F.when(F.col("groups") > 0, F.round(F.col("findings") / F.col("groups"), 6)).otherwise(F.lit(0.0)))
+
+
+def overlaps(evidence: DataFrame) -> DataFrame:
+    """(a, b, overlap, confirms): of evidence (finding, kind, content, relevance), the mean over pairs of one kind of likeness (1
+    equal, a half contained) times both relevances; over 0.7 confirms."""
+    side = lambda o, c, r: evidence.select(F.col("finding").alias(o), "kind", F.col("content").alias(c), F.col("relevance").alias(r))
+    pairs = side("a", "x", "rx").join(side("b", "y", "ry"), "kind").where("a < b")
+    like = F.when(F.col("x") == F.col("y"), 1.0).when(F.contains("x", F.col("y")) | F.contains("y", F.col("x")), 0.5).otherwise(0.0)
+    out = pairs.groupBy("a", "b").agg(F.avg(like * F.col("rx") * F.col("ry")).alias("overlap"))
+    return out.select("a", "b", F.round("overlap", 6).alias("overlap"), (F.col("overlap") > 0.7).alias("confirms"))
+
+
+def report(stats: DataFrame) -> DataFrame:
+    """The summary of statistics() as Markdown."""
+    share = F.when(F.col("findings") > 0, 100.0 * F.col("correlated") / F.col("findings")).otherwise(F.lit(0.0))
+    return stats.select(F.format_string("# Correlation Analysis Report\n\n## Summary\n\n- Total findings: %d\n- Correlated findings: %d (%.1f%%)\n- Correlation groups: %d\n- Average group size: %.1f\n- Cross-validated groups: %d\n", "findings", "correlated", share, "groups", "mean_size", "cross_validated").alias("report"))
+
+
 def boosted(members: DataFrame, group: str, score: str) -> DataFrame:
     """Per group: members, mean score, and the boost min(mean * ln(n) / 10, 0.3); raised where that is over 0.2."""
     g = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))

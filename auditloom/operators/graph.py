@@ -2,26 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 
-def depths(edges: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
+
+def depths(edges: DataFrame, roots: DataFrame, step=lambda df: written(df, "depths")) -> DataFrame:
     """(root, node, depth): the fewest edges (src, dst) from each root (root) to all it reaches, itself at 0.
 
-    Breadth first: each round joins the last round's new nodes alone with the edges and drops those seen before.
+    Breadth first: each round joins the last round's new nodes alone with the edges and drops those seen before, until there
+    are none. step writes a round's rows, so that no round is worked out again by the next.
     """
-    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth"))
-    last = seen
-    for d in range(1, most + 1):
+    edges = step(edges.select("src", "dst").distinct())
+    seen = step(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).distinct())
+    last, d = seen, 0
+    while True:
+        d += 1
         new = last.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        new = new.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d).cast("long"))
-        if edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            new = new.checkpoint()
-        if new.isEmpty():
+        last = step(new.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d).cast("long")))
+        if last.isEmpty():
+            return seen
+        seen = seen.unionByName(last)
+
+
+def loops(edges: DataFrame, by: list[str], step=lambda df: written(df, "loops")) -> DataFrame:
+    """(by, header, body, exits) of the natural loops of flows: edges (by, src, dst), where one that doesn't go forward closes a loop.
+
+    A body is what reaches the tail of such an edge without passing the header; exits are where edges leave it.
+    """
+    edges = step(edges.select(*by, "src", "dst").distinct())
+    back = edges.where("dst <= src").select(*by, F.col("dst").alias("header"), F.col("src").alias("x"))
+    seen = step(back.unionByName(back.select(*by, "header", F.col("header").alias("x"))).distinct())
+    last = seen
+    while True:
+        new = last.where("x <> header").join(edges.withColumnRenamed("dst", "x"), [*by, "x"]).select(*by, "header", F.col("src").alias("x")).distinct()
+        last = step(new.join(seen, [*by, "header", "x"], "left_anti"))
+        if last.isEmpty():
             break
-        seen, last = seen.unionByName(new), new
-    return seen
+        seen = seen.unionByName(last)
+    out = seen.join(edges.withColumnRenamed("src", "x"), [*by, "x"]).select(*by, "header", F.col("dst").alias("x")).distinct().join(seen, [*by, "header", "x"], "left_anti")
+    exits = out.groupBy(*by, "header").agg(F.array_sort(F.collect_set("x")).alias("exits"))
+    body = seen.groupBy(*by, "header").agg(F.array_sort(F.collect_set("x")).alias("body"))
+    return body.join(exits, [*by, "header"], "left").withColumn("exits", F.coalesce("exits", F.array().cast(dict(body.dtypes)["body"])))
+
+
+def writes_after(found: DataFrame, edges: DataFrame, writes: DataFrame, by: list[str], most: int = 10) -> DataFrame:
+    """Loops (by, header, exits) with the blocks that write (by, block) and lie within `most` edges of an exit."""
+    at = found.select(*by, "header", F.explode("exits").alias("block")).distinct()
+    near = at
+    for _ in range(most):
+        at = at.join(edges.withColumnRenamed("src", "block"), [*by, "block"]).select(*by, "header", F.col("dst").alias("block")).distinct()
+        near = near.unionByName(at)
+    return near.distinct().join(writes, [*by, "block"], "left_semi").groupBy(*by, "header").agg(F.array_sort(F.collect_set("block")).alias("writes"))
+
+
+def diverging(paths_: DataFrame, call: str = "call", write: str = "write") -> DataFrame:
+    """Pairs of a path that calls and one from the same start that writes, with the block where they part: conditional reentrancy.
+    paths_: (start, path, call, write), the blocks of the first call and write or null; paths of one start and first difference meet."""
+    a = paths_.where(F.col(call).isNotNull()).select("start", F.col("path").alias("p"), call)
+    b = paths_.where(F.col(write).isNotNull()).select("start", F.col("path").alias("q"), write)
+    both = a.join(b, "start").where("p <> q")
+    same = F.array_position(F.zip_with("p", "q", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return both.where(same > 1).select("start", call, write, F.get("p", (same - 2).cast("int")).alias("parts_at")).distinct()
 
 
 def back_edges(edges: DataFrame) -> DataFrame:

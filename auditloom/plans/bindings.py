@@ -17,6 +17,7 @@ VISIBILITY = ("public", "external", "internal")
 BODIES = (
     "{ owner = next; }", "{ msg.sender.transfer(1 ether); }", "{ require(msg.sender == owner); owner = next; }", "{ selfdestruct(payable(to)); }", "{ /* owner = x */ emit Ping(); }",
     "{ balances[msg.sender] = 0; msg.sender.call{value: 1}(''); }", "{ _mint(to, 5); }", "{ revert NotOwner(); }",
+    "{ owner =next; }", "{ _burn(a, 1); // author\n }", "{ assert(msg.sender == owner); owner = next; }", "{ if (x) revert Unauthorized(); _mint(a, 1); }", "{ totalSupply += 1; // require(msg.sender == owner)\n }", "{ to.send(1); if (!authorized) revert(); }", "{ admin == next; }", "{ stakes[msg.sender] = 0; to.delegatecall(x); }",
 )
 HEADERS = ("function f() ", "function f() onlyOwner ")
 CONDITIONS = ("i < users.length", "i < list.length", "i < 10", "i < data.length")

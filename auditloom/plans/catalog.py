@@ -10,6 +10,7 @@ from ..operators import correlate, detectors, findings, graph, sequence, source_
 from ..operators.facts import Facts
 from . import bindings as B
 from . import contracts as C
+from . import instructions
 from . import scan
 
 FLAGSHIP = "td_findings_dedup"
@@ -94,13 +95,12 @@ def td_location_correlation(spark: SparkSession, d: str) -> DataFrame:
 _WORDS = r"list_distinct(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: strlen(w) > 3), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')))"
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations), p AS (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w),
-s AS (SELECT conv_id, turn, len(list_intersect(w, b)) AS i, len(list_distinct(list_concat(w, b))) AS u FROM p WHERE b IS NOT NULL) SELECT conv_id, turn, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS similarity FROM s WHERE CASE WHEN u > 0 THEN i / u ELSE 0 END >= 0.21""")
+@query(f"""WITH t AS (SELECT p_partkey, p_brand || p_size AS g, p_name || ' ' || p_type AS text FROM part), w AS (SELECT p_partkey, g, {_WORDS} AS w FROM t),
+s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM w a JOIN w b ON a.g = b.g AND a.p_partkey < b.p_partkey) SELECT a, b, round(0.7 * i / u, 6) AS score FROM s WHERE i > 0 AND i / u >= 0.3""")
 def td_semantic_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Turns that share words with the turn before."""
-    c = B.table(spark, d, "conversations").select("conv_id", "turn", correlate.words(F.col("text")).alias("w"))
-    c = c.withColumn("b", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null").withColumn("s", correlate.jaccard(F.col("w"), F.col("b")))
-    return c.where("s >= 0.21").select("conv_id", "turn", F.round("s", 6).alias("similarity"))
+    """Parts of one brand and size as the findings of one file, their names as descriptions."""
+    p = B.table(spark, d, "part").select("p_partkey", F.concat("p_brand", "p_size").alias("g"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return correlate.semantic(p, "g", "p_partkey", "text")
 
 
 @query("""WITH g AS (SELECT l_orderkey, count(*) AS n, avg(l_discount * 10) AS m FROM lineitem GROUP BY 1) SELECT l_orderkey, n, round(m, 6) AS mean, round(least(m * ln(n) / 10, 0.3), 6) AS boost, least(m * ln(n) / 10, 0.3) > 0.2 AS raised FROM g""")
@@ -169,7 +169,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return t("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(t("supplier", "n", "s_nationkey", "s", "s_suppkey")).unionByName(t("lineitem", "s", "l_suppkey", "p", "l_partkey"))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT root, dst, depth + 1 FROM w JOIN e ON src = node WHERE depth < 20), m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2) SELECT root, CAST(depth AS BIGINT) AS depth, count(*) AS nodes FROM m GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT root, dst, depth + 1 FROM w JOIN e ON src = node), m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2) SELECT root, CAST(depth AS BIGINT) AS depth, count(*) AS nodes FROM m GROUP BY ALL""")
 def td_call_depths(spark: SparkSession, d: str) -> DataFrame:
     roots = B.table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("root"))
     return graph.depths(_edges(spark, d), roots).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("nodes"))
@@ -200,9 +200,11 @@ def td_context_snippets(spark: SparkSession, d: str) -> DataFrame:
     return source_text.context(source_text.lines(hits, "doc_id", "text"), "doc_id", F.col("line_text").rlike("(?i)licen[cs]e")).select("doc_id", "line", F.md5("snippet").alias("snippet"))
 
 
-@query(r"""SELECT page_id, CAST(length(html) AS BIGINT) AS before, md5(regexp_replace(regexp_replace(html, '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g')) AS stripped FROM pages""")
+@query(r"""WITH h AS (SELECT page_id, '/* ' || url || chr(10) || ' */ a // b' || chr(10) || chr(9) || chr(10) || html || CASE WHEN page_id % 3 = 0 THEN '/* open' || chr(10) || 'end' ELSE '' END AS x FROM pages) SELECT page_id, md5(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(x, '/\*.*?(\*/|$)', '', 'gs'), '//[^\n]*', '', 'g'), chr(10)), lambda l: trim(translate(l, chr(9) || chr(13), '  ')) <> ''), chr(10))) AS stripped FROM h""")
 def td_comment_strip(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("before"), F.md5(source_text.without_comments(F.col("html"))).alias("stripped"))
+    """Pages with comments put before and, in a third of them, an open one behind."""
+    x = F.concat(F.lit("/* "), "url", F.lit("\n */ a // b\n\t\n"), "html", F.when(F.col("page_id") % 3 == 0, F.lit("/* open\nend")).otherwise(F.lit("")))
+    return B.table(spark, d, "pages").select("page_id", F.md5(source_text.stripped(x)).alias("stripped"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, CAST(strlen(text) // 4 AS BIGINT) AS tokens FROM conversations), r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM c) SELECT conv_id, turn, tokens, CAST(used AS BIGINT) AS used FROM r WHERE used <= 100""")
@@ -235,7 +237,7 @@ _T = {"x": B.sql_chosen(B.STATEMENTS, "event_id"), "f": B.sql_chosen(B.FUNCTION_
 
 @query(f"""WITH t AS (SELECT event_id, {_T['x']} AS x, {_T['f']} AS f, {_T['m']} AS m FROM events),
 b AS (SELECT *, x LIKE '%\\%%' ESCAPE '\\' AS md, x LIKE '%==%' OR x LIKE '%!=%' AS eq, x LIKE 'if %' OR x LIKE '% if %' AS i, x LIKE '%return %' AS ret, x LIKE '%keccak256%' OR x LIKE '%sha256%' AS kec, x LIKE '%require%' OR x LIKE '%revert%' AS req, x LIKE '% > %' OR x LIKE '% >= %' OR x LIKE '% < %' OR x LIKE '% <= %' AS cmp, x LIKE '%last%' OR x LIKE '%prev%' AS lp FROM t WHERE x LIKE '%block.timestamp%' OR x LIKE '%now%'),
-c AS (SELECT *, kec OR (md AND i) AS rnd, (req AND cmp) OR (req AND eq AND lp) AS safe, md OR eq OR i OR ret AS used FROM b WHERE NOT (x LIKE '%=%' AND NOT eq AND NOT i AND NOT ret AND NOT md)),
+c AS (SELECT *, kec OR (md AND i) AS rnd, (req AND cmp) OR (req AND eq AND lp) AS safe, md OR eq OR i OR ret AS used FROM b WHERE (md OR eq OR i OR ret) AND NOT (x LIKE '%=%' AND NOT eq AND NOT i AND NOT ret AND NOT md)),
 s AS (SELECT *, CASE WHEN used AND rnd THEN 'High' WHEN used AND safe THEN 'Low' WHEN used AND md THEN 'High' ELSE 'Medium' END AS severity, CASE WHEN used AND rnd THEN 0.9 WHEN used AND safe THEN 0.4 WHEN used AND md THEN 0.85 WHEN used AND (i OR ret) THEN 0.7 ELSE 0.6 END AS score FROM c)
 SELECT event_id, severity, CAST(score AS DOUBLE) AS score FROM s WHERE NOT (regexp_matches(f, '^is[A-Z]') AND m IN ('view', 'pure') AND NOT rnd AND score < 0.7) AND NOT (m IN ('view', 'pure') AND score < 0.6)""")
 def td_timestamp_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -247,10 +249,14 @@ def td_timestamp_findings(spark: SparkSession, d: str) -> DataFrame:
 _A = {"b": B.sql_chosen(B.BODIES, "o_orderkey"), "h": B.sql_chosen(B.HEADERS, "o_orderkey // 3"), "f": B.sql_chosen(B.FUNCTION_NAMES, "o_custkey"), "m": B.sql_chosen(B.MUTABILITY, "o_custkey // 2"), "v": B.sql_chosen(B.VISIBILITY, "o_custkey // 5")}
 
 
-@query(f"""WITH t AS (SELECT o_orderkey, regexp_replace({_A['b']}, '/\\*.*?\\*/', '', 'g') AS b, {_A['h']} AS h, {_A['f']} AS f, {_A['m']} AS m, {_A['v']} AS v FROM orders)
-SELECT o_orderkey, CASE WHEN regexp_matches(b, '\\.transfer\\(|\\.send\\(|\\.call\\{{value:') THEN 'unprotected-ether-withdrawal' WHEN b LIKE '%owner = %' THEN 'unprotected-ownership-change' WHEN b LIKE '%selfdestruct(%' THEN 'unprotected-selfdestruct' ELSE 'missing-access-control' END AS finding_type,
-CASE WHEN regexp_matches(b, '\\.transfer\\(|\\.send\\(|\\.call\\{{value:') THEN 'High' WHEN b LIKE '%owner = %' OR b LIKE '%selfdestruct(%' THEN 'Critical' ELSE 'Medium' END AS severity FROM t
-WHERE regexp_matches(b, '\\.transfer\\(|\\.call\\{{value:|selfdestruct\\(|owner = |_mint\\(') AND NOT (b LIKE '%require%' AND b LIKE '%msg.sender%' AND b LIKE '%owner%') AND b NOT LIKE '%NotOwner()%' AND h NOT LIKE '%onlyOwner%' AND lower(f) NOT LIKE '%deposit%' AND NOT (lower(f) LIKE '%withdraw%' AND b LIKE '%balances[msg.sender]%') AND m <> 'view' AND v <> 'internal'""")
+_SENSITIVE = r"\.transfer\(|\.send\(|\.call\{value:|selfdestruct\(|delegatecall\(|(owner|admin) ?=[^=]|_mint\(|_burn\(|totalSupply (\+|-)?= "
+
+
+@query(rf"""WITH t AS (SELECT o_orderkey, {_A['b']} AS b, {_A['h']} AS h, {_A['f']} AS f, {_A['m']} AS m, {_A['v']} AS v FROM orders), c AS (SELECT *, regexp_replace(b, '//[^\n]*', '', 'g') AS code, regexp_matches(b, '\.transfer\(|\.send\(|\.call\{{value:') AS pays FROM t)
+SELECT o_orderkey, CASE WHEN pays THEN 'unprotected-ether-withdrawal' WHEN regexp_matches(b, '(owner|admin) ?=[^=]') THEN 'unprotected-ownership-change' WHEN b LIKE '%selfdestruct(%' THEN 'unprotected-selfdestruct' ELSE 'missing-access-control' END AS finding_type,
+CASE WHEN pays THEN 'High' WHEN regexp_matches(b, '(owner|admin) ?=[^=]') OR b LIKE '%selfdestruct(%' THEN 'Critical' ELSE 'Medium' END AS severity FROM c
+WHERE regexp_matches(b, '{_SENSITIVE}') AND NOT (contains(code, 'require') AND contains(code, 'msg.sender') AND regexp_matches(code, 'owner|admin')) AND NOT (contains(code, 'revert') AND regexp_matches(code, 'owner|admin|authorized')) AND NOT (contains(code, 'assert') AND contains(code, 'msg.sender') AND contains(code, 'owner')) AND NOT regexp_matches(code, '(OnlyOwner|Unauthorized|NotOwner)\(\)')
+AND NOT regexp_matches(h || ' ' || b, 'only(Owner|Admin|Role|Governance|Minter|Pauser|Controller)|auth|restricted') AND NOT contains(lower(f), 'deposit') AND NOT (contains(lower(f), 'withdraw') AND regexp_matches(b, '(balances|deposits|stakes)\[msg\.sender\]')) AND m NOT IN ('view', 'pure') AND v NOT IN ('private', 'internal')""")
 def td_access_findings(spark: SparkSession, d: str) -> DataFrame:
     o, k, c = B.table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
     f = o.select("o_orderkey", B.chosen(B.BODIES, k).alias("body"), B.chosen(B.HEADERS, F.expr("o_orderkey div 3")).alias("header"), B.chosen(B.FUNCTION_NAMES, c).alias("func"), B.chosen(B.MUTABILITY, F.expr("o_custkey div 2")).alias("mutability"), B.chosen(B.VISIBILITY, F.expr("o_custkey div 5")).alias("visibility"))
@@ -351,3 +357,7 @@ def td_facts_modifiers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {C.USED}, f(i, a, b, loop_type, condition, calls, writes, length) AS ({C.values(C.LOOP_FACTS)}), g(i, c, left_side, right_side) AS ({C.values(C.ASSIGNMENT_FACTS)}) SELECT DISTINCT file, name AS func, CAST(base + a AS BIGINT) AS line FROM used JOIN f USING (i) JOIN g USING (i) JOIN size USING (i) WHERE c > b""")
 def td_facts_writes_after_loops(spark: SparkSession, d: str) -> DataFrame:
     return Facts(C.sources(spark, d)).loops_before_assignments().select("file", "func", F.col("line").cast("long").alias("line"))
+
+
+QUERIES |= instructions.QUERIES
+ORACLE_SQL |= instructions.ORACLE_SQL
