@@ -15,8 +15,6 @@ CONFIDENCE_SCORES = (0.3, 0.6, 0.9)
 CATEGORIES = (("reentrancy", "reentrancy"), ("access", "access-control"), ("unchecked", "unchecked"), ("dangerous", "dangerous"), ("delegatecall", "dangerous"), ("dos", "dos"), ("overflow", "overflow"), ("underflow", "overflow"), ("time", "time"))
 #: Beginnings of contract names that aren't scanned.
 SKIPPED = ("Attack", "Exploit", "Test", "Mock", "Secure", "Fixed", "Safe", "Example")
-#: What a call triggers in the receiver.
-HOOKS = {"send": "tokensReceived", "operatorSend": "tokensReceived", "burn": "tokensToSend", "operatorBurn": "tokensToSend", "safeTransferFrom": "onERC721Received", "safeBatchTransferFrom": "onERC1155BatchReceived"}
 
 
 def pick(value: Column, names: tuple, results: tuple) -> Column:
@@ -93,3 +91,24 @@ def reentrancy_confidence(several: Column, critical: Column, guarded: Column, pr
     s = add(s, protected | guarded, -0.4)
     s = F.when(guarded, F.least(s, f(0.2))).otherwise(s)
     return F.greatest(f(0.0), F.least(f(1.0), add(s, test_like, -0.3)))
+
+
+def _scored(base: float, *changes: tuple[Column, float]) -> Column:
+    """A single-precision score of a base and what conditions add to it, clamped to 0..1."""
+    s = F.lit(base).cast("float")
+    for on, x in changes:
+        s = F.when(on, s + F.lit(x).cast("float")).otherwise(s)
+    return F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(1.0).cast("float"), s))
+
+
+def access_confidence(several: Column, critical: Column, modified: Column, checked: Column, view: Column, test_like: Column) -> Column:
+    return _scored(0.7, (several, 0.1), (critical, 0.2), (modified, -0.5), (checked, -0.4), (view, -0.3), (test_like, -0.3))
+
+
+def unchecked_confidence(critical: Column, safe_library: Column, handled: Column, test_like: Column) -> Column:
+    return _scored(0.8, (critical, 0.1), (safe_library, -0.5), (handled, -0.3), (test_like, -0.2))
+
+
+def test_like(name: Column) -> Column:
+    low = F.lower(name)
+    return low.startswith("test") | low.contains("_test_") | low.contains("example")

@@ -20,7 +20,7 @@ CALL = r"((?:[\w$]+(?:\([^()]*\)|\[[^\[\]]*\])*\.)*[\w$]+(?:\([^()]*\)|\[[^\[\]]
 def without_comments(text: Column) -> Column:
     """Comments go, their newlines stay; so lines keep their numbers."""
     inner = F.transform(F.split(text, r"/\*"), lambda x, i: F.when(i == 0, x).when(F.locate("*/", x) > 0, F.concat(F.regexp_replace(F.substring_index(x, "*/", 1), r"[^\n]", ""), F.substr(x, F.locate("*/", x) + 2))).otherwise(F.regexp_replace(x, r"[^\n]", "")))
-    return F.regexp_replace(F.array_join(inner, ""), r"(?<!:)//[^\n]*", "")
+    return F.regexp_replace(F.array_join(inner, ""), r"(\"(?:[^\"\\\n]|\\.)*\")|//[^\n]*", "$1")
 
 
 def pieces(sources: DataFrame) -> DataFrame:

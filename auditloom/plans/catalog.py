@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import correlate, detectors, findings, graph, sequence, source_text
+from ..operators import correlate, detectors, findings, graph, ir, prompts, render, sequence, source_text
 from ..operators.facts import Facts
 from . import bindings as B
 from . import contracts as C
@@ -210,26 +210,27 @@ def td_comment_strip(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT conv_id, turn, CAST(strlen(text) // 4 AS BIGINT) AS tokens FROM conversations), r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM c) SELECT conv_id, turn, tokens, CAST(used AS BIGINT) AS used FROM r WHERE used <= 100""")
 def td_token_budget(spark: SparkSession, d: str) -> DataFrame:
     """Turns that fit a budget of tokens, from the first on."""
-    c = B.table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.octet_length("text") / 4).cast("long").alias("tokens"))
-    return c.withColumn("used", F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("turn"))).where("used <= 100")
+    c = prompts.within_budget(B.table(spark, d, "conversations"), ["conv_id"], ["turn"], "text", 100)
+    return c.select("conv_id", "turn", "tokens", "used")
 
 
 @query("""SELECT event_type AS op, count(*) AS n, count(DISTINCT user_id) AS functions FROM events GROUP BY 1""")
 def td_opcode_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "events").groupBy(F.col("event_type").alias("op")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("functions"))
+    return ir.histogram(B.table(spark, d, "events").withColumnRenamed("event_type", "op"), of="user_id")
 
 
 @query("""SELECT conv_id, turn, md5(replace(replace('Role: {role}. Find faults in: {source}', '{role}', role), '{source}', text)) AS prompt FROM conversations""")
 def td_prompt_templates(spark: SparkSession, d: str) -> DataFrame:
-    prompt = F.replace(F.replace(F.lit("Role: {role}. Find faults in: {source}"), F.lit("{role}"), F.col("role")), F.lit("{source}"), F.col("text"))
+    prompt = prompts.filled("Role: {role}. Find faults in: {source}", role=F.col("role"), source=F.col("text"))
     return B.table(spark, d, "conversations").select("conv_id", "turn", F.md5(prompt).alias("prompt"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def td_json_from_prose(spark: SparkSession, d: str) -> DataFrame:
-    """The JSON object within a text, parsed by a fixed schema."""
-    prose = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\n"))
-    return B.table(spark, d, "events").select("event_id", F.from_json(F.regexp_extract(prose, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), "k long")["k"].alias("k"))
+    """The JSON object within a text, in a fence or by its braces, parsed by a fixed schema."""
+    inner = F.concat(F.lit('{"a": "}\\\\\\"{", "of": '), F.col("props"), F.lit("}"))
+    prose = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), inner, F.lit("\n```\n{"))).otherwise(F.concat(F.lit("So: "), inner, F.lit(" and } or {")))
+    return B.table(spark, d, "events").select("event_id", F.from_json(prompts.json_of(prose), "of struct<k: bigint>")["of"]["k"].alias("k"))
 
 
 _T = {"x": B.sql_chosen(B.STATEMENTS, "event_id"), "f": B.sql_chosen(B.FUNCTION_NAMES, "user_id"), "m": B.sql_chosen(B.MUTABILITY, "event_id // 8")}
@@ -359,5 +360,136 @@ def td_facts_writes_after_loops(spark: SparkSession, d: str) -> DataFrame:
     return Facts(C.sources(spark, d)).loops_before_assignments().select("file", "func", F.col("line").cast("long").alias("line"))
 
 
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    return B.findings(spark, d).withColumn("title", F.concat("scanner_id", F.lit(" in "), F.col("function")))
+
+
+_TITLED = f"{B.FINDINGS_SQL}, t AS (SELECT *, scanner_id || ' in ' || function AS title FROM findings)"
+
+
+@query(f"""WITH {_TITLED} SELECT ord, '{{"scanner_id":"' || scanner_id || '","severity":"' || severity || '","line":' || line || '}}' AS json FROM t""")
+def td_json_findings(spark: SparkSession, d: str) -> DataFrame:
+    return render.as_json(_titled(spark, d), "scanner_id", "severity", "line")
+
+
+@query(f"""WITH {_TITLED}, s(i, severity) AS (VALUES (0, 'Critical'), (1, 'High'), (2, 'Medium'), (3, 'Low'), (4, 'Informational')) SELECT CAST(i AS BIGINT) AS "at", '- ' || s.severity || ': ' || (SELECT count(*) FROM t WHERE t.severity = s.severity) AS line FROM s""")
+def td_report_summary(spark: SparkSession, d: str) -> DataFrame:
+    return render.summary(_titled(spark, d))
+
+
+@query(f"""WITH {_TITLED} SELECT ord, '### ' || severity || ': ' || title || chr(10) || chr(10) || '**Scanner:** ' || scanner_id || chr(10) || '**Confidence:** ' || confidence || chr(10) || chr(10) || '**Locations:**' || chr(10) || '- ' || file || ':' || line || chr(10) AS text FROM t""")
+def td_report_findings(spark: SparkSession, d: str) -> DataFrame:
+    return render.markdown(_titled(spark, d))
+
+
+@query(f"""WITH {_TITLED}, r AS (SELECT *, row_number() OVER (PARTITION BY severity, title ORDER BY ord, file, line) AS n FROM t) SELECT severity, title, count(*) AS n, string_agg(file || ':' || line, ', ' ORDER BY ord, file, line) FILTER (n <= 3) AS places FROM r GROUP BY 1, 2""")
+def td_by_severity(spark: SparkSession, d: str) -> DataFrame:
+    return render.by_severity(_titled(spark, d))
+
+
+@query(f"""WITH {_TITLED} SELECT ord, severity, title FROM t WHERE severity IN ('Critical', 'High') ORDER BY ord LIMIT 5""")
+def td_top_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The first five titles of a report (a top-k report)."""
+    return render.top_titles(_titled(spark, d))
+
+
+@query(f"""WITH {_TITLED} SELECT ord, '{{"ruleId":"' || scanner_id || '","level":"' || CASE WHEN severity IN ('Critical', 'High') THEN 'error' WHEN severity = 'Medium' THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || title || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}},"region":{{"startLine":' || line || '}}}}}}]}}' AS result FROM t""")
+def td_sarif(spark: SparkSession, d: str) -> DataFrame:
+    return render.sarif(_titled(spark, d))
+
+
+@query(f"""WITH {B.FINDINGS_SQL} SELECT ord, 'finding:' || scanner_id || ':' || file || ':' || line || ':' || (ord % 80) AS dedup_key FROM findings""")
+def td_dedup_keys(spark: SparkSession, d: str) -> DataFrame:
+    f = B.findings(spark, d).withColumns({"finding_type": F.lit("finding"), "column": F.col("ord") % 80})
+    return findings.key_string(f).select("ord", "dedup_key")
+
+
+_KINDS = ("reentrancy-ir", "classic-reentrancy", "missing-access-control", "weak-access-control-tx-origin", "simple-timestamp", "Unauthorized-call", "recursive_call", "owner-change")
+
+
+def _expand_sql(c: str) -> str:
+    r, a = correlate.SYNONYMS["reentrancy"], correlate.SYNONYMS["access_control"]
+    any_ = lambda xs: " OR ".join(f"contains({c}, '{x}')" for x in xs)
+    lst = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    return f"list_distinct([{c}] || CASE WHEN {any_(('reentrancy', *r))} THEN {lst(('reentrancy', *r))} ELSE [] END || CASE WHEN {any_(('access_control', *a))} THEN {lst(('access_control', *a))} ELSE [] END)"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey AS k, l_linenumber AS o, l_partkey AS pk, {B.sql_chosen(_KINDS, 'l_partkey')} AS t FROM lineitem), j AS (SELECT k, o, t, lead(t) OVER (PARTITION BY k ORDER BY o, pk) AS u FROM p), e AS (SELECT *, {_expand_sql('lower(t)')} AS x, {_expand_sql('lower(u)')} AS y FROM j WHERE u IS NOT NULL)
+SELECT k, o, round(CASE WHEN t = u THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END, 6) AS score FROM e""")
+def td_pattern_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Each line of an order with the next one, as findings whose kinds may mean the same."""
+    p = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("o"), "l_partkey", B.chosen(_KINDS, F.col("l_partkey")).alias("t"))
+    p = p.withColumn("u", F.lead("t").over(Window.partitionBy("k").orderBy("o", "l_partkey"))).where("u IS NOT NULL")
+    return p.select("k", "o", F.round(correlate.pattern_score(F.col("t"), F.col("u")), 6).alias("score"))
+
+
+def td_greedy_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as findings of a file: grouped by how near their minutes are."""
+    e = B.table(spark, d, "events").select("event_id", "user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60).alias("m"))
+    scores = correlate.near_pairs(e, "user_id", "m", "event_id").withColumnRenamed("file", "user_id")
+    return correlate.grouped(scores, e, "user_id", "event_id")
+
+
+QUERIES["td_greedy_groups"] = td_greedy_groups  # one finding after another: the tests hold it against a loop
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag = 'N') AS t FROM lineitem GROUP BY 1), s AS (SELECT CAST(sum(n) AS BIGINT) AS findings, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS correlated, count(*) AS groups, count(*) FILTER (t > 1) AS cross_validated FROM g) SELECT *, CASE WHEN groups > 0 THEN round(findings / groups, 6) ELSE 0 END AS mean_size FROM s""")
+def td_correlation_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.statistics(B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), (F.col("l_returnflag") == "N").alias("tier")), "tier")
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag = 'N') AS t FROM lineitem GROUP BY 1), s AS (SELECT CAST(sum(n) AS BIGINT) AS f, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS c, count(*) AS g, count(*) FILTER (t > 1) AS x FROM g)
+SELECT '# Correlation Analysis Report' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- Total findings: ' || f || chr(10) || '- Correlated findings: ' || c || ' (' || printf('%.1f', 100.0 * c / f) || '%)' || chr(10) || '- Correlation groups: ' || g || chr(10) || '- Average group size: ' || printf('%.1f', round(f / g, 6)) || chr(10) || '- Cross-validated groups: ' || x || chr(10) AS report FROM s""")
+def td_correlation_report(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.report(correlate.statistics(B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), (F.col("l_returnflag") == "N").alias("tier")), "tier"))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS finding, o_custkey AS c, o_orderstatus AS kind, split_part(o_orderpriority, '-', 1) || CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '' END AS content, 0.8 + (o_orderkey % 3) * 0.1 AS relevance FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 2 = 1)
+SELECT a.finding AS a, b.finding AS b, round(avg(CASE WHEN a.content = b.content THEN 1.0 WHEN contains(a.content, b.content) OR contains(b.content, a.content) THEN 0.5 ELSE 0 END * a.relevance * b.relevance), 6) AS overlap, avg(CASE WHEN a.content = b.content THEN 1.0 WHEN contains(a.content, b.content) OR contains(b.content, a.content) THEN 0.5 ELSE 0 END * a.relevance * b.relevance) > 0.7 AS confirms FROM e a JOIN e b ON a.c || a.kind = b.c || b.kind AND a.finding < b.finding GROUP BY 1, 2""")
+def td_evidence_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as findings, evidence of one customer and status as of one kind."""
+    o, k = B.table(spark, d, "orders"), F.col("o_orderkey")
+    content = F.concat(F.substring_index("o_orderpriority", "-", 1), F.when(k % 3 == 0, F.lit("x")).otherwise(F.lit("")))
+    return correlate.overlaps(o.select(k.alias("finding"), F.concat("o_custkey", "o_orderstatus").alias("kind"), content.alias("content"), (0.8 + (k % 3) * 0.1).alias("relevance")))
+
+
+_MARK = f"""CASE WHEN contains(t, '.call{{') OR contains(t, '.call(') THEN '{prompts.CALL}' WHEN starts_with(t, 'balances[') OR contains(t, ' balances[') THEN CASE WHEN contains(t, '=') AND NOT contains(t, '==') AND NOT contains(t, '>=') AND NOT contains(t, '<=') THEN '{prompts.WRITE}' ELSE '' END WHEN contains(t, 'storage') OR contains(t, 'mapping') THEN CASE WHEN contains(t, '=') AND NOT contains(t, '==') THEN '{prompts.WRITE}' ELSE '' END WHEN starts_with(t, 'require(') OR starts_with(t, 'assert(') THEN '{prompts.CHECK}' WHEN contains(t, 'unchecked {{') THEN '{prompts.UNCHECKED}' ELSE '' END"""
+_MARKED = (*C.FUNCTIONS, "mapping(address => uint) m;\nstorage x = y;\nif (balances[a] == b) {}\n  assert(x);")
+
+
+@query(f"""WITH s AS (SELECT p_partkey, unnest(string_split({B.sql_chosen(_MARKED, 'p_partkey')}, chr(10))) AS x, generate_subscripts(string_split({B.sql_chosen(_MARKED, 'p_partkey')}, chr(10)), 1) AS i FROM part), m AS (SELECT *, trim(x) AS t FROM s) SELECT p_partkey, md5(string_agg(lpad(CAST(i AS VARCHAR), 4, ' ') || ' | ' || x || {_MARK}, chr(10) ORDER BY i)) AS marked FROM m GROUP BY 1""")
+def td_marked_source(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "part").select("p_partkey", F.md5(prompts.marked(B.chosen(_MARKED, F.col("p_partkey")))).alias("marked"))
+
+
+@query(f"""WITH {instructions.SQL} SELECT contract, func, op, count(*) AS n FROM instr WHERE op IN ('Call', 'DelegateCall', 'StorageStore') GROUP BY ALL""")
+def td_ir_focus(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.in_focus(instructions.instr(spark, d), "reentrancy")
+
+
+def canned(prompt: str) -> str:
+    """A provider for tests: an answer by the length of the prompt."""
+    n = len(prompt)
+    if n % 7 == 0:
+        return "Nothing found."
+    return 'Found: {"findings": [{"title": "T%d", "severity": "%s", "confidence": %s, "function": "f", "line": %d, "description": "a } in text"}]} as asked' % (n % 5, ("HIGH", "low")[n % 2], (0.9, 0.4, 0.7)[n % 3], n % 100)
+
+
+@query("""WITH n AS (SELECT conv_id, turn, length('Find faults in: ' || text) AS n FROM conversations) SELECT conv_id, turn, 'T' || (n % 5) AS title, CASE n % 2 WHEN 0 THEN 'High' ELSE 'Low' END AS severity, n % 100 AS line FROM n WHERE n % 7 <> 0 AND n % 3 <> 1""")
+def td_model_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts, the answers of a provider for tests, and the findings of a confidence of 0.5 or more in them."""
+    c = B.table(spark, d, "conversations").select("conv_id", "turn", prompts.filled("Find faults in: {source}", source=F.col("text")).alias("prompt"))
+    found = prompts.findings_of(prompts.answered(c, canned), ["conv_id", "turn"], least=0.5)
+    return found.select("conv_id", "turn", "title", "severity", "line")
+
+
+@query(f"""WITH f AS ({C.findings_sql()}), g AS (SELECT file, function, line, max(CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END) AS s, count(DISTINCT scanner_id) AS n FROM f WHERE scanner_id IN ('source-delegatecall', 'source-dangerous-functions', 'source-unchecked-return') GROUP BY ALL) SELECT file, function, line, (['Informational', 'Low', 'Medium', 'High', 'Critical'])[s + 1] AS severity, n AS scanners FROM g""")
+def td_scan_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Three detectors as one."""
+    facts = Facts(C.sources(spark, d))
+    parts = [x.run(facts) for x in scan.selected(["source-delegatecall", "source-dangerous-functions", "source-unchecked-return"])]
+    return scan.composite(parts).select("file", "function", "line", "severity", F.size("scanners").cast("long").alias("scanners"))
+
+
 QUERIES |= instructions.QUERIES
 ORACLE_SQL |= instructions.ORACLE_SQL

@@ -86,7 +86,7 @@ def known_safe(found: DataFrame, sources: DataFrame) -> DataFrame:
     """Findings without those that the source near them shows to be safe: guarded or ordered calls, checking libraries, guarding modifiers."""
     has = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
     f = found.join(sources.select("file", "content"), "file", "left")
-    at = F.locate(F.concat(F.lit("function "), F.col("function")), F.col("content"))
+    at = F.position(F.concat(F.lit("function "), F.col("function")), F.col("content"))
     window = lambda n: F.when(at > 0, F.substr("content", at, F.lit(n)))
     line = F.get(F.split("content", "\n"), (F.col("line") - 1).cast("int"))
     reentrancy = F.coalesce(window(500).contains("nonReentrant") | effects_before_calls(window(500)), F.lit(False))
