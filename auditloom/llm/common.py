@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,11 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends here and lost executors lose nothing."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage ends here and lost executors lose nothing.
+
+    What was shuffled for it is of no more use then, and Spark is told to delete it when the write ends.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of stored(), when nothing that is still to be worked out reads it."""
+    store, path = fs.FileSystem.from_uri(df.stored_at)
+    store.delete_dir(path)
 
 
 def ascii_lower(c: Column) -> Column:
