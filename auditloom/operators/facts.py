@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Words of a function's header that are no modifiers.
 KEYWORDS = ("public", "external", "internal", "private", "view", "pure", "payable", "virtual", "override", "returns", "constant", "memory", "calldata", "storage")
 #: What a modifier's name contains, in lower case, if it restricts access.
@@ -155,15 +157,16 @@ def within(stmts: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 class Facts:
-    """All relations of sources (file, content), worked out when first asked for."""
+    """All relations of sources (file, content). keep: as tables of their own, for more than a detector or two."""
 
-    def __init__(self, sources: DataFrame):
+    def __init__(self, sources: DataFrame, keep: bool = False):
+        table = written if keep else lambda df, name: df
         self.sources = sources.select("file", "content")
-        self.parts = pieces(self.sources)
-        self.functions = functions(self.parts)
-        self.statements = statements(self.parts, self.functions)
+        self.parts = table(pieces(self.sources), "pieces")
+        self.functions = table(functions(self.parts), "functions")
+        self.statements = table(statements(self.parts, self.functions), "statements")
         self.modifiers = modifiers(self.parts)
-        self.loops = loops(self.parts, self.functions)
+        self.loops = table(loops(self.parts, self.functions), "loops")
         self.calls = calls(self.statements)
         self.assignments = assignments(self.statements)
 
