@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, *, categories: dict[str, str], id_
     from; a null condition counts as false; a document with several labels or copies is drawn once for each.
     """
     known = labels.select(F.col(id_col).alias("id"), *(F.coalesce(F.expr(c), F.lit(False)).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())))
-    total = known.count()
+    total = known.join(docs.select(F.col(id_col).alias("id")), "id").count()  # labels of no document don't count
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     drawn = known.withColumn("draw", draw).where(F.col("draw") < int(min(1.0, 1.5 * sample_rows / max(1, total)) * (1 << 40)))
     names = [f"y{i}" for i in range(len(categories))]
