@@ -4,7 +4,7 @@ from auditloom.plans import catalog
 from tests.oracle import compare
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_is_its_sql(spark, name):
     assert compare(spark, "/root/testdata/sf0.001", name) is None
 
