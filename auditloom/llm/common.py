@@ -59,10 +59,10 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def row_hash(df: DataFrame) -> Column:
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
     """A hash of all columns; what can't be hashed (maps, variants) by its text."""
     plain = lambda t: not any(x in t for x in ("map<", "variant", "geo"))
-    return F.xxhash64(*(F.col(f"`{f.name}`") if plain(f.dataType.simpleString()) else F.col(f"`{f.name}`").cast("string") for f in df.schema.fields))
+    return F.xxhash64(F.lit(seed), *(F.col(f"`{f.name}`") if plain(f.dataType.simpleString()) else F.col(f"`{f.name}`").cast("string") for f in df.schema.fields))
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -123,6 +123,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     each = max(5, sample_rows // len(languages))
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
     below = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 2 * each / sizes[lang]) * (1 << 40))) for lang in languages], "lang string, below long")
+    below = F.broadcast(below) if len(languages) <= 100_000 else below  # a name and a number each
     small = rows.withColumn("draw", draw).join(below, "lang").where("draw < below")
 
     def sparse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

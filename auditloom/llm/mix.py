@@ -107,12 +107,10 @@ def with_places(docs: DataFrame, name: str, source_col: str = "source", id_col:
     columns move once, to meet them."""
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)))
     doc, source = f"_{docs.columns.index(id_col)}", f"_{docs.columns.index(source_col)}"
-    tagged = plain.withColumn("tag", row_hash(plain))
-    places = mixed(tagged.select(doc, source, "tag"), source_col=source, id_col=doc, name="place", **options).select(F.col(doc).alias("id"), F.col("tag").alias("of"), "place")
-    places = stored(places, "places")
-    # rows alike in every column are one here, and again one for each of their places
-    other = tagged.groupBy(doc, "tag").agg(*(F.first(c).alias(c) for c in plain.columns if c != doc))
-    rows = other.join(places, other[doc].eqNullSafe(places["id"]) & (F.col("tag") == F.col("of")))
+    tagged = plain.withColumns({"tag": row_hash(plain), "tag2": F.xxhash64(row_hash(plain, 7), F.col(doc))})  # 128 bits tell rows apart
+    places = stored(mixed(tagged.select(doc, source, "tag", "tag2"), source_col=source, id_col=doc, name="place", **options).select("tag", "tag2", "place"), "places")
+    # rows alike in every column are one here, and again one for each of their places; grouped and joined by one exchange
+    rows = tagged.groupBy("tag", "tag2").agg(*(F.first(c).alias(c) for c in plain.columns)).join(places, ["tag", "tag2"])
     return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("place").alias(name))
 
 

@@ -154,7 +154,11 @@ def encoder_of(definition: str) -> Encoder:
     return Encoder(definition)
 
 
-def token_files(docs: DataFrame, *, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, shard_tokens: int = 1 << 20, range_bytes: int = 32 << 20, folder: str | None = None) -> DataFrame:
+def bytes_of(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def token_files(docs: DataFrame, *, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, shard_tokens: int = 1 << 20, range_bytes: int = 32 << 20, total_bytes: int | None = None, folder: str | None = None) -> DataFrame:
     """Documents as wavelet-matrix files in a folder, in ascending order of order_col (id_col if not given). Returns their
     manifest (part, seq, n_tokens, bytes, path), which is kept beside them as the table `_manifest`.
 
@@ -163,7 +167,7 @@ def token_files(docs: DataFrame, *, tokenizer_path: str | None = None, id_col: s
     Nulls come first in the order; rows that tie come by text. Null texts count as empty. The tokenizer's definition is
     read on the driver and broadcast (it doesn't grow with the data). Each shard is one file, which from_bytes() reads
     without any other. A file's name has its attempt in it, and the manifest holds those of the attempts that Spark
-    committed: what a lost task leaves is not read. folder: a URI that all executors reach; none: one in the shared folder.
+    committed: what a lost task leaves is not read. total_bytes: of all texts, where docs are dear to work out twice. folder: a URI that all executors reach; none: one in the shared folder.
     """
     spark = docs.sparkSession
     with open(tokenizer_path or default_tokenizer(), encoding="utf-8") as f:
@@ -206,7 +210,7 @@ def token_files(docs: DataFrame, *, tokenizer_path: str | None = None, id_col: s
     source = docs.select(order.alias("place"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if source.schema["id"].dataType.typeName() not in ("long", "integer", "short", "byte", "string"):
         raise TypeError("ids are integers or strings")
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = bytes_of(docs, text_col) if total_bytes is None else total_bytes
     dealt = source.repartitionByRange(int(-(-total // range_bytes)) or 1, "place").sortWithinPartitions("place", "text")
     dealt.select("id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
