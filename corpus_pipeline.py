@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mixture (worked out anew, as a table doesn't promise its order); per document, read
     back from them: doc_id, start, n_tokens, ids_crc32."""
     ordered = mix.with_places(docs.select("doc_id", "source", "text"), "place")
-    return wavelet_tokens.read_tokens(wavelet_tokens.token_files(ordered, order_col="place")).withColumnRenamed("id", "doc_id")
+    return wavelet_tokens.read_tokens(wavelet_tokens.token_files(ordered, order_col="place", total_bytes=wavelet_tokens.bytes_of(docs))).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
