@@ -47,11 +47,9 @@ class Bpe:
     Needs every byte as a token, and merges whose parts rank below the whole (any trained BPE); raises if not.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_kept: int = 1 << 20):
+    def __init__(self, ranks: dict[bytes, int], most_kept: int = 1 << 18):
         self.ranks, self.most = ranks, most_kept
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.bytes_of = bytes_of(tuple(ranks.items()))
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no token for the bytes {missing[:5]}")
@@ -151,9 +149,6 @@ class Bpe:
             out.append(b"".join(row))
         return b"".join(out)
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
 
 @lru_cache(2)
 def bpe_of(ranks: tuple[tuple[bytes, int], ...]) -> Bpe:
@@ -161,6 +156,19 @@ def bpe_of(ranks: tuple[tuple[bytes, int], ...]) -> Bpe:
     return Bpe(dict(ranks))
 
 
+@lru_cache(2)
+def bytes_of(ranks: tuple[tuple[bytes, int], ...]) -> list[bytes]:
+    """The bytes of each id."""
+    out = [b""] * (max(rank for _, rank in ranks) + 1)
+    for token, rank in ranks:
+        out[rank] = token
+    return out
+
+
+def decode(packed: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
 def _vocabulary(spark: SparkSession, path: str | None):
     """The ranks, read on the driver and sent to all: they don't grow with the data."""
     return spark.sparkContext.broadcast(tuple(read_ranks(path or default_ranks()).items()))
@@ -197,13 +205,13 @@ def decoded(encodings: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids
     plain = encodings.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = bpe_of(ranks.value)
+        tokens = bytes_of(ranks.value)
         for batch in batches:
             at = 0
             for to in cuts(batch.column("ids"), 4 << 20):
                 part = batch.slice(at, to - at)
                 at = to
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(map(bpe.decode, part.column("ids").to_pylist()), pa.binary())], ["id", "ids", "bytes"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array((decode(x, tokens) for x in part.column("ids").to_pylist()), pa.binary())], ["id", "ids", "bytes"])
 
     kind = plain.schema["id"].dataType.simpleString()
     return plain.mapInArrow(run, f"id {kind}, ids binary, bytes binary").withColumnsRenamed({"id": id_col, "ids": ids_col})

