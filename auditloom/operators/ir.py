@@ -43,28 +43,16 @@ def call_edges(instr: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def summaries(instr: DataFrame) -> DataFrame:
-    """Per function: calls, first call, writes, last write, keys read and written."""
+    """Per function: calls, first call, writes, last write, keys read and written. Where instr says what a call's target is, calls
+    within the contract don't count."""
     op, pos = F.col("op"), F.col("pos")
+    call = is_call(op) & (~F.col("target").eqNullSafe("Internal") & ~F.col("target").eqNullSafe("Builtin") if "target" in instr.columns else F.lit(True))
     return instr.groupBy(*BY).agg(
-        F.count_if(is_call(op)).alias("calls"), F.min(F.when(is_call(op), pos)).alias("first_call"), F.count_if(is_write(op)).alias("writes"), F.max(F.when(is_write(op), pos)).alias("last_write"),
+        F.count_if(call).alias("calls"), F.min(F.when(call, pos)).alias("first_call"), F.count_if(is_write(op)).alias("writes"), F.max(F.when(is_write(op), pos)).alias("last_write"),
         F.array_sort(F.collect_set(F.when(op.isin(*READS), F.col("key")))).alias("reads_keys"), F.array_sort(F.collect_set(F.when(is_write(op), F.col("key")))).alias("writes_keys"),
     )
 
 
-def cross_function(instr: DataFrame, edges: DataFrame) -> DataFrame:
-    """(contract, func, other): a function with an external call, and one that it can reach and that writes what it reads.
-
-    A callee that is called before the first external call is no danger; without a direct call the order isn't known, and
-    the pair stays. edges: (contract, caller, callee, pos, is_external) with direct calls.
-    """
-    s = summaries(instr)
-    inside = edges.where("NOT is_external").groupBy("contract", F.col("caller").alias("func"), F.col("callee").alias("other")).agg(F.max("pos").alias("called"))
-    a = s.where("calls > 0").select(*BY, "first_call", F.explode("reads_keys").alias("key"))
-    b = s.where("writes > 0").select("contract", F.col("func").alias("other"), F.explode("writes_keys").alias("key"))
-    pairs = a.join(b, ["contract", "key"]).where("func <> other").join(inside, ["contract", "func", "other"], "left")
-    return pairs.where("called IS NULL OR called > first_call").select("contract", "func", "other").distinct()
-
-
 def shared_state(instr: DataFrame) -> DataFrame:
     """(contract, kind, what, severity): several functions that call and write; a function with many of both; a key that
     functions with calls touch more than once; a key read before and written after a call."""
@@ -78,26 +66,12 @@ def shared_state(instr: DataFrame) -> DataFrame:
     return several.unionByName(many).unionByName(touched).unionByName(around)
 
 
-def access_control(instr: DataFrame, functions: DataFrame) -> DataFrame:
-    """(contract, func, finding_type, severity, confidence): open functions that change state without a check, or check the origin."""
-    op, low = F.col("op"), F.lower("func")
-    g = instr.groupBy(*BY).agg(F.count_if(is_write(op)).alias("mods"), F.max(op == "StorageStore").alias("stores"), F.max(op.isin("Selfdestruct", *CALLS)).alias("critical_op"), F.max(op == "Require").alias("required"), F.max(op == "TxOrigin").alias("origin"))
-    f = g.join(functions.where(F.col("visibility").isin("public", "external")), BY).where("mods > 0").where(~F.exists("modifiers", lambda m: F.lower(m).rlike("only|auth|admin|owner|require")))
-    critical, own = low.rlike(CRITICAL), low.rlike(SELF_SERVICE)
-    severity = F.when(own, "Low").when(F.col("critical_op") | (critical & F.col("stores")), "High").when(critical | (F.col("mods") > 2), "Medium").otherwise("Low")
-    maker = low.rlike("constructor|init")
-    confidence = F.when((F.col("mods") > 1) & ~maker & ~own, "High").when(~maker & ~own, "Medium").otherwise("Low")
-    skipped = ~F.col("critical_op") & ~low.rlike(PERMISSION) & (low.rlike(TRIVIAL) | ((F.col("mods") == 1) & ~low.contains("set")))
-    missing = f.where(~F.col("required") & ~skipped).select(*BY, F.lit("missing-access-control").alias("finding_type"), severity.alias("severity"), confidence.alias("confidence"))
-    return missing.unionByName(f.where("required AND origin").select(*BY, F.lit("weak-access-control-tx-origin").alias("finding_type"), F.lit("Medium").alias("severity"), F.lit("High").alias("confidence")))
-
-
 def time_findings(instr: DataFrame) -> DataFrame:
     """(contract, func, finding_type, severity) by how a function uses the block's time, number and difficulty."""
     op, low, text = F.col("op"), F.lower("func"), F.lower(F.coalesce("message", F.lit("")))
     g = instr.groupBy(*BY).agg(F.count_if(op == "BlockTimestamp").alias("times"), F.count_if(op.isin("BlockNumber", "BlockDifficulty")).alias("numbers"), F.count_if(op.isin("Add", "Sub", "Mul", "Div", "Mod")).alias("sums"), F.max((op == "Require") & text.rlike(SUSPICIOUS) & ~text.rlike(BENIGN)).alias("guards"))
     kinds = F.array(
-        F.when((F.col("times") > 0) & low.rlike(RANDOM), F.struct(F.lit("timestamp-randomness").alias("t"), F.lit("High").alias("s"))), F.when((F.col("times") > 0) & F.col("guards"), F.struct(F.lit("timestamp-access-control").alias("t"), F.lit("Medium").alias("s"))),
+        F.when((F.col("times") > 0) & low.rlike(RANDOM), F.struct(F.lit("timestamp-randomness").alias("t"), F.lit("High").alias("s"))), F.when((F.col("times") > 0) & ~low.rlike(RANDOM) & F.col("guards"), F.struct(F.lit("timestamp-access-control").alias("t"), F.lit("Medium").alias("s"))),
         F.when((F.col("numbers") > 0) & low.rlike(RANDOM), F.struct(F.lit("block-number-randomness").alias("t"), F.lit("High").alias("s"))), F.when((F.col("times") > 0) & (F.col("sums") > 2), F.struct(F.lit("complex-time-arithmetic").alias("t"), F.lit("Medium").alias("s"))),
     )
     return g.select(*BY, F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("k")).select(*BY, F.col("k.t").alias("finding_type"), F.col("k.s").alias("severity"))

@@ -10,6 +10,7 @@ from ..operators import correlate, detectors, findings, graph, ir, prompts, rend
 from ..operators.facts import Facts
 from . import bindings as B
 from . import contracts as C
+from . import flows
 from . import instructions
 from . import scan
 
@@ -491,5 +492,5 @@ def td_scan_composite(spark: SparkSession, d: str) -> DataFrame:
     return scan.composite(parts).select("file", "function", "line", "severity", F.size("scanners").cast("long").alias("scanners"))
 
 
-QUERIES |= instructions.QUERIES
-ORACLE_SQL |= instructions.ORACLE_SQL
+QUERIES |= instructions.QUERIES | flows.QUERIES
+ORACLE_SQL |= instructions.ORACLE_SQL | flows.ORACLE_SQL

@@ -59,12 +59,6 @@ def td_ir_call_edges(spark: SparkSession, d: str) -> DataFrame:
     return ir.call_edges(instr(spark, d), functions(spark, d))
 
 
-@query(f"""WITH {SQL}, e AS (SELECT i.contract, i.func, i.name AS other, max(pos) AS called FROM instr i JOIN fn f ON f.contract = i.contract AND f.func = i.name WHERE c GROUP BY ALL) SELECT DISTINCT a.contract, a.func, b.func AS other FROM (SELECT DISTINCT s.contract, s.func, first_call, key FROM s JOIN instr USING (func) WHERE calls > 0 AND r) a JOIN (SELECT DISTINCT contract, func, key FROM instr WHERE w) b ON a.contract = b.contract AND a.key = b.key AND a.func <> b.func LEFT JOIN e ON e.func = a.func AND e.other = b.func WHERE called IS NULL OR called > first_call""")
-def td_ir_cross_function(spark: SparkSession, d: str) -> DataFrame:
-    i = instr(spark, d)
-    return ir.cross_function(i, ir.call_edges(i, functions(spark, d)))
-
-
 @query(f"""WITH {SQL}, t AS (SELECT i.contract, i.func, i.key, i.pos, i.r, i.w, first_call FROM instr i JOIN s USING (func) WHERE (i.r OR i.w) AND calls > 0)
 SELECT contract, 'several' AS kind, CAST(count(*) AS VARCHAR) AS what, 'High' AS severity FROM s WHERE calls > 0 AND writes > 0 GROUP BY contract HAVING count(*) >= 2 UNION ALL SELECT contract, 'many', func, 'High' FROM s WHERE calls > 1 AND writes > 2
 UNION ALL SELECT contract, 'touched', key, 'Medium' FROM t GROUP BY contract, key HAVING count(*) > 1 UNION ALL SELECT contract, 'around', func || ':' || key, 'High' FROM t GROUP BY contract, func, key HAVING min(pos) FILTER (r) < min(first_call) AND max(pos) FILTER (w) > min(first_call)""")
@@ -72,16 +66,8 @@ def td_ir_shared_state(spark: SparkSession, d: str) -> DataFrame:
     return ir.shared_state(instr(spark, d))
 
 
-@query(f"""WITH {SQL}, g AS (SELECT i.contract, i.func, lower(i.func) AS low, count(*) FILTER (w) AS mods, bool_or(c) AS crit, bool_or(op = 'Require') AS req, bool_or(op = 'TxOrigin') AS origin, any_value(visibility) AS v, any_value(modifier) AS m FROM instr i JOIN fn USING (func) GROUP BY 1, 2 HAVING mods > 0 AND v IN ('public', 'external') AND m <> 'onlyOwner'),
-k AS (SELECT *, regexp_matches(low, '{ir.CRITICAL}') AS cn, regexp_matches(low, '{ir.SELF_SERVICE}') AS own FROM g)
-SELECT contract, func, 'missing-access-control' AS finding_type, CASE WHEN own THEN 'Low' WHEN crit OR cn THEN 'High' WHEN mods > 2 THEN 'Medium' ELSE 'Low' END AS severity, CASE WHEN own THEN 'Low' WHEN mods > 1 THEN 'High' ELSE 'Medium' END AS confidence FROM k WHERE NOT req AND NOT (NOT crit AND NOT regexp_matches(low, '{ir.PERMISSION}') AND (regexp_matches(low, '{ir.TRIVIAL}') OR (mods = 1 AND low NOT LIKE '%set%')))
-UNION ALL SELECT contract, func, 'weak-access-control-tx-origin', 'Medium', 'High' FROM k WHERE req AND origin""")
-def td_ir_access_control(spark: SparkSession, d: str) -> DataFrame:
-    return ir.access_control(instr(spark, d), functions(spark, d))
-
-
 @query(f"""WITH {SQL}, g AS (SELECT contract, func, lower(func) AS low, count(*) FILTER (op = 'BlockTimestamp') AS t, count(*) FILTER (op = 'BlockNumber') AS n, count(*) FILTER (op IN ('Add', 'Mul', 'Div')) AS a, coalesce(bool_or(op = 'Require' AND message LIKE '%owner%'), false) AS q FROM instr GROUP BY 1, 2)
-SELECT contract, func, 'timestamp-randomness' AS finding_type, 'High' AS severity FROM g WHERE t > 0 AND low LIKE '%winner%' UNION ALL SELECT contract, func, 'timestamp-access-control', 'Medium' FROM g WHERE t > 0 AND q UNION ALL SELECT contract, func, 'block-number-randomness', 'High' FROM g WHERE n > 0 AND low LIKE '%winner%' UNION ALL SELECT contract, func, 'complex-time-arithmetic', 'Medium' FROM g WHERE t > 0 AND a > 2""")
+SELECT contract, func, 'timestamp-randomness' AS finding_type, 'High' AS severity FROM g WHERE t > 0 AND low LIKE '%winner%' UNION ALL SELECT contract, func, 'timestamp-access-control', 'Medium' FROM g WHERE t > 0 AND q AND low NOT LIKE '%winner%' UNION ALL SELECT contract, func, 'block-number-randomness', 'High' FROM g WHERE n > 0 AND low LIKE '%winner%' UNION ALL SELECT contract, func, 'complex-time-arithmetic', 'Medium' FROM g WHERE t > 0 AND a > 2""")
 def td_ir_time(spark: SparkSession, d: str) -> DataFrame:
     return ir.time_findings(instr(spark, d))
 
