@@ -47,12 +47,6 @@ def top_lines(column: str = "body") -> Column:
     return F.array_join(F.slice(F.split(column, "\n"), 1, 3), "\n")
 
 
-def _versions(facts: Facts) -> DataFrame:
-    """(file, checked): whether the first pragma's arithmetic is checked by the compiler."""
-    v = rules.version(F.col("content"))
-    return facts.sources.select("file", F.coalesce(v >= F.struct(F.lit(0), F.lit(8), F.lit(0)), F.lit(False)).alias("checked"))
-
-
 def is_call(stmt: Column) -> Column:
     return F.exists(F.array(*map(F.lit, CALLS)), lambda c: F.contains(stmt, c))
 
@@ -88,8 +82,7 @@ def loop_reentrancy(facts: Facts) -> DataFrame:
 
 def integer_overflow(facts: Facts) -> DataFrame:
     """Products in loops, a product that is divided (the first of each contract), sums over loops; not from version 0.8 on."""
-    old = _versions(facts).where("NOT checked").select("file")
-    stmts = facts.statements.join(old, "file", "left_semi").withColumn("snippet", F.col("stmt"))
+    stmts = facts.statements.where("NOT checked").withColumn("snippet", F.col("stmt"))
     looped = within(stmts, facts.loops)
     product = looped.where(F.col("stmt").rlike(r"[\w\])]\s*\*(?![*=])\s*[\w(]"))
     divided = stmts.where(F.col("stmt").rlike(r"\([^()]*[^*]\*[^*=][^()]*\)\s*/|[\w\])]\s*\*\s*[\w.\[\]]+\s*/"))
@@ -110,7 +103,7 @@ def dangerous_functions(facts: Facts) -> DataFrame:
     f = lambda rows, kind, sev: findings(rows, "source-dangerous-functions", kind, sev, "High", _at("Dangerous operation at line "))
     destroy = s.withColumn("hit", F.explode(F.regexp_extract_all("stmt", F.lit(r"(?<![\w.])(selfdestruct|suicide)\s*\("), F.lit(1))))
     delegate = facts.calls.where(F.col("text").contains(".delegatecall")).withColumn("snippet", F.col("text"))
-    assembly = spans_of(facts.parts, facts.functions, r"^assembly\b").where(F.col("body").rlike("selfdestruct|delegatecall|callcode")).withColumn("snippet", top_lines())
+    assembly = spans_of(facts.functions, r"^assembly\b").where(F.col("body").rlike("selfdestruct|delegatecall|callcode")).withColumn("snippet", top_lines())
     return union([f(destroy, "dangerous-selfdestruct-source", "High"), f(delegate, "dangerous-delegatecall-source", "High"), f(assembly, "dangerous-assembly-source", "Medium")])
 
 
@@ -187,7 +180,7 @@ def simple_timestamp(facts: Facts) -> DataFrame:
 
 def unchecked_operations(facts: Facts) -> DataFrame:
     """(file, contract, func, line, snippet, left, operator, right, context, user, critical, validated) in unchecked blocks."""
-    blocks_ = spans_of(facts.parts, facts.functions, r"^unchecked$")
+    blocks_ = spans_of(facts.functions, r"^unchecked$")
     held = within(facts.statements.where("step <> 1 OR stmt RLIKE '^(for|while)'"), blocks_)
     side = r"[\w$.]+(?:\[[^\[\]]*(?:\[[^\[\]]*\])*[^\[\]]*\])*"
     pattern = rf"({side})\s*(\+\+|--|\+=|-=|\*=|\+|-(?!-)|\*(?!\*))\s*({side})?"
@@ -226,7 +219,7 @@ def unchecked_arithmetic(facts: Facts) -> DataFrame:
 
 def unchecked_overflow(facts: Facts) -> DataFrame:
     """The first unchecked block of each function, if it holds arithmetic."""
-    b = spans_of(facts.parts, facts.functions, r"^unchecked$")
+    b = spans_of(facts.functions, r"^unchecked$")
     first = b.withColumn("n", F.row_number().over(Window.partitionBy("file", "contract", "func").orderBy("pos"))).where("n = 1").where(F.col("body").rlike(r"\+\+|--|[+\-*]=|\s[+\-*]\s"))
     return findings(first.withColumn("snippet", F.lit("unchecked { ... }")), "source-unchecked-overflow", "unchecked-arithmetic", "High", "High", F.concat(F.lit("Unchecked arithmetic in "), F.col("func")), end_line="end_line")
 

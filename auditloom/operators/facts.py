@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..sources.tables import written
 
 #: Words of a function's header that are no modifiers.
@@ -25,13 +26,52 @@ def without_comments(text: Column) -> Column:
     return F.regexp_replace(F.array_join(inner, ""), r"(\"(?:[^\"\\\n]|\\.)*\")|//[^\n]*", "$1")
 
 
+def grouped(text: Column) -> Column:
+    """struct(outer, inner) of a text by its parentheses of the outermost level: what stands before, between and after them, and
+    what each pair holds, whatever the depth of pairs within. An open pair ends with the text."""
+    add = lambda xs, p: F.concat(F.slice(xs, F.lit(1), F.size(xs) - 1), F.array(F.concat(F.element_at(xs, -1), p)))
+    new = lambda xs, p: F.concat(xs, F.array(F.substring(p, 2, 2**31 - 1)))
+
+    def step(acc: Column, p: Column) -> Column:
+        d, outer, inner = acc["d"], acc["outer"], acc["inner"]
+        opens, closes = p.startswith("("), p.startswith(")")
+        return F.struct(
+            (d + F.when(opens, 1).when(closes & (d > 0), -1).otherwise(0)).alias("d"),
+            F.when(d > F.when(closes, 1).otherwise(0), outer).when(opens, outer).when(closes & (d == 1), new(outer, p)).otherwise(add(outer, p)).alias("outer"),
+            F.when(opens & (d == 0), new(inner, p)).when(opens | (closes & (d > 1)), add(inner, p)).otherwise(inner).alias("inner"),
+        )
+
+    start = F.struct(F.lit(0).alias("d"), F.array(F.lit("")).alias("outer"), F.array().cast("array<string>").alias("inner"))
+    return F.aggregate(F.split(text, r"(?=[()])"), start, step, lambda acc: F.struct(acc["outer"].alias("outer"), acc["inner"].alias("inner")))
+
+
+def _joined(g: Column, k: Column) -> Column:
+    """The text of grouped() after its k-th pair, counted from 0."""
+    tail = F.zip_with(F.slice(g["inner"], k + 2, F.size(g["inner"])), F.slice(g["outer"], k + 3, F.size(g["outer"])), lambda i, o: F.concat(F.lit("("), i, F.lit(")"), F.coalesce(o, F.lit(""))))
+    return F.concat(F.coalesce(F.get(g["outer"], k + 1), F.lit("")), F.array_join(tail, ""))
+
+
+#: What a member of a contract is by its header; a statement that runs over and over, with what may stand before it.
+FUNCTION = r"^(function\b|constructor\s*\(|fallback\s*\(|receive\s*\()"
+CONTRACT = r"(?:^|\s)(contract|library|interface)\s+([\w$]+)(?:\s+is\b[^{]*)?$"
+LOOP = r"^((?:else\b\s*|if\s*\(\)\s*)*)(for|while)\s*\(\)"
+
+
 def pieces(sources: DataFrame) -> DataFrame:
-    """(file, pos, raw, piece, line, before, after): the parts of a source up to each brace or semicolon; depths before and after."""
+    """The parts of a source up to each brace or semicolon, and where they stand: (file, pos, raw, piece, line, step, before,
+    after, end, end_line, header, contract, kind, c_pos, c_end, m_pos, m_end, checked).
+
+    step: whether a block opens (1) or closes (-1); before, after: depths; of an opening piece, end and end_line: where its
+    block closes, header: what opens it. contract and kind, c_pos and c_end: the block of the outermost level around it; m_pos
+    and m_end: the block of the next one, which is a function or another member. All of these are running counts and last
+    values over one file's pieces, by one exchange. checked: whether the first pragma's arithmetic is.
+    """
     text = without_comments(F.coalesce("content", F.lit("")))
     text = F.regexp_replace(text, r"(?m)[{};](?=[^\"\n]*\"(?:[^\"\n]*\"[^\"\n]*\")*[^\"\n]*$)", " ")
     text = F.regexp_replace(text, r"\bfor\s*\(([^;{}]*);([^;{}]*);", "for ($1\x01$2\x01")  # the semicolons of a for don't end a piece,
     text = F.regexp_replace(F.regexp_replace(text, r"\{(\s*(?:value|gas|salt)\s*:[^{};]*)\}", "\x02$1\x03"), r"\(\{([^{};]*)\}\)", "(\x02$1\x03)")  # nor options and fields of a call
-    cut = sources.select("file", F.posexplode(F.split(text, r"(?<=[{};])")).alias("pos", "raw")).withColumn("raw", F.translate("raw", "\x01\x02\x03", ";{}"))
+    checked = F.coalesce(rules.version(F.col("content")) >= F.struct(F.lit(0), F.lit(8), F.lit(0)), F.lit(False))
+    cut = sources.select("file", checked.alias("checked"), F.posexplode(F.split(text, r"(?<=[{};])")).alias("pos", "raw")).withColumn("raw", F.translate("raw", "\x01\x02\x03", ";{}"))
     order = Window.partitionBy("file").orderBy("pos")
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     end = F.substring(F.rtrim("raw"), -1, 1)
@@ -39,73 +79,107 @@ def pieces(sources: DataFrame) -> DataFrame:
     out = cut.withColumns({"piece": F.regexp_replace("raw", r"^\s+|\s+$", ""), "step": step})
     before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = out.withColumns({"before": before("step"), "line": 1 + before(newlines(F.col("raw"))) + newlines(F.regexp_extract("raw", r"^\s*", 0))})
-    return out.withColumn("after", F.col("before") + F.col("step"))
-
-
-def blocks(parts: DataFrame) -> DataFrame:
-    """(file, pos, end, line, end_line, header, level) of each block: its opening piece and the closing one of its level."""
+    out = out.withColumn("after", F.col("before") + F.col("step"))
+    # from the last piece on, the closing piece of a level seen last is the next one of an opening piece
     level = F.when(F.col("step") == 1, F.col("before")).otherwise(F.col("after"))
-    w = Window.partitionBy("file", "level").orderBy("pos")
-    closing = {"end": F.lead(F.when(F.col("step") == -1, F.col("pos"))).over(w), "end_line": F.lead(F.col("line") + F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))).over(w)}
-    held = parts.where("step <> 0").withColumn("level", level).withColumns(closing).where("step = 1")
-    return held.select("file", "pos", F.coalesce("end", F.lit(2**31 - 1)).alias("end"), "line", F.coalesce("end_line", "line").alias("end_line"), F.regexp_replace("piece", r"\s*\{$", "").alias("header"), "level")
+    back = Window.partitionBy("file", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    closing = F.last(F.when(F.col("step") == -1, F.struct(F.col("pos").alias("end"), (F.col("line") + newlines(F.col("piece"))).alias("end_line"))), ignorenulls=True).over(back)
+    opens = F.col("step") == 1
+    out = out.withColumn("level", level).withColumn("closing", closing)
+    out = out.withColumns({"end": F.when(opens, F.coalesce("closing.end", F.lit(2**31 - 1))), "end_line": F.when(opens, F.coalesce("closing.end_line", "line")), "header": F.when(opens, F.regexp_replace("piece", r"\s*\{$", ""))}).drop("closing", "level")
+    around = order.rowsBetween(Window.unboundedPreceding, 0)
+    top = F.when(opens & F.col("header").rlike(CONTRACT), F.struct(F.regexp_extract("header", CONTRACT, 2).alias("contract"), F.regexp_extract("header", CONTRACT, 1).alias("kind"), F.col("pos").alias("c_pos"), F.col("end").alias("c_end")))
+    member = F.when(opens & (F.col("before") == 1), F.struct(F.col("pos").alias("m_pos"), F.col("end").alias("m_end")))
+    out = out.withColumns({"c": F.last(top, ignorenulls=True).over(around), "m": F.last(member, ignorenulls=True).over(around)})
+    inside = lambda of, at, names: {x: F.when(F.col("pos") <= F.col(f"{of}.{at}"), F.col(f"{of}.{x}")) for x in names}
+    return out.withColumns(inside("c", "c_end", ("contract", "kind", "c_pos", "c_end")) | inside("m", "m_end", ("m_pos", "m_end"))).drop("c", "m")
 
 
 def contracts(parts: DataFrame) -> DataFrame:
     """(file, contract, kind, pos, end)."""
-    pattern = r"(?:^|\s)(contract|library|interface)\s+([\w$]+)(?:\s+is\b[^{]*)?$"
-    return blocks(parts).where(F.col("header").rlike(pattern)).select("file", F.regexp_extract("header", pattern, 2).alias("contract"), F.regexp_extract("header", pattern, 1).alias("kind"), "pos", "end")
+    return parts.where("pos = c_pos").select("file", "contract", "kind", "pos", "end")
+
+
+def members(parts: DataFrame) -> DataFrame:
+    """A row for each function and modifier, with or without a body: (file, contract, checked, m_pos, header, line, end_line, base,
+    all): all has its pieces after the header, in order. Grouped within the exchange that pieces() made."""
+    bare = (F.col("before") == 1) & (F.col("step") == 0) & F.col("piece").rlike(r"^(function|modifier)\b")  # declared, not defined
+    at = F.when(bare, F.col("pos")).otherwise(F.col("m_pos"))
+    head = (F.col("pos") == at)
+    held = parts.where("contract IS NOT NULL").withColumn("at", at).where("at IS NOT NULL")
+    fields = F.struct("pos", "raw", "piece", "line", "before", "step", "end", "end_line")
+    rows = held.groupBy("file", "contract", "at").agg(
+        F.first("checked").alias("checked"), F.max(F.when(head, F.regexp_replace(F.coalesce("header", "piece"), r"\s*;$", ""))).alias("header"), F.max(F.when(head, F.col("line"))).alias("line"),
+        F.max(F.when(head, F.coalesce("end_line", "line"))).alias("end_line"), F.max(F.when(head, F.coalesce("end", "pos"))).alias("end"), F.max(F.when(head, F.col("after"))).alias("base"), F.max(F.when(head, F.col("step"))).alias("defined"), F.array_sort(F.collect_list(F.when(~head, fields))).alias("all"),
+    )
+    return rows.withColumnRenamed("at", "m_pos").where(F.col("header").rlike(FUNCTION + r"|^modifier\b"))
 
 
-def _in_contract(found: DataFrame, parts: DataFrame) -> DataFrame:
-    c = contracts(parts).select("file", "contract", F.col("pos").alias("c_pos"), F.col("end").alias("c_end"))
-    return found.join(c, (found["file"] == c["file"]) & found["pos"].between(c["c_pos"], c["c_end"])).drop(c["file"]).drop("c_pos", "c_end")
+def _text(pieces_: Column) -> Column:
+    """The text of pieces, from the opening brace to the closing one."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(pieces_, lambda x: x["raw"]), ""))
 
 
-def modifiers(parts: DataFrame) -> DataFrame:
+def modifiers(rows: DataFrame) -> DataFrame:
     """(file, contract, name, line, body, is_access_control)."""
-    found = _in_contract(blocks(parts).where(F.col("header").rlike(r"^modifier\s")), parts)
-    inside = found.select("file", "contract", "pos", "end", "line", F.regexp_extract("header", r"^modifier\s+([\w$]+)", 1).alias("name"))
-    body = _text(inside, parts, "body").drop("end")
-    return body.withColumn("is_access_control", F.lower("name").rlike("|".join(ACCESS))).drop("pos")
-
+    named = rows.where(F.col("header").rlike(r"^modifier\s")).select("file", "contract", "line", F.regexp_extract("header", r"^modifier\s+([\w$]+)", 1).alias("name"), F.when(F.col("defined") == 1, _text(F.col("all"))).otherwise("").alias("body"))
+    return named.withColumn("is_access_control", F.lower("name").rlike("|".join(ACCESS)))
 
-def _text(spans: DataFrame, parts: DataFrame, name: str) -> DataFrame:
-    """spans (file, pos, end, ...) with the text from the opening brace to the closing one."""
-    p = parts.select("file", F.col("pos").alias("at"), "raw")
-    keys = spans.select("file", "pos", "end")
-    inside = keys.join(p, "file").where("at > pos AND at <= end").groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("all"))
-    text = F.concat(F.lit("{"), F.array_join(F.transform("all", lambda x: x["raw"]), ""))
-    return spans.join(inside.select("file", "pos", text.alias(name)), ["file", "pos"])
 
-
-def functions(parts: DataFrame) -> DataFrame:
-    """(file, contract, func, pos, end, line, end_line, visibility, mutability, modifiers, params, returns, header, body)."""
+def functions(rows: DataFrame) -> DataFrame:
+    """(file, contract, func, pos, end, line, end_line, visibility, mutability, modifiers, params, returns, header, body, checked,
+    base, all), one for each function, also of those that are declared only (an empty body). The header is read by the depth
+    of its parentheses: parameters are the first pair, what follows outside of pairs are words, returns are their own pair."""
     h = F.col("header")
-    found = _in_contract(blocks(parts).where(h.rlike(r"^(function\b|constructor\s*\(|fallback\s*\(|receive\s*\()")), parts)
+    held = rows.where(h.rlike(FUNCTION)).withColumn("g", grouped(h))
+    outer, inner = F.col("g.outer"), F.col("g.inner")
     named = F.coalesce(F.nullif(F.regexp_extract(h, r"^function\s+([\w$]+)", 1), F.lit("")), F.nullif(F.regexp_extract(h, r"^(constructor|receive)", 1), F.lit("")), F.lit("fallback"))
-    after = F.regexp_replace(F.regexp_replace(h, r"^[^(]*\([^)]*\)", ""), r"\breturns\s*\([^)]*\)", "")
-    words = F.regexp_extract_all(after, F.lit(r"([A-Za-z_$][\w$]*)(?:\s*\([^)]*\))?"), F.lit(1))
-    pick = lambda pattern, other: F.coalesce(F.nullif(F.regexp_extract(after, pattern, 1), F.lit("")), F.lit(other))
-    facts = found.select(
-        "file", "contract", named.alias("func"), "pos", "end", "line", "end_line", pick(r"\b(public|external|internal|private)\b", "internal").alias("visibility"), pick(r"\b(view|pure|payable)\b", "").alias("mutability"),
-        F.filter(words, lambda x: ~x.isin(*KEYWORDS)).alias("modifiers"), declared(F.regexp_extract(h, r"^[^(]*\(([^)]*)\)", 1)).alias("params"), declared(F.regexp_extract(h, r"\breturns\s*\(([^)]*)\)", 1)).alias("returns"), "header",
+    words = F.regexp_extract_all(F.array_join(F.slice(outer, F.lit(2), F.size(outer)), " ; "), F.lit(r"([A-Za-z_$][\w$.]*)"), F.lit(1))
+    pick = lambda choices, other: F.coalesce(F.get(F.filter(words, lambda x: x.isin(*choices)), F.lit(0)), F.lit(other))
+    at = F.array_position(F.transform(outer, lambda x: x.rlike(r"\breturns\s*$")), F.lit(True))
+    back = F.when(at > 0, F.get(inner, (at - 1).cast("int"))).otherwise("")
+    return held.select(
+        "file", "contract", named.alias("func"), F.col("m_pos").alias("pos"), "end", "line", "end_line", pick(("public", "external", "internal", "private"), "internal").alias("visibility"), pick(("view", "pure", "payable"), "").alias("mutability"),
+        F.filter(words, lambda x: ~x.isin(*KEYWORDS)).alias("modifiers"), declared(F.coalesce(F.get(inner, F.lit(0)), F.lit(""))).alias("params"), declared(back).alias("returns"), "header", F.when(F.col("defined") == 1, _text(F.col("all"))).otherwise("").alias("body"), "checked", "base", "all",
     )
-    return _text(facts, parts, "body")
 
 
 def declared(inside: Column) -> Column:
-    """Array of (type_name, name) of a list of parameters."""
-    one = lambda x: F.struct(F.regexp_extract(x, r"^\s*(\S+)", 1).alias("type_name"), F.regexp_extract(x, r"\s([\w$]+)\s*$", 1).alias("name"))
-    return F.transform(F.filter(F.split(inside, ","), lambda x: F.trim(x) != ""), one)
+    """Array of (type_name, name) of a list of parameters; commas within pairs don't divide them."""
+    g = grouped(inside)
+    flat = F.array_join(F.zip_with(F.transform(g["outer"], lambda x: F.replace(x, F.lit(","), F.lit("\x01"))), g["inner"], lambda o, i: F.concat(o, F.coalesce(F.concat(F.lit("("), i, F.lit(")")), F.lit("")))), "")
+    name = lambda x: F.regexp_extract(x, r"[\s)]([\w$]+)\s*$", 1)
+    one = lambda x: F.struct(F.regexp_extract(x, r"^\s*([\w$.]+(?:\([^()]*\))?(?:\[[^\]]*\])*|mapping\s*\(.*\))", 1).alias("type_name"), F.when(name(x).isin(*KEYWORDS), "").otherwise(name(x)).alias("name"))
+    return F.transform(F.filter(F.split(flat, "\x01"), lambda x: F.trim(x) != ""), one)
+
+
+def statements(funcs: DataFrame) -> DataFrame:
+    """(file, contract, func, f_pos, pos, line, level, step, stmt, checked) of each piece inside a function; level 0: at the top of its body."""
+    held = funcs.select("file", "contract", "func", "checked", F.col("pos").alias("f_pos"), "end", "base", F.explode("all").alias("p")).where("p.pos < end AND p.piece <> '}'")
+    return held.select("file", "contract", "func", "f_pos", "p.pos", "p.line", (F.col("p.before") - F.col("base")).alias("level"), "p.step", F.col("p.piece").alias("stmt"), "checked")
+
+
+def spans(funcs: DataFrame, keep: Column) -> DataFrame:
+    """(file, contract, func, f_pos, pos, end, line, end_line, header, body) of the blocks within functions whose header (a column of
+    that name) keep accepts."""
+    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), "all", F.explode(F.filter("all", lambda p: p["step"] == 1)).alias("p"))
+    held = opened.withColumn("header", F.regexp_replace("p.piece", r"\s*\{$", "")).where(keep)
+    body = _text(F.filter("all", lambda x: (x["pos"] > F.col("p.pos")) & (x["pos"] <= F.col("p.end"))))
+    return held.select("file", "contract", "func", "f_pos", "p.pos", "p.end", "p.line", "p.end_line", "header", body.alias("body"))
 
 
-def statements(parts: DataFrame, funcs: DataFrame) -> DataFrame:
-    """(file, contract, func, pos, line, level, stmt) of each piece inside a function; level 0: at the top of its body."""
-    f = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), "end")
-    held = parts.join(f, "file").where("pos > f_pos AND pos < end")
-    base = parts.select("file", F.col("pos").alias("f_pos"), F.col("after").alias("base"))
-    return held.join(base, ["file", "f_pos"]).where("piece <> '}'").select("file", "contract", "func", "f_pos", "pos", "line", (F.col("before") - F.col("base")).alias("level"), "step", F.col("piece").alias("stmt"))
+def spans_of(funcs: DataFrame, pattern: str) -> DataFrame:
+    return spans(funcs, F.col("header").rlike(pattern))
+
+
+def within(stmts: DataFrame, spans_: DataFrame) -> DataFrame:
+    """Statements inside a span of the same function, with s_pos and s_line of the innermost such span. A function's spans come to
+    its statements as one array."""
+    key = ["file", "contract", "func", "f_pos"]
+    s = spans_.groupBy(*key).agg(F.collect_list(F.struct(F.col("pos").alias("s_pos"), F.col("line").alias("s_line"), F.col("end").alias("s_end"))).alias("spans"))
+    held = stmts.join(s, key)
+    inner = F.array_max(F.filter("spans", lambda x: ((F.col("pos") > x["s_pos"]) & (F.col("pos") < x["s_end"])) | ((F.col("pos") == x["s_pos"]) & (x["s_end"] == x["s_pos"]))))  # or it is the span, without braces
+    return held.withColumn("s", inner).where("s IS NOT NULL").select(*stmts.columns, "s.s_pos", "s.s_line")
 
 
 def calls(stmts: DataFrame) -> DataFrame:
@@ -125,48 +199,52 @@ def assignments(stmts: DataFrame) -> DataFrame:
     return stmts.where(F.col("stmt").rlike(pattern)).select("file", "contract", "func", "pos", "line", F.regexp_extract("stmt", pattern, 1).alias("left_side"), F.trim(F.regexp_extract("stmt", pattern, 2)).alias("right_side"))
 
 
-def loops(parts: DataFrame, funcs: DataFrame) -> DataFrame:
-    """(file, contract, func, pos, end, line, end_line, loop_type, condition, body, contains_external_calls,
-    contains_storage_writes, iterates_over_length); nested loops are rows of their own. Loops without braces are not seen."""
-    b = blocks(parts).where(F.col("header").rlike(r"^(for|while)\s*\(|^do$"))
-    f = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), F.col("end").alias("f_end"))
-    held = _text(b.join(f, "file").where("pos > f_pos AND pos < f_end"), parts, "body")
-    tail = parts.select("file", (F.col("pos") - 1).alias("end"), F.regexp_extract("piece", r"^while\s*\((.*)\)\s*;$", 1).alias("until"))
-    held = held.join(tail, ["file", "end"], "left")
-    kind = F.when(F.col("header") == "do", "DoWhile").when(F.col("header").startswith("for"), "For").otherwise("While")
-    condition = F.when(kind == "For", F.trim(F.get(F.split("header", ";"), F.lit(1)))).when(kind == "While", F.regexp_extract("header", r"^while\s*\((.*)\)$", 1)).otherwise(F.coalesce("until", F.lit("")))
-    writes = F.size(F.regexp_extract_all("body", F.lit(r"(?:^|[;{}])\s*[\w$]+(?:\.[\w$]+|\[[^\]]*\])*\s*(?:[+\-*/%]?=)(?![=>])"), F.lit(0)))
+def loops(funcs: DataFrame) -> DataFrame:
+    """(file, contract, func, f_pos, pos, end, line, end_line, loop_type, condition, body, contains_external_calls,
+    contains_storage_writes, iterates_over_length); nested loops are rows of their own.
+
+    A loop may stand after conditions (`else if (x) for (...)`), and its body may be a statement without braces: it is then
+    the rest of the piece, or that and the block that the piece opens.
+    """
+    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), "all", F.explode("all").alias("p"))
+    maybe = opened.where(F.col("p.piece").rlike(r"^(?:(?:else|if)\b.*)?\b(?:for|while)\s*\((?s:.*)|^do\b"))
+    g = F.when(F.col("p.piece").rlike(r"^do\b"), F.lit(None)).otherwise(grouped(F.col("p.piece")))
+    held = maybe.withColumn("g", g).withColumn("skeleton", F.array_join("g.outer", "()"))
+    ends_do = F.col("skeleton").rlike(r"^while\s*\(\)\s*;$") & F.exists("all", lambda x: (F.coalesce(x["end"], x["pos"]) == F.col("p.pos") - 1) & x["piece"].rlike(r"^do\b"))
+    held = held.withColumn("is_do", F.col("g").isNull()).where(F.col("is_do") | (F.col("skeleton").rlike(LOOP) & ~F.coalesce(ends_do, F.lit(False))))
+    prefix, word = F.regexp_extract("skeleton", LOOP, 1), F.regexp_extract("skeleton", LOOP, 2)
+    k = F.length(prefix) - F.length(F.replace(prefix, F.lit("("), F.lit("")))
+    held = held.withColumns({"word": F.when(F.col("is_do"), "do").otherwise(word), "k": k.cast("int")})
+    head, rest = F.get("g.inner", F.col("k")), _joined(F.col("g"), F.col("k"))
+    tail = F.get(F.filter("all", lambda x: x["pos"] == F.coalesce(F.col("p.end"), F.col("p.pos")) + 1), F.lit(0))["piece"]
+    kind = F.when(F.col("word") == "do", "DoWhile").when(F.col("word") == "for", "For").otherwise("While")
+    condition = F.when(kind == "For", F.trim(F.get(F.split(head, ";"), F.lit(1)))).when(kind == "While", head).otherwise(F.coalesce(F.regexp_extract(tail, r"^while\s*\((.*)\)\s*;$", 1), F.lit("")))
+    braced = F.col("p.step") == 1
+    block = F.array_join(F.transform(F.filter("all", lambda x: (x["pos"] > F.col("p.pos")) & (x["pos"] <= F.col("p.end"))), lambda x: x["raw"]), "")
+    lead = F.when(F.col("is_do"), F.regexp_replace(F.col("p.piece"), r"^do\s*", "")).otherwise(F.regexp_replace(rest, r"^\s+", ""))
+    body = F.when(braced, F.concat(lead, block)).otherwise(F.concat(F.lit("{ "), lead, F.lit(" }")))
+    held = held.withColumns({"kind": kind, "condition": condition, "body": body})
+    writes = F.size(F.regexp_extract_all("body", F.lit(r"(?:^|[;{})])\s*[\w$]+(?:\.[\w$]+|\[[^\]]*\])*\s*(?:[+\-*/%]?=)(?![=>])"), F.lit(0)))
     return held.select(
-        "file", "contract", "func", "pos", "end", "line", "end_line", kind.alias("loop_type"), condition.alias("condition"), "body",
-        F.col("body").rlike(r"\.(call|delegatecall|staticcall|transfer|send)\b\s*[({]").alias("contains_external_calls"), (writes > 2).alias("contains_storage_writes"), (condition.contains(".length") | F.col("body").contains(".length")).alias("iterates_over_length"),
+        "file", "contract", "func", "f_pos", "p.pos", F.coalesce("p.end", "p.pos").alias("end"), "p.line", F.coalesce("p.end_line", "p.line").alias("end_line"), F.col("kind").alias("loop_type"), "condition", "body",
+        F.col("body").rlike(r"\.(call|delegatecall|staticcall|transfer|send)\b\s*[({]").alias("contains_external_calls"), (writes > 2).alias("contains_storage_writes"), (F.col("condition").contains(".length") | F.col("body").contains(".length")).alias("iterates_over_length"),
     )
 
 
-def spans_of(parts: DataFrame, funcs: DataFrame, pattern: str) -> DataFrame:
-    """(file, contract, func, pos, end, line, end_line, body) of the blocks within functions whose header matches."""
-    f = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), F.col("end").alias("f_end"))
-    b = blocks(parts).where(F.col("header").rlike(pattern)).join(f, "file").where("pos > f_pos AND pos < f_end")
-    return _text(b.select("file", "contract", "func", "pos", "end", "line", "end_line"), parts, "body")
-
-
-def within(stmts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Statements inside a span of the same function, with s_pos and s_line of the innermost such span."""
-    s = spans.select("file", "func", F.col("pos").alias("s_pos"), F.col("end").alias("s_end"), F.col("line").alias("s_line"))
-    held = stmts.join(s, ["file", "func"]).where("pos > s_pos AND pos < s_end")
-    return held.withColumn("turn", F.row_number().over(Window.partitionBy("file", "pos").orderBy(F.desc("s_pos")))).where("turn = 1").drop("turn", "s_end")
-
-
 class Facts:
-    """All relations of sources (file, content). keep: as tables of their own, for more than a detector or two."""
+    """All relations of sources (file, content): members() is worked out by one exchange, and the others are read off its rows.
+    keep: members, and the pieces outside of them, as tables of their own, for more than a detector or two."""
 
     def __init__(self, sources: DataFrame, keep: bool = False):
-        table = written if keep else lambda df, name: df
         self.sources = sources.select("file", "content")
-        self.parts = table(pieces(self.sources), "pieces")
-        self.functions = table(functions(self.parts), "functions")
-        self.statements = table(statements(self.parts, self.functions), "statements")
-        self.modifiers = modifiers(self.parts)
-        self.loops = table(loops(self.parts, self.functions), "loops")
+        self.parts = pieces(self.sources)
+        rows = members(self.parts)
+        if keep:
+            self.parts, rows = written(self.parts.where("before <= 1"), "pieces"), written(rows, "members")
+        self.functions = functions(rows)
+        self.statements = statements(self.functions)
+        self.modifiers = modifiers(rows)
+        self.loops = loops(self.functions)
         self.calls = calls(self.statements)
         self.assignments = assignments(self.statements)
 

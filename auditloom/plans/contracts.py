@@ -25,9 +25,12 @@ FUNCTIONS = (
     "function deposit() external payable {\n    balances[msg.sender] += msg.value; /* owner =\n x */\n}\n",
     "function raw(address logic) internal {\n    assembly {\n        let r := delegatecall(gas(), logic, 0, 0, 0, 0)\n    }\n    do {\n        step = step + 1;\n    } while (step < 9);\n}\n",
     'function randomPick() external view returns (uint256) {\n    require(block.timestamp >= end, "early");\n    return block.number % 5;\n}\n',
+    "function spread(address payable[] memory to) external {\n    for (uint i = 0; i < to.length; i++) to[i].transfer(1);\n    if (open) while (left > 0) left--;\n    done = true;\n}\n",
+    "function grant(uint256 a, function(uint256) external f) public onlyRole(keccak256(abi.encode(a))) returns (bytes memory) {\n    owner = address(uint160(a));\n}\n",
+    "function quote(uint256 amount) external view virtual returns (uint256 price);\n",
 )
 N = len(FUNCTIONS)
-NAMES = ("take", "payAll", "burnDown", "kill", "drawWinner", "sweep", "setOwner", "changeOwner", "reset", "deposit", "raw", "randomPick")
+NAMES = ("take", "payAll", "burnDown", "kill", "drawWinner", "sweep", "setOwner", "changeOwner", "reset", "deposit", "raw", "randomPick", "spread", "grant", "quote")
 #: (function, detector, line from the function's on, finding type, severity, confidence, only without checked arithmetic)
 EXPECTED = (
     (0, "classic-reentrancy", 1, "classic-reentrancy", "High", "High", False), (1, "classic-reentrancy", 1, "classic-reentrancy", "High", "High", False), (1, "source-loop-reentrancy", 1, "source-loop-reentrancy", "High", "High", False),
@@ -44,23 +47,27 @@ EXPECTED = (
     (4, "simple-timestamp", 1, "simple-timestamp", "High", "High", False),
     (4, "source-time-vulnerabilities", 1, "timestamp-source", "High", "High", False), (4, "source-time-vulnerabilities", 2, "block-difficulty-source", "High", "High", False), (4, "source-time-vulnerabilities", 2, "timestamp-randomness-source", "High", "High", False),
     (11, "source-time-vulnerabilities", 1, "timestamp-source", "Medium", "High", False), (11, "source-time-vulnerabilities", 2, "block-number-randomness-source", "Medium", "High", False),
+    (12, "classic-reentrancy", 1, "classic-reentrancy", "High", "High", False), (12, "source-loop-reentrancy", 1, "source-loop-reentrancy", "High", "High", False), (12, "source-dos-vulnerabilities", 1, "dos-external-call-loop-source", "High", "High", False),
+    (12, "ast-dos-vulnerabilities", 1, "dos-external-call-loop-ast", "High", "High", False), (12, "ast-dos-vulnerabilities", 1, "dos-unbounded-loop-ast", "Medium", "High", False), (12, "source-gas-limit-dos", 1, "gas-limit-dos-external-call", "Critical", "High", False), (12, "source-missing-access-control", 1, "unprotected-ether-withdrawal", "High", "High", False),
     (2, "unchecked-arithmetic", 2, "unchecked-arithmetic", "Critical", "High", False), (2, "unchecked-arithmetic", 3, "unchecked-arithmetic", "Medium", "Medium", False), (2, "source-unchecked-overflow", 1, "unchecked-arithmetic", "High", "High", False),
 )
 #: (function, visibility, mutability, modifiers, parameters, last line)
 FUNCTION_FACTS = (
     (0, "public", "", "", "", 3), (1, "external", "", "", "users", 6), (2, "external", "", "", "amount", 5), (3, "public", "", "", "to,logic", 3), (4, "public", "", "", "", 4), (5, "external", "", "", "t,to", 4),
     (6, "external", "", "onlyOwner", "next", 2), (7, "public", "", "", "next", 2), (8, "external", "", "", "data", 7), (9, "external", "payable", "", "", 3), (10, "internal", "", "", "logic", 7), (11, "external", "view", "", "", 3),
+    (12, "external", "", "", "to", 4), (13, "public", "", "onlyRole", "a,f", 2), (14, "external", "view", "", "amount", 0),
 )
 #: (function, line, last line, type, condition, calls, writes, length)
-LOOP_FACTS = ((1, 1, 4, "For", "i < users.length", True, False, True), (8, 1, 6, "For", "i < data.length", False, True, True), (10, 4, 6, "DoWhile", "step < 9", False, False, False))
+LOOP_FACTS = ((1, 1, 4, "For", "i < users.length", True, False, True), (8, 1, 6, "For", "i < data.length", False, True, True), (10, 4, 6, "DoWhile", "step < 9", False, False, False), (12, 1, 1, "For", "i < to.length", True, False, True), (12, 2, 2, "While", "left > 0", False, False, False))
 #: (function, line, type, target, checked)
 CALL_FACTS = (
     (0, 1, "Call", "msg.sender", True), (1, 2, "Transfer", "users[i]", False), (3, 1, "DelegateCall", "logic", False), (5, 1, "ERC20Transfer", "IERC20(t)", False), (5, 2, "Send", "payable(to)", False), (5, 3, "ERC20TransferFrom", "IERC20(t)", True),
+    (12, 1, "Transfer", "to[i]", False),
 )
 #: (function, line, left side, right side)
 ASSIGNMENT_FACTS = (
     (0, 2, "bal[msg.sender]", "0"), (1, 5, "last", "total"), (4, 2, "seed", "uint256(keccak256(abi.encodePacked(block.timestamp, block.difficulty)))"), (6, 1, "owner", "next"), (7, 1, "owner", "next"),
-    (8, 2, "sums[i]", "data[i] * rate / 3"), (8, 3, "count", "count + 1"), (8, 5, "flag[i]", "1"), (10, 5, "step", "step + 1"),
+    (8, 2, "sums[i]", "data[i] * rate / 3"), (8, 3, "count", "count + 1"), (8, 5, "flag[i]", "1"), (10, 5, "step", "step + 1"), (12, 3, "done", "true"), (13, 1, "owner", "address(uint160(a))"),
 )
 HEAD = "contract C{key} {\n    address owner;\n    uint256 total;\n"
 MODIFIER = "    modifier onlyOwner() { require(msg.sender == owner); _; }\n"

@@ -132,3 +132,50 @@ def test_answers(spark):
 def test_scores(spark):
     row = spark.range(1).select(rules.access_confidence(F.lit(True), F.lit(True), F.lit(False), F.lit(False), F.lit(False), F.lit(False)).alias("a"), rules.unchecked_confidence(F.lit(True), F.lit(False), F.lit(False), F.lit(True)).alias("u")).first()
     assert round(row.a, 4) == 1.0 and round(row.u, 4) == 0.7
+
+
+ODD = """interface I { function quote(uint a) external view returns (uint); function two() external; }
+abstract contract K is I {
+    modifier late(uint x) virtual;
+    function one(uint a, function(uint) external f, mapping(uint => uint) storage m) public onlyRole(keccak256(abi.encode(a, 1))) late(f(a)) returns (bytes memory, uint b) { owner = a; }
+    function many(address[] calldata xs) external {
+        for (uint i = 0; i < xs.length; i++) xs[i].transfer(1);
+        while (a > 0) a--;
+        if (x) { y = 1; } else if ((a + (b)) > 1) for (uint j = 0; j < g(h(2)); j++) if (xs[j] == (k)) { a = 1; b = 2; c = 3; }
+        do { for (;;) { while (t(u(v))) { z = 1; } } } while (n < 3);
+        while (m > 1) { do step(); while (q); }
+    }
+    function unclosed() public { x = 1; }
+}"""
+
+
+def test_headers_by_depth_and_statements_without_braces(spark):
+    f = Facts(spark.createDataFrame([("o.sol", ODD)], "file string, content string"))
+    got = {r.func: r for r in f.functions.collect()}
+    assert set(got) == {"quote", "two", "one", "many", "unclosed"} and got["quote"].body == "" and (got["quote"].contract, got["quote"].mutability, got["two"].visibility) == ("I", "view", "external")
+    one = got["one"]
+    assert (one.visibility, one.modifiers) == ("public", ["onlyRole", "late"])
+    assert [(p.type_name, p.name) for p in one.params] == [("uint", "a"), ("function(uint)", "f"), ("mapping(uint => uint)", "m")]
+    assert [(p.type_name, p.name) for p in one.returns] == [("bytes", ""), ("uint", "b")]
+    assert [(r.name, r.body) for r in f.modifiers.collect()] == [("late", "")]
+    loops = sorted((r.line, r.pos, r.end_line, r.loop_type, r.condition, r.contains_external_calls, r.contains_storage_writes) for r in f.loops.collect())
+    assert [x[:1] + x[2:] for x in loops] == [
+        (6, 6, "For", "i < xs.length", True, False), (7, 7, "While", "a > 0", False, False), (8, 8, "For", "j < g(h(2))", False, True), (9, 9, "DoWhile", "n < 3", False, False),
+        (9, 9, "For", "", False, False), (9, 9, "While", "t(u(v))", False, False), (10, 10, "While", "m > 1", False, False), (10, 10, "DoWhile", "q", False, False)]
+    from auditloom.operators.facts import within
+
+    assert {r.stmt: r.s_line for r in within(f.statements, f.loops).where("line < 8").collect()} == {"for (uint i = 0; i < xs.length; i++) xs[i].transfer(1);": 6, "while (a > 0) a--;": 7}
+
+
+def test_one_scan_and_one_exchange(spark):
+    """Facts are read off one table of members: no plan reads the sources twice or deals its pieces again."""
+    import re
+
+    source = spark.createDataFrame([("a.sol", AUCTION)], "file string, content string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for x in ("classic-reentrancy", "source-unchecked-return", "simple-timestamp", "source-missing-access-control", "source-unchecked-overflow"):
+            plan = scan.detected(Facts(source), scan.selected([x]))._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"Scan ExistingRDD", plan)) == 1 and len(re.findall(r"\bExchange ", plan)) == 1, x
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
