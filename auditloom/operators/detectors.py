@@ -38,6 +38,12 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def kinds(rows: DataFrame, *cases: tuple[Column, str, str, str]) -> DataFrame:
+    """rows once for each case (when, kind, severity, confidence) that holds, with the columns k, s and c: one pass, not one a case."""
+    each = F.array(*(F.when(on, F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(c).alias("c"))) for on, k, s, c in cases))
+    return rows.withColumn("_", F.explode(F.filter(each, lambda x: x.isNotNull()))).select(*rows.columns, "_.*")
+
+
 def _at(text: str) -> Column:
     return F.concat(F.lit(text), F.col("line"))
 
@@ -132,16 +138,16 @@ def dos(facts: Facts) -> DataFrame:
     c = F.col("condition")
     constant = c.rlike(r"\p{N}") & ~c.contains(".length") & ~c.contains("(") & ~c.contains("[")
     l, ext, writes, length = facts.loops.where(~constant).withColumn("snippet", top_lines()), F.col("contains_external_calls"), F.col("contains_storage_writes"), F.col("iterates_over_length")
-    f = lambda on, kind, sev, conf: findings(l.where(on), "source-dos-vulnerabilities", kind, sev, conf, _at("Unbounded loop at line "), end_line="end_line")
-    return union([f(ext & (writes | length), "dos-external-call-loop-source", "High", "High"), f(writes & (ext | length), "dos-gas-limit-loop-source", "Medium", "Medium"), f(length & ~ext & ~writes, "dos-unbounded-loop-source", "Low", "Low")])
+    found = kinds(l, (ext & (writes | length), "dos-external-call-loop-source", "High", "High"), (writes & (ext | length), "dos-gas-limit-loop-source", "Medium", "Medium"), (length & ~ext & ~writes, "dos-unbounded-loop-source", "Low", "Low"))
+    return findings(found, "source-dos-vulnerabilities", F.col("k"), F.col("s"), F.col("c"), _at("Unbounded loop at line "), end_line="end_line")
 
 
 def ast_dos(facts: Facts) -> DataFrame:
     l = facts.loops.withColumn("snippet", top_lines())
-    f = lambda on, kind, sev: findings(l.where(on), "ast-dos-vulnerabilities", kind, sev, "High", F.concat(rules.pick(F.col("loop_type"), tuple(LOOP_NAMES), tuple(LOOP_NAMES.values())), _at(" loop at line ")), end_line="end_line")
+    found = kinds(l, (F.col("contains_external_calls"), "dos-external-call-loop-ast", "High", "High"), (F.col("contains_storage_writes"), "dos-gas-limit-loop-ast", "High", "High"), (F.col("iterates_over_length"), "dos-unbounded-loop-ast", "Medium", "High"))
     required = facts.unchecked_calls().where("call_type IN ('Call', 'DelegateCall', 'Send')").where(F.col("text").contains("require")).withColumn("snippet", F.col("text"))
-    return union([f(F.col("contains_external_calls"), "dos-external-call-loop-ast", "High"), f(F.col("contains_storage_writes"), "dos-gas-limit-loop-ast", "High"), f(F.col("iterates_over_length"), "dos-unbounded-loop-ast", "Medium"),
-                  findings(required, "ast-dos-vulnerabilities", "dos-require-external-call-ast", "Medium", "High", _at("Required call at line "))])
+    looped = findings(found, "ast-dos-vulnerabilities", F.col("k"), F.col("s"), F.col("c"), F.concat(rules.pick(F.col("loop_type"), tuple(LOOP_NAMES), tuple(LOOP_NAMES.values())), _at(" loop at line ")), end_line="end_line")
+    return looped.unionByName(findings(required, "ast-dos-vulnerabilities", "dos-require-external-call-ast", "Medium", "High", _at("Required call at line ")))
 
 
 def gas_limit(facts: Facts) -> DataFrame:

@@ -64,14 +64,15 @@ def pieces(sources: DataFrame) -> DataFrame:
     step: whether a block opens (1) or closes (-1); before, after: depths; of an opening piece, end and end_line: where its
     block closes, header: what opens it. contract and kind, c_pos and c_end: the block of the outermost level around it; m_pos
     and m_end: the block of the next one, which is a function or another member. All of these are running counts and last
-    values over one file's pieces, by one exchange. checked: whether the first pragma's arithmetic is.
+    values over one file's pieces; whole sources are dealt by file, once, before they are cut. checked: whether the first pragma's arithmetic is.
     """
     text = without_comments(F.coalesce("content", F.lit("")))
     text = F.regexp_replace(text, r"(?m)[{};](?=[^\"\n]*\"(?:[^\"\n]*\"[^\"\n]*\")*[^\"\n]*$)", " ")
     text = F.regexp_replace(text, r"\bfor\s*\(([^;{}]*);([^;{}]*);", "for ($1\x01$2\x01")  # the semicolons of a for don't end a piece,
     text = F.regexp_replace(F.regexp_replace(text, r"\{(\s*(?:value|gas|salt)\s*:[^{};]*)\}", "\x02$1\x03"), r"\(\{([^{};]*)\}\)", "(\x02$1\x03)")  # nor options and fields of a call
     checked = F.coalesce(rules.version(F.col("content")) >= F.struct(F.lit(0), F.lit(8), F.lit(0)), F.lit(False))
-    cut = sources.select("file", checked.alias("checked"), F.posexplode(F.split(text, r"(?<=[{};])")).alias("pos", "raw")).withColumn("raw", F.translate("raw", "\x01\x02\x03", ";{}"))
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: few bytes are much work here
+    cut = sources.repartition(n, "file").select("file", checked.alias("checked"), F.posexplode(F.split(text, r"(?<=[{};])")).alias("pos", "raw")).withColumn("raw", F.translate("raw", "\x01\x02\x03", ";{}"))
     order = Window.partitionBy("file").orderBy("pos")
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     end = F.substring(F.rtrim("raw"), -1, 1)
@@ -102,7 +103,7 @@ def contracts(parts: DataFrame) -> DataFrame:
 
 def members(parts: DataFrame) -> DataFrame:
     """A row for each function and modifier, with or without a body: (file, contract, checked, m_pos, header, line, end_line, base,
-    all): all has its pieces after the header, in order. Grouped within the exchange that pieces() made."""
+    all): all has its pieces after the header, in order. Grouped where pieces() put them."""
     bare = (F.col("before") == 1) & (F.col("step") == 0) & F.col("piece").rlike(r"^(function|modifier)\b")  # declared, not defined
     at = F.when(bare, F.col("pos")).otherwise(F.col("m_pos"))
     head = (F.col("pos") == at)
@@ -135,18 +136,18 @@ def functions(rows: DataFrame) -> DataFrame:
     outer, inner = F.col("g.outer"), F.col("g.inner")
     named = F.coalesce(F.nullif(F.regexp_extract(h, r"^function\s+([\w$]+)", 1), F.lit("")), F.nullif(F.regexp_extract(h, r"^(constructor|receive)", 1), F.lit("")), F.lit("fallback"))
     words = F.regexp_extract_all(F.array_join(F.slice(outer, F.lit(2), F.size(outer)), " ; "), F.lit(r"([A-Za-z_$][\w$.]*)"), F.lit(1))
-    pick = lambda choices, other: F.coalesce(F.get(F.filter(words, lambda x: x.isin(*choices)), F.lit(0)), F.lit(other))
+    pick = lambda choices, other: F.coalesce(F.get(F.filter("words", lambda x: x.isin(*choices)), F.lit(0)), F.lit(other))
     at = F.array_position(F.transform(outer, lambda x: x.rlike(r"\breturns\s*$")), F.lit(True))
     back = F.when(at > 0, F.get(inner, (at - 1).cast("int"))).otherwise("")
+    held = held.withColumns({"words": words, "gp": grouped(F.coalesce(F.get(inner, F.lit(0)), F.lit(""))), "gr": F.when(at > 0, grouped(back))})
     return held.select(
         "file", "contract", named.alias("func"), F.col("m_pos").alias("pos"), "end", "line", "end_line", pick(("public", "external", "internal", "private"), "internal").alias("visibility"), pick(("view", "pure", "payable"), "").alias("mutability"),
-        F.filter(words, lambda x: ~x.isin(*KEYWORDS)).alias("modifiers"), declared(F.coalesce(F.get(inner, F.lit(0)), F.lit(""))).alias("params"), declared(back).alias("returns"), "header", F.when(F.col("defined") == 1, _text(F.col("all"))).otherwise("").alias("body"), "checked", "base", "all",
+        F.filter("words", lambda x: ~x.isin(*KEYWORDS)).alias("modifiers"), declared(F.col("gp")).alias("params"), F.coalesce(declared(F.col("gr")), F.array().cast("array<struct<type_name: string, name: string>>")).alias("returns"), "header", F.when(F.col("defined") == 1, _text(F.col("all"))).otherwise("").alias("body"), "checked", "base", "all",
     )
 
 
-def declared(inside: Column) -> Column:
-    """Array of (type_name, name) of a list of parameters; commas within pairs don't divide them."""
-    g = grouped(inside)
+def declared(g: Column) -> Column:
+    """Array of (type_name, name) of a list of parameters as from grouped(); commas within pairs don't divide them."""
     flat = F.array_join(F.zip_with(F.transform(g["outer"], lambda x: F.replace(x, F.lit(","), F.lit("\x01"))), g["inner"], lambda o, i: F.concat(o, F.coalesce(F.concat(F.lit("("), i, F.lit(")")), F.lit("")))), "")
     name = lambda x: F.regexp_extract(x, r"[\s)]([\w$]+)\s*$", 1)
     one = lambda x: F.struct(F.regexp_extract(x, r"^\s*([\w$.]+(?:\([^()]*\))?(?:\[[^\]]*\])*|mapping\s*\(.*\))", 1).alias("type_name"), F.when(name(x).isin(*KEYWORDS), "").otherwise(name(x)).alias("name"))
@@ -233,18 +234,19 @@ def loops(funcs: DataFrame) -> DataFrame:
 
 class Facts:
     """All relations of sources (file, content): members() is worked out by one exchange, and the others are read off its rows.
-    keep: members, and the pieces outside of them, as tables of their own, for more than a detector or two."""
+    keep: members, functions and loops as tables of their own, for more than a detector or two."""
 
     def __init__(self, sources: DataFrame, keep: bool = False):
+        table = written if keep else lambda df, name: df
         self.sources = sources.select("file", "content")
         self.parts = pieces(self.sources)
         rows = members(self.parts)
         if keep:
-            self.parts, rows = written(self.parts.where("before <= 1"), "pieces"), written(rows, "members")
-        self.functions = functions(rows)
+            rows = written(rows, "members")
+        self.functions = table(functions(rows), "functions")
         self.statements = statements(self.functions)
         self.modifiers = modifiers(rows)
-        self.loops = loops(self.functions)
+        self.loops = table(loops(self.functions), "loops")
         self.calls = calls(self.statements)
         self.assignments = assignments(self.statements)
 

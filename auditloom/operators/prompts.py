@@ -89,9 +89,19 @@ def answered(prompts: DataFrame, ask: Callable[[str], str], *, text: str = "prom
     return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]))
 
 
-def json_of(text: Column) -> Column:
-    """The JSON in an answer: what a fence holds, else the first object by its braces (those in strings don't count), else the text."""
+def _object(depth: int) -> str:
+    """A pattern of an object by its braces, up to a depth; strings are passed over. Possessive, so that it never goes back."""
+    out = r"\{(?:[^{}\"]++|\"(?:[^\"\\]|\\.)*+\")*+\}"
+    for _ in range(depth - 1):
+        out = r"\{(?:[^{}\"]++|\"(?:[^\"\\]|\\.)*+\"|" + out + r")*+\}"
+    return out
+
+
+def json_of(text: Column, depth: int = 8) -> Column:
+    """The JSON in an answer: what a fence holds, else the first object by its braces (those in strings don't count), else the text.
+    Objects of up to `depth` levels are found by one pattern; only deeper or broken ones are gone through by character."""
     fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    found = F.regexp_extract(text, r"^(?s)[^{]*(" + _object(depth) + ")", 1)
     rest = F.substr(text, F.locate("{", text))
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(False).alias("skip"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
@@ -102,7 +112,7 @@ def json_of(text: Column) -> Column:
         return F.struct(depth.alias("depth"), F.when(quote, ~s["inside"]).otherwise(s["inside"]).alias("inside"), ((c == "\\") & s["inside"] & ~s["skip"]).alias("skip"), (s["at"] + 1).alias("at"), F.when(over, s["at"] + 1).otherwise(s["end"]).alias("end"))
 
     end = F.aggregate(F.split(rest, ""), start, step, lambda s: s["end"])
-    return F.when(fence != "", fence).when((F.locate("{", text) > 0) & (end > 0), F.substr(rest, F.lit(1), end)).otherwise(text)
+    return F.when(fence != "", fence).when(found != "", found).when((F.locate("{", text) > 0) & (end > 0), F.substr(rest, F.lit(1), end)).otherwise(text)
 
 
 def findings_of(answers: DataFrame, keep: list[str], answer: str = "answer", least: float = 0.0) -> DataFrame:

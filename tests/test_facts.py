@@ -125,7 +125,7 @@ def test_answers(spark):
     assert {(r.id, r.answer is None, r.error) for r in out.collect()} == {(1, False, None), (2, True, "OSError: busy")}
     assert [(r.id, r.title, r.severity) for r in prompts.findings_of(out, ["id"]).collect()] == [(1, "T", "High")]
     assert prompts.findings_of(out, ["id"], least=0.5).count() == 0
-    texts = [('no json', 'no json'), ('a {"x": "}\\"{"} b {', '{"x": "}\\"{"}'), ("```\n[1]\n```", "[1]"), ("{ open", "{ open")]
+    texts = [('x ' + '{"a": ' * 30 + '1' + '}' * 30 + ' }', '{"a": ' * 30 + '1' + '}' * 30), ('{"a": "open } {', '{"a": "open } {'), ('no json', 'no json'), ('a {"x": "}\\"{"} b {', '{"x": "}\\"{"}'), ("```\n[1]\n```", "[1]"), ("{ open", "{ open")]
     assert all(r.got == r.want for r in spark.createDataFrame(texts, "t string, want string").select("want", prompts.json_of(F.col("t")).alias("got")).collect())
 
 
