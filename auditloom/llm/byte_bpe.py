@@ -47,7 +47,7 @@ class Bpe:
     Needs every byte as a token, and merges whose parts rank below the whole (any trained BPE); raises if not.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_kept: int = 1 << 18):
+    def __init__(self, ranks: dict[bytes, int], most_kept: int = 1 << 19):
         self.ranks, self.most = ranks, most_kept
         self.bytes_of = bytes_of(tuple(ranks.items()))
         missing = [b for b in range(256) if bytes([b]) not in ranks]
