@@ -85,6 +85,7 @@ class Shard:
         t = np.full(len(ids) + len(texts), _GAP, np.int64)
         t[self.at] = ids + 2
         self.index = FMIndex(t)
+        self.points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80, dtype=np.uint32)])  # code points before each byte
 
     def find(self, block: Block) -> Iterator[tuple[int, int, int]]:
         """(text, first word, window) for each occurrence of the block's windows."""
@@ -110,8 +111,8 @@ class Shard:
 
     def span(self, text: int, first: int, last: int) -> tuple[int, int]:
         """Code points [start, end) of words first to last."""
-        a, b = (int(x[self.first[text] + w] - self.offset[text]) for x, w in ((self.starts, first), (self.ends, last)))
-        return len(self.texts[text][:a].decode()), len(self.texts[text][:b].decode())
+        at = int(self.points[self.offset[text]])
+        return int(self.points[self.starts[self.first[text] + first]]) - at, int(self.points[self.ends[self.first[text] + last]]) - at
 
 
 def _merged(occurrences: list[tuple[int, int]]) -> list[tuple[int, int]]:

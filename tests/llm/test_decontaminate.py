@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from auditloom.llm import decontaminate as D
 from auditloom.llm.decontaminate import contamination, decontaminated
 from auditloom.llm.fm_index import FMIndex
 
@@ -99,3 +100,15 @@ def test_a_million_different_words():
     index = FMIndex(np.concatenate([t, t[:5]]), sample=64)
     low_, high = index.search([t[:5], t[-3:], t[7:20]])
     assert (high - low_).tolist() == [2, 1, 1] and sorted(index.locate(np.arange(low_[0], high[0]))) == [0, len(t)]
+
+
+def test_many_spans_of_a_long_text_take_seconds():
+    """Code points are counted once, not from the text's beginning for each span."""
+    import time
+
+    text = ("é wörd " * 100_000).encode()
+    shard = D.Shard([b"x", text])
+    began = time.time()
+    spans = [shard.span(1, w, w + 1) for w in range(0, 199_000)]
+    assert time.time() - began < 5 and spans[1] == (2, 8) and spans[2] == (7, 13)
+    assert all(text.decode()[a:b] in ("é wörd", "wörd é") for a, b in spans[:50] + spans[-50:])
