@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
 
 def near_pairs(points: DataFrame, file: str, line: str, ord_: str, reach: int = 10) -> DataFrame:
     """(file, a, b, score) of points at less than `reach` lines from each other: 1 - distance / reach.
@@ -29,16 +30,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def semantic(rows: DataFrame, by: str, ord_: str, text: str, least: float = 0.3, weight: float = 0.7) -> DataFrame:
-    """(a, b, score) of rows of one `by` whose words have a Jaccard similarity of `least` or more: `weight` times it.
+    """(by, a, b, score) of rows of one `by` whose words have a Jaccard similarity of `least` or more: `weight` times it.
 
     An inverted index: rows meet under the words that they share, and the shared words are counted.
     """
     w = rows.select(F.col(by).alias("g"), F.col(ord_).alias("o"), words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
     each = w.select("g", "o", "n", F.explode("w").alias("word"))
     side = lambda o, n: each.select("g", "word", F.col("o").alias(o), F.col("n").alias(n))
-    shared = side("a", "na").join(side("b", "nb"), ["g", "word"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    shared = side("a", "na").join(side("b", "nb"), ["g", "word"]).where("a < b").groupBy("g", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return shared.where(j >= least).select("a", "b", F.round(weight * j, 6).alias("score"))
+    return shared.where(j >= least).select(F.col("g").alias(by), "a", "b", F.round(weight * j, 6).alias("score"))
 
 
 #: Kinds of findings that mean the same, by what they are called.
@@ -92,6 +93,88 @@ def grouped(scores: DataFrame, ords: DataFrame, by: str, ord_: str, threshold: f
     return out.select(F.col("g").alias(by), F.col("o").alias(ord_), F.col("grp").alias("group"), "score")
 
 
+#: The strategies in their order: of equal scores the first one's counts.
+STRATEGIES = ("location", "pattern", "semantic")
+
+
+def candidates(rows: DataFrame, by: str, ord_: str, line: str, text: str, threshold: float = 0.5) -> DataFrame:
+    """(by, a, b, score, strategy): pairs of one `by` that nearness or shared words bring to the threshold, each with its best
+    score and that strategy's name. Buckets and an inverted index find them: no pair is formed to be thrown away later but
+    those that share one."""
+    near = near_pairs(rows, by, line, ord_).withColumnRenamed("file", by).where(F.col("score") >= threshold).withColumn("strategy", F.lit("location"))
+    said = semantic(rows, by, ord_, text).where(F.col("score") >= threshold).withColumn("strategy", F.lit("semantic"))
+    both = near.unionByName(said.select(near.columns))
+    rank = F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy"))
+    return both.groupBy(by, "a", "b").agg(F.max("score").alias("score"), F.max_by("strategy", F.struct("score", -rank)).alias("strategy"))
+
+
+def alike(rows: DataFrame, kind: str, threshold: float = 0.5) -> DataFrame:
+    """(kind, alike): for each kind of rows the kinds (itself first) whose names have a likeness of the threshold or more, as structs
+    (other, score). Kinds meet under the names they expand to; a row a kind."""
+    k = rows.select(F.col(kind).alias("kind")).where("kind is not null").distinct()
+    each = k.select("kind", F.explode(expanded(F.col("kind"))).alias("name"))
+    met = each.join(each.select(F.col("kind").alias("other"), "name"), "name").select("kind", "other").distinct()
+    scored = met.withColumn("score", pattern_score(F.col("kind"), F.col("other"))).where(F.col("score") >= threshold)
+    return scored.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("other", "score"))).alias("alike"))
+
+
+def _assign(frame, threshold: float):
+    """Findings in order, each into the group of the greatest score with it. Groups of a kind are known by the kind, so that
+    findings of one kind need no pairs. Of equal scores the lowest group, of equal strategies the first."""
+    group: dict[int, int] = {}
+    of_kind: dict[str, set[int]] = {}
+    for o, kind, others, pairs in zip(frame["o"], frame["kind"], frame["alike"], frame["pairs"], strict=True):
+        scores: dict[int, tuple[float, int]] = {}  # of each group: score, and minus the strategy's place
+
+        def offer(g: int, score: float, strategy: str) -> None:
+            scores[g] = max(scores.get(g, (0.0, -9)), (score, -STRATEGIES.index(strategy)))  # noqa: B023
+
+        for x in pairs if pairs is not None else ():
+            offer(group[x["p"]], x["score"], x["strategy"])
+        for x in others if others is not None else ():
+            for g in of_kind.get(x["other"], ()):
+                offer(g, x["score"], "pattern")
+        best = max(((s, -g, k) for g, (s, k) in scores.items() if s >= threshold), default=None)
+        at = o if best is None else -best[1]
+        group[o] = at
+        if kind is not None:
+            of_kind.setdefault(kind, set()).add(at)
+        yield o, at, 0.0 if best is None else best[0], None if best is None else STRATEGIES[-best[2]]
+
+
+def grouped_by_all(rows: DataFrame, by: str, ord_: str, line: str, kind: str, text: str, threshold: float = 0.5) -> DataFrame:
+    """(by, ord, group, score, strategy): findings of each `by` joined greedily, in their order, to the group with the greatest
+    score by any strategy (nearness, likeness of kinds, shared words); a group is named by its first finding.
+
+    What reaches a group is the best score with any member. Only findings of one connected component of the candidates meet
+    in the step that goes through them in order, and a finding without candidates is in none. Findings of like kinds are
+    connected through the first one of each kind, not pair by pair. Null kinds, lines and texts match nothing.
+    """
+    pairs = candidates(rows.where(F.col(line).isNotNull() | F.col(text).isNotNull()), by, ord_, line, text, threshold)
+    like = alike(rows, kind, threshold)
+    base = rows.select(F.col(by).alias("g"), F.col(ord_).cast("long").alias("o"), F.col(kind).alias("kind")).join(like, "kind", "left")
+    first = base.where("kind is not null").groupBy("g", "kind").agg(F.min("o").alias("first"))
+    kinds = base.select("g", "o", F.explode("alike").alias("x")).select("g", "o", F.col("x.other").alias("kind")).join(first, ["g", "kind"]).select("g", F.col("o").alias("a"), F.col("first").alias("b"))
+    linked = graph.components(pairs.select(F.col(by).alias("g"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).unionByName(kinds), ["g"])
+    own = pairs.groupBy(F.col(by).alias("g"), F.col("b").cast("long").alias("o")).agg(F.collect_list(F.struct(F.col("a").cast("long").alias("p"), F.col("score").cast("double").alias("score"), "strategy")).alias("pairs"))
+    held = base.join(linked.withColumnRenamed("node", "o"), ["g", "o"], "left").join(own, ["g", "o"], "left")
+
+    def run(key, frame):
+        import pandas as pd
+
+        return pd.DataFrame([(key[0], *r) for r in _assign(frame.sort_values("o"), threshold)], columns=["g", "o", "grp", "score", "strategy"])
+
+    type_ = base.schema["g"].dataType.simpleString()
+    out = held.where("component is not null").groupBy("g", "component").applyInPandas(run, f"g {type_}, o long, grp long, score double, strategy string")
+    alone = held.where("component is null").select("g", "o", F.col("o").alias("grp"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("strategy"))
+    return out.unionByName(alone).select(F.col("g").alias(by), F.col("o").alias(ord_), F.col("grp").alias("group"), "score", "strategy")
+
+
+def by_strategy(groups: DataFrame) -> DataFrame:
+    """(strategy, findings, groups, mean): how many findings each strategy brought into how many groups, and their mean score."""
+    return groups.where("strategy is not null").groupBy("strategy").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("group").alias("groups"), F.round(F.avg("score"), 6).alias("mean"))
+
+
 def statistics(groups: DataFrame, tier: str) -> DataFrame:
     """One row on groups (group, tier): findings, those with company, groups, their mean size, groups of both tiers."""
     g = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(tier).alias("tiers"))

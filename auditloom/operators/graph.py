@@ -80,3 +80,24 @@ def paths(edges: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
         now = now.join(edges, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
         every = every.unionByName(now)
     return every
+
+
+def components(edges: DataFrame, by: list[str], step=lambda df: written(df, "components")) -> DataFrame:
+    """(by, node, component) for each node of the edges (by, a, b) that has one to another; component is its least reachable node.
+
+    Two kinds of rounds take turns: larger neighbours go over to a node's least neighbour, then smaller ones. Both are a
+    grouped minimum and a join; their number is about the logarithm of the longest path.
+    """
+    now = step(edges.where("a <> b").select(*by, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = now.unionByName(now.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = step(both.join(least, [*by, "u"]).where("v > u").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
+        small = large.join(low, [*by, "u"]).where("v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
+        new = step(small.unionByName(low.select(*by, "u", F.col("m").alias("v"))).distinct())
+        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
+            break
+        now = new
+    leaf = now.select(*by, F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaf.unionByName(leaf.select(*by, F.col("component").alias("node"), "component").distinct())

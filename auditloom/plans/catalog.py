@@ -101,7 +101,7 @@ s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) A
 def td_semantic_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Parts of one brand and size as the findings of one file, their names as descriptions."""
     p = B.table(spark, d, "part").select("p_partkey", F.concat("p_brand", "p_size").alias("g"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return correlate.semantic(p, "g", "p_partkey", "text")
+    return correlate.semantic(p, "g", "p_partkey", "text").drop("g")
 
 
 @query("""WITH g AS (SELECT l_orderkey, count(*) AS n, avg(l_discount * 10) AS m FROM lineitem GROUP BY 1) SELECT l_orderkey, n, round(m, 6) AS mean, round(least(m * ln(n) / 10, 0.3), 6) AS boost, least(m * ln(n) / 10, 0.3) > 0.2 AS raised FROM g""")
@@ -431,6 +431,36 @@ def td_greedy_groups(spark: SparkSession, d: str) -> DataFrame:
     return correlate.grouped(scores, e, "user_id", "event_id")
 
 
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as findings: one brand is a file, a price a line, a type a kind, the name what is said."""
+    k = F.col("p_partkey")
+    return B.table(spark, d, "part").select("p_partkey", "p_brand", F.pmod(k * 7, F.lit(5000)).alias("line"), F.when(k % 3 == 0, B.chosen(_KINDS, k)).alias("kind"), F.concat_ws(" ", "p_name", "p_type").alias("said"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_brand, p_partkey * 7 % 5000 AS line, p_name || ' ' || p_type AS text FROM part), w AS (SELECT *, {_WORDS} AS w FROM t),
+p AS (SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, 1 - abs(a.line - b.line) / 10.0 AS near, round(0.7 * len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS said FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
+SELECT p_brand, a, b, CAST(round(greatest(near, said), 6) AS DOUBLE) AS score, CASE WHEN near >= said THEN 'location' ELSE 'semantic' END AS strategy FROM p WHERE near >= 0.5 OR said >= 0.5""")
+def td_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.candidates(_described(spark, d), "p_brand", "p_partkey", "line", "said").withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT {B.sql_chosen(_KINDS, 'p_partkey')} AS t FROM part WHERE p_partkey % 3 = 0), e AS (SELECT a.t AS kind, b.t AS other, {_expand_sql('lower(a.t)')} AS x, {_expand_sql('lower(b.t)')} AS y FROM k a, k b),
+s AS (SELECT kind, other, CASE WHEN kind = other THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END AS score FROM e) SELECT kind, string_agg(other || ':' || CAST(round(score, 4) AS DECIMAL(6, 4)), ',' ORDER BY other) AS alike FROM s WHERE score >= 0.5 GROUP BY 1""")
+def td_kinds_alike(spark: SparkSession, d: str) -> DataFrame:
+    a = correlate.alike(_described(spark, d), "kind")
+    return a.select("kind", F.array_join(F.transform("alike", lambda x: F.concat(x["other"], F.lit(":"), F.round(x["score"], 4).cast("decimal(6,4)").cast("string"))), ",").alias("alike"))
+
+
+def td_strategy_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of each file in groups by the best of three strategies."""
+    return correlate.grouped_by_all(_described(spark, d), "p_brand", "p_partkey", "line", "kind", "said")
+
+
+def td_strategy_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.by_strategy(td_strategy_groups(spark, d))
+
+
+QUERIES["td_strategy_groups"], QUERIES["td_strategy_statistics"] = td_strategy_groups, td_strategy_statistics  # one finding after another: the tests hold them against a loop
 QUERIES["td_greedy_groups"] = td_greedy_groups  # one finding after another: the tests hold it against a loop
 
 

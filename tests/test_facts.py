@@ -179,3 +179,61 @@ def test_one_scan_and_one_exchange(spark):
             assert len(re.findall(r"Scan ExistingRDD", plan)) == 1 and len(re.findall(r"\bExchange ", plan)) == 1, x
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_groups_by_the_best_of_three_strategies(spark):
+    """Against the plain loop over findings, groups, members and strategies."""
+    r = random.Random(9)
+    vocabulary = ["reenter", "balance", "unchecked", "transfer", "missing", "modifier", "overflow", "timestamp"]
+    kinds = ["reentrancy", "recursive_call", "owner-change", "permission-x", "other", "odd", None]
+    rows = [(f, i, r.choice([None, *range(0, 900, 3)]), r.choice(kinds) if r.random() < 0.5 else None, " ".join(r.sample(vocabulary, r.randrange(0, 5))) or None) for f in "abc" for i in range(60)]
+    rows += [("d", i, None, None, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "f string, o long, line long, kind string, said string")
+    expand = {k: set(spark.range(1).select(correlate.expanded(F.lit(k)).alias("x")).first().x) for k in kinds if k}
+
+    def location(a, b):
+        return 1 - abs(a[2] - b[2]) / 10 if a[2] is not None and b[2] is not None and abs(a[2] - b[2]) < 10 else 0.0
+
+    def pattern(a, b):
+        if a[3] is None or b[3] is None:
+            return 0.0
+        return 1.0 if a[3] == b[3] else len(expand[a[3]] & expand[b[3]]) / len(expand[a[3]] | expand[b[3]])
+
+    def semantic(a, b):
+        x, y = (set((t[4] or "").split()) for t in (a, b))
+        j = len(x & y) / len(x | y) if x | y else 0.0
+        return round(0.7 * j, 6) if j >= 0.3 else 0.0
+
+    want = {}
+    for f in "abcd":
+        groups = []
+        for a in (x for x in rows if x[0] == f):
+            best, at, how = 0.0, None, None
+            for g in groups:
+                score, name = 0.0, None
+                for s, strategy in ((location, "location"), (pattern, "pattern"), (semantic, "semantic")):
+                    if (v := max(s(a, b) for b in g)) > score:
+                        score, name = v, strategy
+                if score > best and score >= 0.5:
+                    best, at, how = score, g, name
+            if at is None:
+                groups.append(at := [])
+            at.append(a)
+            want[f, a[1]] = (at[0][1], round(best, 6), how)
+    got = {(x.f, x.o): (x.group, round(x.score, 6), x.strategy) for x in correlate.grouped_by_all(df, "f", "o", "line", "kind", "said").collect()}
+    assert got == want
+    assert {h for *_, h in want.values()} == {None, "location", "pattern", "semantic"}
+    summed = {x.strategy: x.findings for x in correlate.by_strategy(correlate.grouped_by_all(df, "f", "o", "line", "kind", "said")).collect()}
+    assert summed == {h: sum(x[2] == h for x in want.values()) for h in ("location", "pattern", "semantic")}
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [("x", i, i + 1) for i in range(200)] + [("y", r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [("y", 1, 1)]
+    got = {(x.g, x.node): x.component for x in graph.components(spark.createDataFrame(edges, "g string, a long, b long"), ["g"]).collect()}
+    top = {(g, n): n for g, a, b in edges if a != b for n in (a, b)}
+    for _ in range(300):
+        for g, a, b in edges:
+            if a != b:
+                top[g, a] = top[g, b] = min(top[g, a], top[g, b])
+    assert got == top
