@@ -65,13 +65,14 @@ def row_hash(df: DataFrame, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *(F.col(f"`{f.name}`") if plain(f.dataType.simpleString()) else F.col(f"`{f.name}`").cast("string") for f in df.schema.fields))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 40, tidy: bool = False) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges: (a, b) of any one ordered type, in either direction, repeats and loops allowed. Returns (node, component)
     for each node that has an edge to another; component is its smallest reachable node. Each round is two grouped
     minima and two joins, so a hub's edges are pre-aggregated or split by the skew-join rule and never gathered; the
-    edges of each round are written to the shared folder. Raises if max_rounds doesn't settle it.
+    edges of each round are written to the shared folder, and with tidy, deleted when the next round's are; the last ones are
+    the result's, as `edges`. Raises if max_rounds doesn't settle it.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -84,11 +85,15 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if tidy:
+            discard(before)
         if (new := mark(now)) == was:
             break
         was = new
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds; give more by max_rounds")
     leaf = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaf.unionByName(leaf.select(F.col("component").alias("node"), "component").distinct())
+    out = leaf.unionByName(leaf.select(F.col("component").alias("node"), "component").distinct())
+    out.edges = now
+    return out
