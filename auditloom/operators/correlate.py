@@ -182,14 +182,15 @@ def statistics(groups: DataFrame, tier: str) -> DataFrame:
     return out.withColumn("mean_size", F.when(F.col("groups") > 0, F.round(F.col("findings") / F.col("groups"), 6)).otherwise(F.lit(0.0)))
 
 
-def overlaps(evidence: DataFrame) -> DataFrame:
-    """(a, b, overlap, confirms): of evidence (finding, kind, content, relevance), the mean over pairs of one kind of likeness (1
-    equal, a half contained) times both relevances; over 0.7 confirms."""
-    side = lambda o, c, r: evidence.select(F.col("finding").alias(o), "kind", F.col("content").alias(c), F.col("relevance").alias(r))
-    pairs = side("a", "x", "rx").join(side("b", "y", "ry"), "kind").where("a < b")
+def overlaps(evidence: DataFrame, by: str) -> DataFrame:
+    """(by, a, b, overlap, confirms): of evidence (by, finding, kind, content, relevance), for findings of one `by` (a file, a
+    group), the mean over pairs of one kind of likeness (1 equal, a half contained) times both relevances; over 0.7 confirms.
+    Kinds are few, so only what bounds a group keeps pairs few: `by` is part of the join."""
+    side = lambda o, c, r: evidence.select(by, F.col("finding").alias(o), "kind", F.col("content").alias(c), F.col("relevance").alias(r))
+    pairs = side("a", "x", "rx").join(side("b", "y", "ry"), [by, "kind"]).where("a < b")
     like = F.when(F.col("x") == F.col("y"), 1.0).when(F.contains("x", F.col("y")) | F.contains("y", F.col("x")), 0.5).otherwise(0.0)
-    out = pairs.groupBy("a", "b").agg(F.avg(like * F.col("rx") * F.col("ry")).alias("overlap"))
-    return out.select("a", "b", F.round("overlap", 6).alias("overlap"), (F.col("overlap") > 0.7).alias("confirms"))
+    out = pairs.groupBy(by, "a", "b").agg(F.avg(like * F.col("rx") * F.col("ry")).alias("overlap"))
+    return out.select(by, "a", "b", F.round("overlap", 6).alias("overlap"), (F.col("overlap") > 0.7).alias("confirms"))
 
 
 def report(stats: DataFrame) -> DataFrame:

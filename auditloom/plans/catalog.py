@@ -476,12 +476,12 @@ def td_correlation_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT o_orderkey AS finding, o_custkey AS c, o_orderstatus AS kind, split_part(o_orderpriority, '-', 1) || CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '' END AS content, 0.8 + (o_orderkey % 3) * 0.1 AS relevance FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 2 = 1)
-SELECT a.finding AS a, b.finding AS b, round(avg(CASE WHEN a.content = b.content THEN 1.0 WHEN contains(a.content, b.content) OR contains(b.content, a.content) THEN 0.5 ELSE 0 END * a.relevance * b.relevance), 6) AS overlap, avg(CASE WHEN a.content = b.content THEN 1.0 WHEN contains(a.content, b.content) OR contains(b.content, a.content) THEN 0.5 ELSE 0 END * a.relevance * b.relevance) > 0.7 AS confirms FROM e a JOIN e b ON a.c || a.kind = b.c || b.kind AND a.finding < b.finding GROUP BY 1, 2""")
+SELECT a.c AS o_custkey, a.finding AS a, b.finding AS b, round(avg(CASE WHEN a.content = b.content THEN 1.0 WHEN contains(a.content, b.content) OR contains(b.content, a.content) THEN 0.5 ELSE 0 END * a.relevance * b.relevance), 6) AS overlap, avg(CASE WHEN a.content = b.content THEN 1.0 WHEN contains(a.content, b.content) OR contains(b.content, a.content) THEN 0.5 ELSE 0 END * a.relevance * b.relevance) > 0.7 AS confirms FROM e a JOIN e b ON a.c = b.c AND a.kind = b.kind AND a.finding < b.finding GROUP BY 1, 2, 3""")
 def td_evidence_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as findings, evidence of one customer and status as of one kind."""
+    """Orders as findings, a customer's in one group, statuses as kinds of evidence."""
     o, k = B.table(spark, d, "orders"), F.col("o_orderkey")
     content = F.concat(F.substring_index("o_orderpriority", "-", 1), F.when(k % 3 == 0, F.lit("x")).otherwise(F.lit("")))
-    return correlate.overlaps(o.select(k.alias("finding"), F.concat("o_custkey", "o_orderstatus").alias("kind"), content.alias("content"), (0.8 + (k % 3) * 0.1).alias("relevance")))
+    return correlate.overlaps(o.select("o_custkey", k.alias("finding"), F.col("o_orderstatus").alias("kind"), content.alias("content"), (0.8 + (k % 3) * 0.1).alias("relevance")), "o_custkey")
 
 
 _MARK = f"""CASE WHEN contains(t, '.call{{') OR contains(t, '.call(') THEN '{prompts.CALL}' WHEN starts_with(t, 'balances[') OR contains(t, ' balances[') THEN CASE WHEN contains(t, '=') AND NOT contains(t, '==') AND NOT contains(t, '>=') AND NOT contains(t, '<=') THEN '{prompts.WRITE}' ELSE '' END WHEN contains(t, 'storage') OR contains(t, 'mapping') THEN CASE WHEN contains(t, '=') AND NOT contains(t, '==') THEN '{prompts.WRITE}' ELSE '' END WHEN starts_with(t, 'require(') OR starts_with(t, 'assert(') THEN '{prompts.CHECK}' WHEN contains(t, 'unchecked {{') THEN '{prompts.UNCHECKED}' ELSE '' END"""

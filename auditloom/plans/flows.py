@@ -172,3 +172,23 @@ UNION ALL SELECT z.contract, z.func, 'loop-reentrancy', z.at, CAST(y.b AS VARCHA
 def td_flow_reentrancy(spark: SparkSession, d: str) -> DataFrame:
     """All kinds of reentrancy of functions that no guard protects."""
     return reentrancy.reentrancy(instr(spark, d), I.functions(spark, d), edges(spark, d), successors(spark, d))
+
+
+LOOPS = """g AS (SELECT func, block AS src, unnest(nx) AS dst FROM s), lp(func, header, b) AS (SELECT func, dst, src FROM g WHERE dst <= src UNION SELECT lp.func, header, src FROM lp JOIN g ON g.func = lp.func AND g.dst = lp.b WHERE lp.b <> header),
+body AS (SELECT * FROM lp UNION SELECT func, header, header FROM lp), ex AS (SELECT DISTINCT body.func, header, dst FROM body JOIN g ON g.func = body.func AND g.src = b WHERE NOT EXISTS (SELECT 1 FROM body o WHERE o.func = g.func AND o.header = body.header AND o.b = dst)),
+near(func, header, b, k) AS (SELECT func, header, dst, 0 FROM ex UNION SELECT near.func, header, dst, k + 1 FROM near JOIN g ON g.func = near.func AND g.src = near.b WHERE k < 10)"""
+
+
+@query(f"""WITH RECURSIVE {SQL}, {FLOW}, {LOOPS} SELECT c.contract, c.func, c.header, calls, writes FROM (SELECT i.contract, i.func, header, string_agg(pos, ',' ORDER BY pos) AS calls FROM body JOIN i ON i.func = body.func AND i.block = body.b WHERE ext OR op = 'DelegateCall' GROUP BY ALL) c
+JOIN (SELECT func, header, string_agg(x, ',' ORDER BY x) AS writes FROM (SELECT DISTINCT near.func, header, near.b AS x FROM near JOIN i ON i.func = near.func AND i.block = near.b WHERE w) GROUP BY ALL) y ON y.func = c.func AND y.header = c.header""")
+def td_flow_loop_reentrancy(spark: SparkSession, d: str) -> DataFrame:
+    """Loops with calls outside, and the blocks after them that write state."""
+    blocks = successors(spark, d).select("contract", "func", F.col("block").alias("src"), F.explode("next").alias("dst"))
+    found = reentrancy.in_loops(instr(spark, d), blocks)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("calls", "writes")})
+
+
+@query(f"WITH {SQL} SELECT contract, func, pos, slot, operand FROM (SELECT contract, func, pos, 0 AS slot, a AS operand FROM i UNION ALL SELECT contract, func, pos, 1, b FROM i)")
+def td_flow_uses(spark: SparkSession, d: str) -> DataFrame:
+    """Every operand of every instruction."""
+    return defuse.uses(instr(spark, d)).select("contract", "func", "pos", "slot", "operand")
