@@ -52,3 +52,24 @@ def markdown(findings: DataFrame) -> DataFrame:
     """A line of a report for each finding; titles of more than 60 characters are cut."""
     short = F.when(F.length("title") > 60, F.concat(F.substring("title", 1, 57), F.lit("..."))).otherwise(F.col("title"))
     return findings.withColumn("markdown", F.format_string("- **%s** (%s) %s at %s:%d", "severity", "confidence", short, "file", "line"))
+
+
+def rolled_up(found: DataFrame, *by: str, score: str = "score", places: int = 3) -> DataFrame:
+    """(dimension, value, findings, mean, highest, first): findings by each of the columns and over all (dimension `all`), in one
+    aggregate by grouping sets: how many, their mean score, the highest severity, and the first places (`file:line`) of each."""
+    rank = F.array_position(F.array(*map(F.lit, rules.SEVERITIES)), F.col("severity"))
+    place = F.concat_ws(":", "file", F.col("line").cast("string"))
+    sets = found.withColumns({"_rank": rank, "_place": place, **{f"_{c}": F.col(c) for c in by}}).groupingSets([[f"_{c}"] for c in by] + [[]], *(f"_{c}" for c in by))
+    bits = lambda i: F.grouping(f"_{by[i]}") == 0
+    dimension, value = F.lit("all"), F.lit("")
+    for i, c in enumerate(by):
+        dimension, value = F.when(bits(i), c).otherwise(dimension), F.when(bits(i), F.col(f"_{c}").cast("string")).otherwise(value)
+    out = sets.agg(dimension.alias("dimension"), value.alias("value"), F.count(F.lit(1)).alias("findings"), F.round(F.avg(score), 6).alias("mean"), F.max("_rank").alias("r"), F.slice(F.array_sort(F.collect_set("_place")), 1, places).alias("first"))
+    return out.select("dimension", "value", "findings", "mean", F.get(F.array(*map(F.lit, rules.SEVERITIES)), (F.col("r") - 1).cast("int")).alias("highest"), "first")
+
+
+def cross_checked(found: DataFrame, group: str, tier: str) -> DataFrame:
+    """(group, detector, model, agree): for each group of findings the pairs of a detector and a model (tier true) that both report
+    in it, and whether they give it one severity. A detector is one side once a group and severity, so that pairs stay few."""
+    side = lambda on, name, level: found.where(on).groupBy(group, F.col("scanner_id").alias(name)).agg(F.max(F.array_position(F.array(*map(F.lit, rules.SEVERITIES)), F.col("severity"))).alias(level))
+    return side(~F.col(tier), "detector", "x").join(side(F.col(tier), "model", "y"), group).select(group, "detector", "model", (F.col("x") == F.col("y")).alias("agree"))

@@ -147,9 +147,33 @@ def hooks(instr: DataFrame) -> DataFrame:
     return hit.select(*BY, "pos", "name", "hook", F.coalesce(F.col("last_write") > F.col("pos"), F.lit(False)).alias("writes_after"))
 
 
+def placed(instr: DataFrame) -> DataFrame:
+    """instr with place: its number over the whole contract, functions in the order of their names. Two levels of counts: a function's
+    offset is what the functions before it have, so that no window goes over a contract's instructions."""
+    sizes = instr.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"))
+    offset = sizes.select(*BY, F.coalesce(F.sum("n").over(Window.partitionBy("contract").orderBy("func").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy(*BY).orderBy("pos")) - 1
+    return instr.withColumn("own", own).join(offset, BY).withColumn("place", (F.col("offset") + F.col("own")).cast("long")).drop("own", "offset")
+
+
+def ordering(instr: DataFrame) -> DataFrame:
+    """(contract, func, call, place, last_check, last_write, next_write, gap, verdict) of each call that leaves the contract: its
+    place over the contract, the nearest check and write before it, the nearest write after it and how far that is.
+
+    verdict: write-after-call, or effects-first if all writes come before, or no-writes. Going back over a function, the
+    nearest later write is the last one seen; no frame looks ahead over the rest.
+    """
+    order = Window.partitionBy(*BY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*BY).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    write, check = F.when(is_write(F.col("op")), F.col("pos")), F.when(F.col("op") == "Require", F.col("pos"))
+    seen = placed(instr).withColumns({"last_check": F.last(check, ignorenulls=True).over(order), "last_write": F.last(write, ignorenulls=True).over(order), "next_write": F.last(write, ignorenulls=True).over(back)})
+    outside = is_call(F.col("op")) & (~F.col("target").eqNullSafe("Internal") if "target" in instr.columns else F.lit(True))
+    verdict = F.when(F.col("next_write").isNotNull(), "write-after-call").when(F.col("last_write").isNotNull(), "effects-first").otherwise("no-writes")
+    return seen.where(outside).select(*BY, F.col("pos").alias("call"), "place", "last_check", "last_write", "next_write", (F.col("next_write") - F.col("pos")).alias("gap"), verdict.alias("verdict"))
+
+
 def as_text(instr: DataFrame) -> DataFrame:
     """(contract, func, text): each function's instructions with their places; a place is the number over the whole contract."""
-    place = F.row_number().over(Window.partitionBy("contract").orderBy("func", "pos")) - 1
     line = F.concat(F.lit("["), F.col("place"), F.lit("] "), F.concat_ws(" ", "op", "key", "name"))
-    rows = instr.withColumn("place", place).groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("all"))
+    rows = placed(instr).groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("all"))
     return rows.select(*BY, F.concat(F.lit("function "), F.col("func"), F.lit(":\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("text"))

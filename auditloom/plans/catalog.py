@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import correlate, detectors, findings, graph, ir, prompts, render, sequence, source_text
 from ..operators.facts import Facts
+from ..sources import tree
+from ..sources.tables import shared_folder
 from . import bindings as B
 from . import contracts as C
 from . import flows
@@ -522,5 +526,29 @@ def td_scan_composite(spark: SparkSession, d: str) -> DataFrame:
     return scan.composite(parts).select("file", "function", "line", "severity", F.size("scanners").cast("long").alias("scanners"))
 
 
+@query(f"""WITH {B.FINDINGS_SQL}, k AS (SELECT *, {B.CATEGORY_SQL} AS category, {RANK} AS r, file || ':' || line AS place FROM findings)
+SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' WHEN grouping(file) = 0 THEN 'file' ELSE 'all' END AS dimension, coalesce(CASE WHEN grouping(severity) = 0 THEN severity WHEN grouping(category) = 0 THEN category WHEN grouping(file) = 0 THEN file END, '') AS value, count(*) AS findings, round(avg(score), 6) AS mean,
+['Informational', 'Low', 'Medium', 'High', 'Critical'][max(r) + 1] AS highest, array_to_string(list_sort(list(DISTINCT place))[:3], ',') AS first FROM k GROUP BY GROUPING SETS ((severity), (category), (file), ())""")
+def td_analysis_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """What an analysis reports by severity, category and file, and over all."""
+    f = B.findings(spark, d).withColumn("category", rules.category(F.col("scanner_id")))
+    return findings.rolled_up(f, "severity", "category", "file").withColumn("first", F.array_join("first", ","))
+
+
+@query(f"""WITH {B.FINDINGS_SQL}, t AS (SELECT file, scanner_id, function IN ('isOpen', 'draw') AS model, max({RANK}) AS r FROM findings GROUP BY ALL) SELECT a.file, a.scanner_id AS detector, b.scanner_id AS model, a.r = b.r AS agree FROM t a JOIN t b USING (file) WHERE NOT a.model AND b.model""")
+def td_cross_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Detectors and models that report in one file (findings of two functions stand for a model's)."""
+    return findings.cross_checked(B.findings(spark, d).withColumn("tier", F.col("function").isin("isOpen", "draw")), "file", "tier")
+
+
+@query("""SELECT s_nationkey || '/' || s_suppkey || '.txt' AS path, 'written' AS status, CAST(octet_length(encode(s_name || chr(10) || s_suppkey)) AS BIGINT) AS bytes, md5(s_name || chr(10) || s_suppkey) AS digest FROM supplier""")
+def td_emit_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as files in folders by nation, written by the tree writer and read back."""
+    s = B.table(spark, d, "supplier").select(F.concat_ws("/", F.col("s_nationkey").cast("string"), F.concat("s_suppkey", F.lit(".txt"))).alias("path"), F.concat_ws("\n", "s_name", F.col("s_suppkey").cast("string")).alias("content"))
+    folder = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    manifest = tree.emit(s, folder)
+    return tree.read_back(manifest, folder).join(manifest, "path").select("path", "status", "bytes", F.md5("content").alias("digest"))
+
+
 QUERIES |= instructions.QUERIES | flows.QUERIES
 ORACLE_SQL |= instructions.ORACLE_SQL | flows.ORACLE_SQL

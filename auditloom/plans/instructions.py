@@ -112,6 +112,13 @@ def td_ir_text(spark: SparkSession, d: str) -> DataFrame:
     return ir.as_text(instr(spark, d)).withColumn("text", F.md5("text"))
 
 
+@query(f"""WITH {SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY func, pos) - 1 AS place FROM instr),
+z AS (SELECT contract, func, pos AS call, place, (SELECT max(pos) FROM instr i WHERE i.func = n.func AND i.op = 'Require' AND i.pos < n.pos) AS last_check, (SELECT max(pos) FROM instr i WHERE i.func = n.func AND i.w AND i.pos < n.pos) AS last_write, (SELECT min(pos) FROM instr i WHERE i.func = n.func AND i.w AND i.pos > n.pos) AS next_write FROM n WHERE c)
+SELECT *, next_write - call AS gap, CASE WHEN next_write IS NOT NULL THEN 'write-after-call' WHEN last_write IS NOT NULL THEN 'effects-first' ELSE 'no-writes' END AS verdict FROM z""")
+def td_ir_ordering(spark: SparkSession, d: str) -> DataFrame:
+    return ir.ordering(instr(spark, d))
+
+
 @query("""WITH RECURSIVE w AS (SELECT l_orderkey AS func, 1 AS value FROM lineitem WHERE l_linenumber = 1 UNION SELECT func, l_linenumber + 1 FROM w JOIN lineitem ON l_orderkey = func AND l_linenumber = value WHERE l_returnflag <> 'R') SELECT func, count(*) AS n FROM w GROUP BY 1""")
 def td_ir_taint(spark: SparkSession, d: str) -> DataFrame:
     """Values that the first one of an order reaches through its lines that aren't returned."""

@@ -119,3 +119,10 @@ def test_all_kinds_and_the_guard(spark):
     s = spark.createDataFrame([("C", x, b, n) for x in "fg" for b, n in [(0, [0, 1]), (1, [2]), (2, [])]], "contract string, func string, block long, next array<long>")
     got = sorted(tuple(r)[1:] for r in reentrancy.reentrancy(i, fn, e, s).collect())
     assert got == [("f", "conditional-reentrancy", 0, "1"), ("f", "conditional-reentrancy", 0, "2"), ("f", "cross-function-reentrancy", 0, "g"), ("f", "loop-reentrancy", 0, "1"), ("f", "reentrancy", 0, "1"), ("f", "reentrancy", 0, "2"), ("f", "reentrancy-pattern", 0, "1")]
+
+
+def test_ordering(spark):
+    call, store, check = ("Call", {"target": "External"}), ("StorageStore", {}), ("Require", {})
+    i = instr(spark, [("g", 0, *store), ("f", 0, *check), ("f", 0, *call), ("f", 0, *store), ("f", 1, *store), ("f", 1, *call), ("h", 0, *call), ("h", 0, "Call", {"target": "Internal"})])
+    got = sorted((r.func, r.call, r.place, r.last_check, r.last_write, r.next_write, r.gap, r.verdict) for r in ir.ordering(i).collect())
+    assert got == [("f", 2, 1, 1, None, 3, 1, "write-after-call"), ("f", 5, 4, 1, 4, None, None, "effects-first"), ("h", 6, 6, None, None, None, None, "no-writes")]
