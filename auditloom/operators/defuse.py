@@ -135,3 +135,32 @@ def overflows(instr: DataFrame, looped: DataFrame) -> DataFrame:
     loop = F.col("loop").isNotNull()
     severity = F.when(F.col("op") == "Sub", "High").when((F.col("op") == "Mul") & loop, "High").otherwise("Medium")
     return hit.select(*BY, "pos", "op", severity.alias("severity"), F.when(loop, "High").otherwise("Medium").alias("confidence"))
+
+
+#: How arithmetic is written, by operation; names of calls that send value.
+ARITHMETIC = {"Add": "add", "Sub": "sub", "Mul": "mul", "Div": "div", "CheckedAdd": "checked_add", "CheckedSub": "checked_sub", "CheckedMul": "checked_mul", "CheckedDiv": "checked_div"}
+SENDING = ("send", "transfer", "call")
+
+
+def found_in_focus(instr: DataFrame) -> DataFrame:
+    """(contract, func, focus, kind, block, pos, text): what an analysis of each focus is shown of a function, in one relation.
+
+    reentrancy: calls outside and writes; access: requirements with condition and message, and operations that need one;
+    arithmetic: operations with operands, plain or checked; returns: results of calls outside, used or not. An instruction
+    gives a row for each focus that looks at it; only whether a result is used needs a join, of calls with used values.
+    """
+    used = uses(instr).select(*BY, F.col("operand").alias("value")).distinct().withColumn("used", F.lit(True))
+    calls = instr.where((F.col("op") == "Call") & (F.col("target") == "External"))
+    returns = calls.join(used, [*BY, "value"], "left").select(*BY, F.lit("returns").alias("focus"), F.when(F.col("used").isNotNull(), "used").otherwise("unused").alias("kind"), "block", "pos", F.coalesce("name", F.lit("")).alias("text"))
+    op, operand = F.col("op"), lambda k: F.coalesce(F.get("operands", F.lit(k)), F.lit(""))
+    row = lambda on, focus, kind, text: F.when(on, F.struct(F.lit(focus).alias("focus"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), text.alias("text")))
+    store, name = op.isin("StorageStore", "MappingStore", "ArrayStore"), F.coalesce("name", F.lit(""))
+    math = F.element_at(F.create_map(*(F.lit(x) for kv in ARITHMETIC.items() for x in kv)), op)
+    rows = F.array(
+        row(external(), "reentrancy", "call", F.concat_ws(" ", op, "name")), row(store, "reentrancy", "write", F.concat_ws(" ", op, "key")),
+        row(op.isin("Require", "Assert"), "access", "check", F.concat(F.lit("require("), operand(0), F.lit("): "), F.coalesce("message", F.lit("")))),
+        row(op == "StorageStore", "access", "sensitive", F.lit("Storage modification")), row(op == "Selfdestruct", "access", "sensitive", F.lit("Self destruct")), row((op == "Call") & name.isin(*SENDING), "access", "sensitive", F.concat(F.lit("Value transfer to "), name)),
+        row(op.isin(*ARITHMETIC), "arithmetic", F.when(op.startswith("Checked"), "checked").otherwise("plain"), F.concat(math, F.lit("("), operand(0), F.lit(", "), operand(1), F.lit(")"))),
+    )
+    each = instr.select(*BY, "block", "pos", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r"))
+    return each.select(*BY, "r.focus", "r.kind", "block", "pos", "r.text").unionByName(returns)

@@ -192,3 +192,13 @@ def td_flow_loop_reentrancy(spark: SparkSession, d: str) -> DataFrame:
 def td_flow_uses(spark: SparkSession, d: str) -> DataFrame:
     """Every operand of every instruction."""
     return defuse.uses(instr(spark, d)).select("contract", "func", "pos", "slot", "operand")
+
+
+@query(f"""WITH {SQL} SELECT contract, func, 'reentrancy' AS focus, 'call' AS kind, block, pos, concat_ws(' ', op, name) AS text FROM i WHERE ext OR op = 'DelegateCall'
+UNION ALL SELECT contract, func, 'reentrancy', 'write', block, pos, op || ' ' || key FROM i WHERE w UNION ALL SELECT contract, func, 'access', 'check', block, pos, 'require(' || a || '): ' || message FROM i WHERE op = 'Require'
+UNION ALL SELECT contract, func, 'access', 'sensitive', block, pos, 'Storage modification' FROM i WHERE op = 'StorageStore' UNION ALL SELECT contract, func, 'access', 'sensitive', block, pos, 'Value transfer to ' || name FROM i WHERE op = 'Call' AND name IN ('send', 'transfer', 'call')
+UNION ALL SELECT contract, func, 'arithmetic', 'plain', block, pos, lower(op) || '(' || a || ', ' || b || ')' FROM i WHERE op IN ('Add', 'Sub', 'Mul')
+UNION ALL SELECT contract, func, 'returns', CASE WHEN EXISTS (SELECT 1 FROM u WHERE u.func = i.func AND u.x = i.value) THEN 'used' ELSE 'unused' END, block, pos, name FROM i WHERE xcall""")
+def td_flow_focus(spark: SparkSession, d: str) -> DataFrame:
+    """What each focus of an analysis looks at."""
+    return defuse.found_in_focus(instr(spark, d))

@@ -126,3 +126,10 @@ def test_ordering(spark):
     i = instr(spark, [("g", 0, *store), ("f", 0, *check), ("f", 0, *call), ("f", 0, *store), ("f", 1, *store), ("f", 1, *call), ("h", 0, *call), ("h", 0, "Call", {"target": "Internal"})])
     got = sorted((r.func, r.call, r.place, r.last_check, r.last_write, r.next_write, r.gap, r.verdict) for r in ir.ordering(i).collect())
     assert got == [("f", 2, 1, 1, None, 3, 1, "write-after-call"), ("f", 5, 4, 1, 4, None, None, "effects-first"), ("h", 6, 6, None, None, None, None, "no-writes")]
+
+
+def test_what_each_focus_looks_at(spark):
+    i = instr(spark, [("f", 0, "Call", {"target": "External", "name": "send", "value": "a"}), ("f", 0, "Require", {"operands": ["a"], "message": "sent"}), ("f", 1, "Call", {"target": "External", "value": "b"}), ("f", 1, "CheckedMul", {"operands": ["x", "const:2"], "value": "c"}), ("f", 1, "StorageStore", {"key": "k"}), ("f", 1, "Selfdestruct", {})])
+    got = sorted((r.focus, r.kind, r.block, r.pos, r.text) for r in defuse.found_in_focus(i).collect())
+    assert got == [("access", "check", 0, 1, "require(a): sent"), ("access", "sensitive", 0, 0, "Value transfer to send"), ("access", "sensitive", 1, 4, "Storage modification"), ("access", "sensitive", 1, 5, "Self destruct"), ("arithmetic", "checked", 1, 3, "checked_mul(x, const:2)"),
+                   ("reentrancy", "call", 0, 0, "Call send"), ("reentrancy", "call", 1, 2, "Call"), ("reentrancy", "write", 1, 4, "StorageStore k"), ("returns", "unused", 1, 2, ""), ("returns", "used", 0, 0, "send")]
