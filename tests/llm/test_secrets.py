@@ -110,3 +110,27 @@ def test_few_names_among_what_is_reported(spark):
     got = {x.doc_id: "random" in x.spans for x in S.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     wrong, right = sum(got[i] for i in range(len(names))), sum(got[len(names) + i] for i in range(len(keys)))
     assert right >= 54 and wrong <= 0.1 * (wrong + right) and not any(got[i] for i in range(len(NAMES)))
+
+
+def test_random_spans_of_whole_tables_by_the_plain_procedure(spark):
+    """Benjamini-Hochberg over all candidates of a stratum, one by one, on p-values rounded up to the bins."""
+    d = "/root/testdata/sf0.01"
+    r = random.Random(21)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    docs = [tuple(x) for x in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(10**6 + i, f"see {key(r.choice([20, 24, 32, 40, 70]))} and {''.join(w.capitalize() for w in r.sample(WORDS, 5))}{i % 10}") for i in range(400)]
+    found = {i: S.scan(t or "") for i, t in docs}
+    strata = {}
+    for i, (_, more) in found.items():
+        for a, b, stratum, bin_ in more:
+            strata.setdefault(stratum, []).append((10.0 ** (-bin_ / 20), i, a, b))
+    kept = {i: [] for i in found}
+    for rows in strata.values():
+        rows.sort()
+        passed = [k for k, (p, *_) in enumerate(rows, 1) if p <= 0.05 * sum(x[0] <= p for x in rows) / len(rows)]
+        for _, i, a, b in rows[: max(passed, default=0)]:
+            kept[i].append((a, 3, b))
+    got = {x.doc_id: x.spans for x in S.secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    names = (*S.KINDS[:3], "random")
+    assert got == {i: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + kept[i])) for i, (base, _) in found.items()}
+    assert sum("random" in s for s in got.values()) > 200
