@@ -108,13 +108,13 @@ def test_whole_tables_and_sql(spark, sf):
     d = f"/root/testdata/{sf}"
     df = R.op11_periodic_runs(spark, d)
     got = sorted(map(tuple, df.collect()), key=str)
-    assert got == sorted((digest_row(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()), key=str)
-    if sf == "sf0.001":
-        con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
-        cur = con.execute(R.ORACLE_SQL["op11_periodic_runs"])
-        at = [[c[0] for c in cur.description].index(c) for c in df.columns]
-        assert sorted((tuple(x[i] for i in at) for x in cur.fetchall()), key=str) == got
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    cur = con.execute(R.ORACLE_SQL["op11_periodic_runs"])
+    at = [[c[0] for c in cur.description].index(c) for c in df.columns]
+    assert sorted((tuple(x[i] for i in at) for x in cur.fetchall()), key=str) == got
+    if sf == "sf0.001":  # a loop over all periods takes minutes on more
+        assert got == sorted((digest_row(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()), key=str)
 
 
 def test_edges(spark):
@@ -123,7 +123,5 @@ def test_edges(spark):
     got = {(r.doc_id, r.n_words, tuple((x.start, x.length, x.period) for x in r.runs), r.collapsed) for r in R.periodic_runs(docs).collect()}
     assert got == {(1, 0, (), ""), (2, 0, (), ""), (3, 0, (), ""), (None, 20, ((0, 20, 2),), "a b"), (5, 13, ((0, 13, 1),), "é\xa0"), (6, 40, ((0, 40, 2),), "x y\x1cz")}
     assert R.periodic_runs(docs.limit(0)).count() == 0
-    for i, text in [(1, None), (2, ""), *((k, "one two three four five six seven") for k in range(100))]:
-        docs = spark.createDataFrame([(i, text)], "doc_id long, text string") if i < 3 else None
-        if docs is not None:
-            assert R.with_periods(docs).count() == 1
+    texts = [(k, t) for k in range(40) for t in (None, "", "one two three four five six seven")]
+    assert R.with_periods(spark.createDataFrame(texts, "doc_id long, text string")).count() == len(texts)
