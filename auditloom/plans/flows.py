@@ -32,7 +32,7 @@ def instr(spark: SparkSession, d: str) -> DataFrame:
     inside = (kind == "error") & (k % 3 == 0)
     other = u + 5 * (1 + k % 7)
     name = F.when(inside, F.concat(B.chosen(I.NAMES, other), other.cast("string"))).when(kind == "error", B.chosen(I.CALLED, k))
-    out = e.select(F.concat(F.lit("K"), F.pmod(u, F.lit(5))).alias("contract"), F.concat(B.chosen(I.NAMES, u), u.cast("string")).alias("func"), idx.alias("idx"), op.alias("op"), name.alias("name"), F.when(kind == "error", F.when(inside, "Internal").otherwise("External")).alias("target"), k.alias("event_id"), kind.alias("kind"))
+    out = e.select(F.concat(F.lit("K"), F.pmod(u, F.lit(5)), F.lit("_"), F.expr("user_id div 100")).alias("contract"), F.concat(B.chosen(I.NAMES, u), u.cast("string")).alias("func"), idx.alias("idx"), op.alias("op"), name.alias("name"), F.when(kind == "error", F.when(inside, "Internal").otherwise("External")).alias("target"), k.alias("event_id"), kind.alias("kind"))
     value = F.when(~F.col("op").isin("Require", *reentrancy.STORES), F.concat(F.lit("v"), "idx"))
     first = F.concat(F.lit("v"), F.col("idx") - 1 - F.when(F.col("event_id") % 4 == 0, 1).otherwise(0))
     second = F.when(F.col("event_id") % 4 == 0, "const:1").when(F.col("event_id") % 8 == 1, "param:0").otherwise(F.concat(F.lit("v"), F.col("idx") - 1 - F.col("event_id") % 5))
@@ -41,6 +41,12 @@ def instr(spark: SparkSession, d: str) -> DataFrame:
     return out.select("contract", "func", F.expr("idx div 10").alias("block"), "idx", F.col("idx").alias("pos"), "op", key.alias("key"), "name", F.when(F.col("op") == "Require", B.chosen(MESSAGES, F.expr("event_id div 8"))).alias("message"), "target", value.alias("value"), operands.alias("operands"))
 
 
+def functions(spark: SparkSession, d: str) -> DataFrame:
+    """As the other queries' functions, in contracts of twenty."""
+    user = F.regexp_extract("func", r"(\d+)$", 1).cast("long")
+    return I.functions(spark, d).withColumn("u", user).withColumn("contract", F.concat("contract", F.lit("_"), F.expr("u div 100"))).drop("u")
+
+
 def successors(spark: SparkSession, d: str) -> DataFrame:
     """Blocks after each block: the next one, by every fourth one that two ahead, by every fifth one that three back."""
     n = instr(spark, d).groupBy("contract", "func").agg((F.max("block") + 1).alias("n"))
@@ -49,14 +55,14 @@ def successors(spark: SparkSession, d: str) -> DataFrame:
     return b.select("contract", "func", "block", F.filter(to, lambda x: x.isNotNull()).alias("next"))
 
 
-SQL = f"""raw AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, 'K' || user_id % 5 AS contract, {B.sql_chosen(I.NAMES, 'user_id')} || user_id AS func, event_type = 'error' AS err, event_id % 3 = 0 AS inside FROM events),
+SQL = f"""raw AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, 'K' || user_id % 5 || '_' || user_id // 100 AS contract, {B.sql_chosen(I.NAMES, 'user_id')} || user_id AS func, event_type = 'error' AS err, event_id % 3 = 0 AS inside FROM events),
 o AS (SELECT *, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 6 = 2 THEN 'DelegateCall' ELSE 'Call' END WHEN 'purchase' THEN {B.sql_chosen(reentrancy.STORES, 'event_id')} WHEN 'view' THEN {B.sql_chosen(defuse.LOADS, 'event_id')} WHEN 'click' THEN {B.sql_chosen(CLICKS, 'event_id')} ELSE {B.sql_chosen(OTHERS, 'event_id')} END AS op FROM raw),
 i AS (SELECT contract, func, idx // 10 AS block, idx AS pos, op, CASE WHEN event_type IN ('purchase', 'view') THEN 'slot' || event_id % 5 END AS key,
   CASE WHEN err AND inside THEN {B.sql_chosen(I.NAMES, 'user_id + 5 * (1 + event_id % 7)')} || (user_id + 5 * (1 + event_id % 7)) WHEN err THEN {B.sql_chosen(I.CALLED, 'event_id')} END AS name,
   CASE WHEN op = 'Require' THEN {B.sql_chosen(MESSAGES, 'event_id // 8')} END AS message, CASE WHEN op NOT IN ('Require', 'StorageStore', 'MappingStore', 'ArrayStore') THEN 'v' || idx END AS value,
   CASE WHEN event_id % 16 = 4 THEN 'const:2' ELSE 'v' || (idx - 1 - CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) END AS a,
   CASE WHEN event_id % 4 = 0 THEN 'const:1' WHEN event_id % 8 = 1 THEN 'param:0' ELSE 'v' || (idx - 1 - event_id % 5) END AS b, err AND NOT inside AS ext, op = 'Call' AND err AND NOT inside AS xcall, op LIKE '%Store' AS w FROM o),
-fn AS (SELECT DISTINCT 'K' || user_id % 5 AS contract, {B.sql_chosen(I.NAMES, 'user_id')} || user_id AS func, {B.sql_chosen(B.VISIBILITY, 'user_id')} AS visibility, CASE user_id % 7 WHEN 0 THEN 'onlyOwner' WHEN 1 THEN 'nonReentrant' ELSE '' END AS modifier FROM events),
+fn AS (SELECT DISTINCT 'K' || user_id % 5 || '_' || user_id // 100 AS contract, {B.sql_chosen(I.NAMES, 'user_id')} || user_id AS func, {B.sql_chosen(B.VISIBILITY, 'user_id')} AS visibility, CASE user_id % 7 WHEN 0 THEN 'onlyOwner' WHEN 1 THEN 'nonReentrant' ELSE '' END AS modifier FROM events),
 u AS (SELECT func, pos, op, value, unnest([a, b]) AS x FROM i)"""
 FLOW = """n AS (SELECT contract, func, max(block) + 1 AS n FROM i GROUP BY ALL), blk AS (SELECT contract, func, n, unnest(range(n)) AS block FROM n),
 s AS (SELECT contract, func, block, list_filter([CASE WHEN block + 1 < n THEN block + 1 END, CASE WHEN block % 4 = 0 AND block + 2 < n THEN block + 2 END, CASE WHEN block % 5 = 4 THEN block - 3 END], lambda x: x IS NOT NULL) AS nx FROM blk)"""
@@ -86,7 +92,7 @@ SELECT contract, func, pos, 'missing-access-control' AS finding_type, CASE WHEN
 FROM f WHERE NOT checked AND NOT (NOT lv AND NOT st AND NOT regexp_matches(low, '{ir.PERMISSION}') AND (regexp_matches(low, '{ir.TRIVIAL}') OR (mods = 1 AND low NOT LIKE '%set%')))
 UNION ALL SELECT f.contract, f.func, i.pos, 'weak-access-control-tx-origin', 'Medium', 'High' FROM f JOIN i USING (func) WHERE checked AND op = 'TxOrigin'""")
 def td_ir_access_control(spark: SparkSession, d: str) -> DataFrame:
-    return defuse.access_control(instr(spark, d), I.functions(spark, d))
+    return defuse.access_control(instr(spark, d), functions(spark, d))
 
 
 @query(f"""WITH {SQL} SELECT contract, func, pos, name FROM i c WHERE op = 'Call' AND (xcall OR name LIKE '%call%')
@@ -111,7 +117,7 @@ EDGES = "e AS (SELECT DISTINCT i.contract, i.func AS src, i.name AS dst, pos FRO
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     inner = instr(spark, d).where("target = 'Internal'")
-    return ir.call_edges(inner, I.functions(spark, d))
+    return ir.call_edges(inner, functions(spark, d))
 
 
 #: Breadth first, as UNION ALL adds a round at a time and each keeps what no round before had.
@@ -171,7 +177,7 @@ UNION ALL SELECT c.contract, c.func, 'reentrancy-pattern', c.pos, CAST(min(m.pos
 UNION ALL SELECT z.contract, z.func, 'loop-reentrancy', z.at, CAST(y.b AS VARCHAR) FROM (SELECT c.contract, c.func, header, min(c.pos) AS at FROM body JOIN c ON c.func = body.func AND c.block = b GROUP BY ALL) z JOIN (SELECT near.func, header, min(near.b) AS b FROM near JOIN i ON i.func = near.func AND i.block = near.b AND i.w GROUP BY ALL) y ON y.func = z.func AND y.header = z.header""")
 def td_flow_reentrancy(spark: SparkSession, d: str) -> DataFrame:
     """All kinds of reentrancy of functions that no guard protects."""
-    return reentrancy.reentrancy(instr(spark, d), I.functions(spark, d), edges(spark, d), successors(spark, d))
+    return reentrancy.reentrancy(instr(spark, d), functions(spark, d), edges(spark, d), successors(spark, d))
 
 
 LOOPS = """g AS (SELECT func, block AS src, unnest(nx) AS dst FROM s), lp(func, header, b) AS (SELECT func, dst, src FROM g WHERE dst <= src UNION SELECT lp.func, header, src FROM lp JOIN g ON g.func = lp.func AND g.dst = lp.b WHERE lp.b <> header),
