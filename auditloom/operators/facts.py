@@ -17,6 +17,8 @@ from ..sources.tables import written
 KEYWORDS = ("public", "external", "internal", "private", "view", "pure", "payable", "virtual", "override", "returns", "constant", "memory", "calldata", "storage")
 #: What a modifier's name contains, in lower case, if it restricts access.
 ACCESS = ("only", "auth", "admin", "owner", "require")
+#: What in a block checks the calls in it.
+CHECKS = r"require\(|assert\(|\nif "
 CALL = r"((?:[\w$]+(?:\([^()]*\)|\[[^\[\]]*\])*\.)*[\w$]+(?:\([^()]*\)|\[[^\[\]]*\])*)\.(call|delegatecall|staticcall|transferFrom|transfer|send)\s*(?:\{[^{}]*\})?\s*(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))"
 
 
@@ -183,14 +185,24 @@ def within(stmts: DataFrame, spans_: DataFrame) -> DataFrame:
     return held.withColumn("s", inner).where("s IS NOT NULL").select(*stmts.columns, "s.s_pos", "s.s_line")
 
 
-def calls(stmts: DataFrame) -> DataFrame:
-    """(file, contract, func, pos, line, call_type, target, text, is_checked): calls of an address or a token, by method and arguments."""
-    hits = stmts.withColumn("text", F.explode(F.regexp_extract_all("stmt", F.lit(CALL), F.lit(0))))
+def calls(funcs: DataFrame) -> DataFrame:
+    """(file, contract, func, pos, line, call_type, target, text, is_checked): calls of an address or a token, by method and arguments.
+
+    A call is checked by what its statement says, or by a requirement anywhere in the innermost block around it, which is as
+    far as four levels of syntax reach: expression, its statement in two, block. Blocks further out don't count.
+    """
+    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), F.col("end").alias("f_end"), "all", F.explode(F.filter("all", lambda p: p["piece"].rlike(CALL))).alias("p")).where("p.pos < f_end")
+    block = F.try_element_at(F.filter("all", lambda x: (x["step"] == 1) & (x["pos"] < F.col("p.pos")) & (x["end"] > F.col("p.pos"))), F.lit(-1))  # pieces are in order: the last one is the innermost
+    held = opened.withColumn("block", block)
+    since, until = F.coalesce("block.pos", "f_pos"), F.coalesce("block.end", "f_end")
+    held = held.withColumns({"since": since, "until": until})
+    around = F.exists("all", lambda x: (x["pos"] > F.col("since")) & (x["pos"] <= F.col("until")) & x["raw"].rlike(CHECKS))
+    hits = held.select("file", "contract", "func", "p.pos", "p.line", F.col("p.piece").alias("stmt"), around.alias("around")).withColumn("text", F.explode(F.regexp_extract_all("stmt", F.lit(CALL), F.lit(0))))
     method, args = F.regexp_extract("text", CALL, 2), F.regexp_extract("text", CALL, 3)
     top = F.regexp_replace(F.regexp_replace(F.substring(args, 2, F.length(args) - 2), r"\([^()]*\)", ""), r"\([^()]*\)", "")
     n = F.when(F.trim(top) == "", 0).otherwise(F.size(F.split(top, ",")))
     kind = F.when(method == "transferFrom", "ERC20TransferFrom").when((method == "transfer") & (n == 2), "ERC20Transfer").when(method == "call", "Call").when(method == "delegatecall", "DelegateCall").when(method == "staticcall", "StaticCall").when(method == "send", "Send").otherwise("Transfer")
-    checked = F.col("stmt").rlike(r"\bbool\b|success|require\(|assert\(|\bif\b")
+    checked = F.col("stmt").rlike(r"\bbool\b|success|require\(|assert\(|\bif\b") | F.col("around")
     return hits.select("file", "contract", "func", "pos", "line", kind.alias("call_type"), F.regexp_extract("text", CALL, 1).alias("target"), "text", checked.alias("is_checked"))
 
 
@@ -247,7 +259,7 @@ class Facts:
         self.statements = statements(self.functions)
         self.modifiers = modifiers(rows)
         self.loops = table(loops(self.functions), "loops")
-        self.calls = calls(self.statements)
+        self.calls = calls(self.functions)
         self.assignments = assignments(self.statements)
 
     def functions_with_modifier(self, name: str) -> DataFrame:

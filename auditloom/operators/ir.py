@@ -14,8 +14,8 @@ CALLS = ("Call", "DelegateCall", "StaticCall")
 WRITES = ("StorageStore", "MappingStore", "ArrayStore", "Store")
 READS = ("StorageLoad", "MappingLoad")
 PRODUCTS = ("Mul", "Div", "CheckedMul", "CheckedDiv")
-#: Names that tell oracles, prices, their freshness, deviations and slippage; random draws; critical functions.
-ORACLE, PRICE = "oracle|price|feed|chainlink|aggregator|latestround", "price|oracle|rate|exchange|swap|slippage|deviation"
+#: Names that tell oracles outside and within the contract, prices, their freshness, deviations and slippage; random draws; critical functions.
+ORACLE, OWN_ORACLE, PRICE = "oracle|price|feed|chainlink|aggregator|latestround", "oracle|price|feed|latestround", "price|oracle|rate|exchange|swap|slippage|deviation"
 FRESH, DEVIATION, SLIPPAGE = "stale|fresh|timestamp|time", "deviation|threshold|range", "slippage|minimum|expected"
 RANDOM = "random|lottery|winner|shuffle"
 BENIGN, SUSPICIOUS = "deadline|expire|timeout|cooldown|vesting|lock|delay|period", "owner|admin|authorized|allowed"
@@ -78,15 +78,33 @@ def time_findings(instr: DataFrame) -> DataFrame:
 
 
 def price_findings(instr: DataFrame) -> DataFrame:
-    """(contract, func, finding_type): prices of one oracle, without checks of freshness, deviation or slippage, or much worked on."""
+    """(contract, func, pos, finding_type, severity, confidence): prices from one oracle, not checked for age, deviation or slippage,
+    much worked on, used beside many calls; divisions by a value that is made outside of the code.
+
+    A check is a requirement whose message speaks of prices; only such a message can tell of age, deviation or slippage. The
+    last two are asked for where there is a check at all, and have no place. Where instr has targets, builtins are no
+    oracles; where it has operands, a division counts whose divisor is an instruction's value or a `storage:` reference,
+    not a parameter or a constant. pos: the first instruction that a finding is about. One exchange; divisions need none.
+    """
     op, low, text = F.col("op"), F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("message", F.lit("")))
-    call, said = is_call(op), lambda words: F.max((op == "Require") & text.rlike(words))
-    g = instr.groupBy(*BY).agg(F.count_if(call & low.rlike(ORACLE)).alias("oracles"), F.count_if(call).alias("calls"), F.count_if(op.isin(*PRODUCTS)).alias("products"), F.count_if(op.isin(*READS)).alias("reads"), said(PRICE).alias("price"), said(FRESH).alias("fresh"), said(DEVIATION).alias("deviation"), said(SLIPPAGE).alias("slippage"))
+    target = F.col("target") if "target" in instr.columns else F.lit(None).cast("string")
+    call, product, check = op == "Call", op.isin("Mul", "Div"), (op == "Require") & text.rlike(PRICE)
+    oracle = call & ~target.eqNullSafe("Builtin") & F.when(target.eqNullSafe("Internal"), low.rlike(OWN_ORACLE)).otherwise(low.rlike(ORACLE))
+    first, said = lambda on: F.min(F.when(on, F.col("pos"))), lambda words: F.max(check & text.rlike(words))
+    g = instr.groupBy(*BY).agg(F.count_if(oracle).alias("oracles"), first(oracle).alias("oracle"), F.count_if(call).alias("calls"), first(call).alias("call"), F.count_if(product).alias("products"), first(product).alias("product"), F.count_if(op == "StorageLoad").alias("reads"), F.count_if(check).alias("checks"), said(FRESH).alias("fresh"), said(DEVIATION).alias("deviation"), said(SLIPPAGE).alias("slippage"))
+    c, nowhere = F.col, F.lit(None).cast("long")
+    row = lambda on, kind, severity, confidence, pos: F.when(on, F.struct(pos.cast("long").alias("pos"), F.lit(kind).alias("finding_type"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence")))
     kinds = F.array(
-        F.when(F.col("oracles") == 1, F.lit("single-oracle-dependency")), F.when((F.col("products") > 3) & (F.col("reads") > 0), F.lit("complex-price-calculation")), F.when((F.col("calls") > 2) & F.col("price"), F.lit("multiple-price-calls")),
-        F.when((F.col("oracles") > 0) & ~F.col("fresh"), F.lit("no-price-freshness-check")), F.when((F.col("oracles") > 0) & ~F.col("deviation"), F.lit("no-price-deviation-check")), F.when((F.col("oracles") > 0) & ~F.col("slippage"), F.lit("no-slippage-protection")),
+        row(c("oracles") == 1, "single-oracle-dependency", "High", "Medium", c("oracle")), row((c("products") > 3) & (c("reads") > 0), "complex-price-calculation", "Medium", "Medium", c("product")),
+        row((c("calls") > 2) & (c("checks") > 0), "flashloan-manipulation-risk", "High", "Medium", c("call")), row((c("oracles") > 0) & ~c("fresh"), "no-oracle-freshness-check", "Medium", "High", c("oracle")),
+        row((c("checks") > 0) & ~c("deviation"), "no-price-deviation-check", "Medium", "Medium", nowhere), row((c("checks") > 0) & ~c("slippage"), "no-slippage-protection", "Low", "Medium", nowhere),
     )
-    return g.select(*BY, F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("finding_type"))
+    out = g.select(*BY, F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("k")).select(*BY, "k.*")
+    if "operands" not in instr.columns:
+        return out
+    divisor = F.get("operands", F.lit(1))
+    made = (op == "Div") & divisor.isNotNull() & ~divisor.rlike("^(?:param|const):")
+    return out.unionByName(instr.where(made).select(*BY, F.col("pos").cast("long").alias("pos"), F.lit("division-by-manipulable-value").alias("finding_type"), F.lit("Medium").alias("severity"), F.lit("Medium").alias("confidence")))
 
 
 def dangerous(instr: DataFrame) -> DataFrame:
@@ -177,3 +195,36 @@ def as_text(instr: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.col("place"), F.lit("] "), F.concat_ws(" ", "op", "key", "name"))
     rows = placed(instr).groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("all"))
     return rows.select(*BY, F.concat(F.lit("function "), F.col("func"), F.lit(":\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("text"))
+
+
+#: What the lines of as_text() look like: a function's, and an instruction's with its place.
+HEADER, LINE = r"^function (\S+):$", r"^\[(\d+)\] ([A-Z]\w*)((?: \S+)*)$"
+
+
+def validated(texts: DataFrame, *, key: str = "file", text_col: str = "text") -> DataFrame:
+    """One row for each row of texts: key, elements (functions), instructions, rules (how often each operation, as `op=n` sorted
+    and comma-joined), ok, error (`line n: why` of the first fault, or null): are texts as as_text() writes them?
+
+    Faults: a line that is neither a function's nor an instruction's nor blank; an instruction before any function; a place that
+    isn't above that of the line before; a function named twice or no function (of the text, without a line). Worked out where a row
+    is, in time linear in the text: a line is looked at with the one before it. Null is empty; repeated keys do no harm.
+    """
+    line = lambda i: F.get("lines", i)
+    lines = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\r]+(?=\n|$)", ""), "\n")
+    head, place, op = lambda x: F.regexp_extract(x, HEADER, 1), lambda x: F.regexp_extract(x, LINE, 1), lambda x: F.regexp_extract(x, LINE, 2)
+    t = texts.select(F.col(key), lines.alias("lines")).withColumns({"heads": F.filter(F.transform("lines", head), lambda x: x != ""), "ops": F.filter(F.transform("lines", op), lambda x: x != ""), "top": F.array_position(F.transform("lines", lambda x: head(x) != ""), F.lit(True))})
+
+    def fault(x: Column, i: Column) -> Column:
+        before = line(i - 1)
+        why = (
+            F.when((x == "") | (head(x) != ""), None)
+            .when(place(x) == "", "neither a function nor an instruction").when((F.col("top") == 0) | (i < F.col("top") - 1), "an instruction before any function")
+            .when((i > 0) & (place(before) != "") & (place(before).cast("decimal(38,0)") >= place(x).cast("decimal(38,0)")), "places that don't rise")
+        )
+        return F.when(why.isNotNull(), F.concat(F.lit("line "), i + 1, F.lit(": "), why))
+
+    first = F.get(F.filter(F.transform("lines", fault), lambda x: x.isNotNull()), F.lit(0))
+    error = F.coalesce(first, F.when(F.size("heads") == 0, "no functions").when(F.size(F.array_distinct("heads")) < F.size("heads"), "a function named twice"))
+    used = F.array_sort(F.array_distinct("ops"))
+    rules_ = F.array_join(F.transform(used, lambda k: F.concat(k, F.lit("="), F.size(F.filter("ops", lambda x: x == k)))), ",")
+    return t.select(F.col(key), F.size("heads").cast("long").alias("elements"), F.size("ops").cast("long").alias("instructions"), rules_.alias("rules"), error.isNull().alias("ok"), error.alias("error"))

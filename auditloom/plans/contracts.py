@@ -28,15 +28,17 @@ FUNCTIONS = (
     "function spread(address payable[] memory to) external {\n    for (uint i = 0; i < to.length; i++) to[i].transfer(1);\n    if (open) while (left > 0) left--;\n    done = true;\n}\n",
     "function grant(uint256 a, function(uint256) external f) public onlyRole(keccak256(abi.encode(a))) returns (bytes memory) {\n    owner = address(uint160(a));\n}\n",
     "function quote(uint256 amount) external view virtual returns (uint256 price);\n",
+    "function settle(address to) internal {\n    require(open);\n    to.staticcall(data);\n    if (done) {\n        to.staticcall(data);\n    }\n}\n",
 )
 N = len(FUNCTIONS)
-NAMES = ("take", "payAll", "burnDown", "kill", "drawWinner", "sweep", "setOwner", "changeOwner", "reset", "deposit", "raw", "randomPick", "spread", "grant", "quote")
+NAMES = ("take", "payAll", "burnDown", "kill", "drawWinner", "sweep", "setOwner", "changeOwner", "reset", "deposit", "raw", "randomPick", "spread", "grant", "quote", "settle")
 #: (function, detector, line from the function's on, finding type, severity, confidence, only without checked arithmetic)
 EXPECTED = (
     (0, "classic-reentrancy", 1, "classic-reentrancy", "High", "High", False), (1, "classic-reentrancy", 1, "classic-reentrancy", "High", "High", False), (1, "source-loop-reentrancy", 1, "source-loop-reentrancy", "High", "High", False),
     (1, "source-integer-overflow", 2, "integer-overflow-multiplication-loop", "High", "High", True), (1, "source-integer-overflow", 3, "integer-overflow-accumulation", "Medium", "Medium", True),
     (8, "source-integer-overflow", 2, "integer-overflow-multiplication-loop", "High", "High", True), (8, "source-integer-overflow", 2, "integer-overflow-mul-div", "Medium", "High", True),
     (3, "source-unchecked-return", 1, "unchecked-lowlevel-call-source", "Medium", "High", False), (5, "source-unchecked-return", 1, "unchecked-return-source", "Medium", "High", False), (5, "source-unchecked-return", 2, "unchecked-send-source", "Medium", "High", False),
+    (15, "source-unchecked-return", 4, "unchecked-lowlevel-call-source", "Medium", "High", False),
     (3, "source-dangerous-functions", 1, "dangerous-delegatecall-source", "High", "High", False), (3, "source-dangerous-functions", 2, "dangerous-selfdestruct-source", "High", "High", False), (10, "source-dangerous-functions", 1, "dangerous-assembly-source", "Medium", "High", False),
     (3, "source-delegatecall", 1, "delegatecall-to-user-controlled", "Critical", "High", False),
     (1, "source-dos-vulnerabilities", 1, "dos-external-call-loop-source", "High", "High", False), (8, "source-dos-vulnerabilities", 1, "dos-gas-limit-loop-source", "Medium", "Medium", False),
@@ -55,14 +57,14 @@ EXPECTED = (
 FUNCTION_FACTS = (
     (0, "public", "", "", "", 3), (1, "external", "", "", "users", 6), (2, "external", "", "", "amount", 5), (3, "public", "", "", "to,logic", 3), (4, "public", "", "", "", 4), (5, "external", "", "", "t,to", 4),
     (6, "external", "", "onlyOwner", "next", 2), (7, "public", "", "", "next", 2), (8, "external", "", "", "data", 7), (9, "external", "payable", "", "", 3), (10, "internal", "", "", "logic", 7), (11, "external", "view", "", "", 3),
-    (12, "external", "", "", "to", 4), (13, "public", "", "onlyRole", "a,f", 2), (14, "external", "view", "", "amount", 0),
+    (12, "external", "", "", "to", 4), (13, "public", "", "onlyRole", "a,f", 2), (14, "external", "view", "", "amount", 0), (15, "internal", "", "", "to", 6),
 )
 #: (function, line, last line, type, condition, calls, writes, length)
 LOOP_FACTS = ((1, 1, 4, "For", "i < users.length", True, False, True), (8, 1, 6, "For", "i < data.length", False, True, True), (10, 4, 6, "DoWhile", "step < 9", False, False, False), (12, 1, 1, "For", "i < to.length", True, False, True), (12, 2, 2, "While", "left > 0", False, False, False))
 #: (function, line, type, target, checked)
 CALL_FACTS = (
     (0, 1, "Call", "msg.sender", True), (1, 2, "Transfer", "users[i]", False), (3, 1, "DelegateCall", "logic", False), (5, 1, "ERC20Transfer", "IERC20(t)", False), (5, 2, "Send", "payable(to)", False), (5, 3, "ERC20TransferFrom", "IERC20(t)", True),
-    (12, 1, "Transfer", "to[i]", False),
+    (12, 1, "Transfer", "to[i]", False), (15, 2, "StaticCall", "to", True), (15, 4, "StaticCall", "to", False),
 )
 #: (function, line, left side, right side)
 ASSIGNMENT_FACTS = (

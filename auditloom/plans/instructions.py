@@ -72,10 +72,17 @@ def td_ir_time(spark: SparkSession, d: str) -> DataFrame:
     return ir.time_findings(instr(spark, d))
 
 
-@query(f"""WITH {SQL}, g AS (SELECT contract, func, count(*) FILTER (c AND name IN ('oracle', 'priceFeed')) AS o, count(*) FILTER (c) AS c, count(*) FILTER (op IN ('Mul', 'Div')) AS p, count(*) FILTER (r) AS rd, coalesce(bool_or(message IN ('price stale', 'slippage of the rate')), false) AS price, coalesce(bool_or(message = 'price stale'), false) AS fresh, coalesce(bool_or(message LIKE '%slippage%'), false) AS slip FROM instr GROUP BY 1, 2)
-SELECT contract, func, 'single-oracle-dependency' AS finding_type FROM g WHERE o = 1 UNION ALL SELECT contract, func, 'complex-price-calculation' FROM g WHERE p > 3 AND rd > 0 UNION ALL SELECT contract, func, 'multiple-price-calls' FROM g WHERE c > 2 AND price UNION ALL SELECT contract, func, 'no-price-freshness-check' FROM g WHERE o > 0 AND NOT fresh UNION ALL SELECT contract, func, 'no-price-deviation-check' FROM g WHERE o > 0 UNION ALL SELECT contract, func, 'no-slippage-protection' FROM g WHERE o > 0 AND NOT slip""")
+@query(f"""WITH {SQL}, k AS (SELECT *, op = 'Call' AS call, op = 'Call' AND name IN ('oracle', 'priceFeed') AND event_id % 5 <> 3 AS ora, op IN ('Mul', 'Div') AS prod, op = 'Require' AND message IN ('price stale', 'slippage of the rate') AS chk FROM instr),
+g AS (SELECT contract, func, count(*) FILTER (ora) AS o, min(pos) FILTER (ora) AS o1, count(*) FILTER (call) AS c, min(pos) FILTER (call) AS c1, count(*) FILTER (prod) AS p, min(pos) FILTER (prod) AS p1, count(*) FILTER (r) AS rd, count(*) FILTER (chk) AS k, count(*) FILTER (chk AND message = 'price stale') AS fresh, count(*) FILTER (chk AND message LIKE 'slip%') AS slip FROM k GROUP BY 1, 2)
+SELECT contract, func, o1 AS pos, 'single-oracle-dependency' AS finding_type, 'High' AS severity, 'Medium' AS confidence FROM g WHERE o = 1 UNION ALL SELECT contract, func, p1, 'complex-price-calculation', 'Medium', 'Medium' FROM g WHERE p > 3 AND rd > 0 UNION ALL SELECT contract, func, c1, 'flashloan-manipulation-risk', 'High', 'Medium' FROM g WHERE c > 2 AND k > 0
+UNION ALL SELECT contract, func, o1, 'no-oracle-freshness-check', 'Medium', 'High' FROM g WHERE o > 0 AND fresh = 0 UNION ALL SELECT contract, func, NULL, 'no-price-deviation-check', 'Medium', 'Medium' FROM g WHERE k > 0 UNION ALL SELECT contract, func, NULL, 'no-slippage-protection', 'Low', 'Medium' FROM g WHERE k > 0 AND slip = 0
+UNION ALL SELECT contract, func, pos, 'division-by-manipulable-value', 'Medium', 'Medium' FROM instr WHERE op = 'Div' AND event_id % 4 < 2""")
 def td_ir_price(spark: SparkSession, d: str) -> DataFrame:
-    return ir.price_findings(instr(spark, d))
+    """Divisors are an earlier value, a storage slot, a constant or a parameter; every fifth call is a builtin."""
+    k = F.col("event_id")
+    divisor = F.when(k % 4 == 0, F.concat(F.lit("v"), F.col("idx"))).when(k % 4 == 1, "storage:total").when(k % 4 == 2, "const:100").otherwise("param:0")
+    i = instr(spark, d).withColumns({"target": F.when(k % 5 == 3, "Builtin").when(k % 5 == 2, "Internal").otherwise("External"), "operands": F.array(F.lit("param:1"), divisor)})
+    return ir.price_findings(i)
 
 
 @query(f"""WITH {SQL} SELECT contract, func, pos, 'delegatecall' AS what FROM instr WHERE op = 'DelegateCall' UNION ALL SELECT contract, func, pos, 'selfdestruct' FROM instr WHERE name = 'selfdestructAll'""")
@@ -112,6 +119,20 @@ def td_ir_text(spark: SparkSession, d: str) -> DataFrame:
     return ir.as_text(instr(spark, d)).withColumn("text", F.md5("text"))
 
 
+@query(f"""WITH {SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY func, pos) - 1 AS place FROM instr), x AS (SELECT func, count(*) AS instructions, max(place) AS last FROM n GROUP BY 1),
+m AS (SELECT func, string_agg(op || '=' || k, ',' ORDER BY op) AS rules FROM (SELECT func, op, count(*) AS k FROM n GROUP BY 1, 2) GROUP BY 1)
+SELECT func, CASE last % 5 WHEN 1 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS elements, instructions + CASE last % 5 WHEN 0 THEN 1 ELSE 0 END AS instructions, rules || CASE last % 5 WHEN 0 THEN ',Zero=1' ELSE '' END AS rules, last % 5 = 4 AS ok,
+CASE last % 5 WHEN 0 THEN 'line ' || instructions + 2 || ': places that don''t rise' WHEN 1 THEN 'line 1: neither a function nor an instruction' WHEN 2 THEN 'line ' || instructions + 2 || ': neither a function nor an instruction' WHEN 3 THEN 'a function named twice' END AS error FROM x JOIN m USING (func)""")
+def td_ir_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Listings of functions, four of five spoilt by the last place in them: a place again at the end, no colon after the name, a line
+    of something else, the first line again."""
+    t = ir.as_text(instr(spark, d)).withColumn("last", F.regexp_extract("text", r"\[(\d+)\][^\n]*$", 1).cast("long"))
+    n = F.col("last") % 5
+    spoilt = F.when(n == 0, F.concat("text", F.lit("\n["), "last", F.lit("] Zero"))).when(n == 1, F.regexp_replace("text", r"^([^\n]*):", "$1")).when(n == 2, F.concat("text", F.lit("\n; end")))
+    spoilt = spoilt.when(n == 3, F.concat("text", F.lit("\n\nfunction "), "func", F.lit(":"))).otherwise(F.col("text"))
+    return ir.validated(t.select("func", spoilt.alias("text")), key="func")
+
+
 @query(f"""WITH {SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY func, pos) - 1 AS place FROM instr),
 z AS (SELECT contract, func, pos AS call, place, (SELECT max(pos) FROM instr i WHERE i.func = n.func AND i.op = 'Require' AND i.pos < n.pos) AS last_check, (SELECT max(pos) FROM instr i WHERE i.func = n.func AND i.w AND i.pos < n.pos) AS last_write, (SELECT min(pos) FROM instr i WHERE i.func = n.func AND i.w AND i.pos > n.pos) AS next_write FROM n WHERE c)
 SELECT *, next_write - call AS gap, CASE WHEN next_write IS NOT NULL THEN 'write-after-call' WHEN last_write IS NOT NULL THEN 'effects-first' ELSE 'no-writes' END AS verdict FROM z""")

@@ -53,6 +53,19 @@ def test_loops_and_calls(spark):
     assert [r.line for r in f.loops_before_assignments().collect()] == [7]  # the second loop assigns after the first one's end
 
 
+def test_a_call_is_checked_by_the_innermost_block(spark):
+    body = """contract K {
+    function f() public { require(a); x.send(1); if (b) { y.send(2); } }
+    function g() public { if (b) { require(c); y.send(3); } x.send(4); for (;;) { z.send(5); assert(d); } }
+    function h() public { while (b) { { require(c); } y.send(6); } }
+    function i() public { x.send(7); } function j() public { require(a); }
+}
+"""
+    c = Facts(spark.createDataFrame([("k.sol", body)], "file string, content string")).calls.collect()
+    # the block of y.send(6) has another one with a requirement in it, and a text contains what is in its inner blocks
+    assert {(r.func, r.target, r.is_checked) for r in c} == {("f", "x", True), ("f", "y", False), ("g", "y", True), ("g", "x", True), ("g", "z", True), ("h", "y", True), ("i", "x", False)}
+
+
 def test_scan(spark):
     found = scan.ordered(scan.scan(sources(spark))).collect()
     kinds = {(r.scanner_id, r.function) for r in found}

@@ -133,3 +133,39 @@ def test_what_each_focus_looks_at(spark):
     got = sorted((r.focus, r.kind, r.block, r.pos, r.text) for r in defuse.found_in_focus(i).collect())
     assert got == [("access", "check", 0, 1, "require(a): sent"), ("access", "sensitive", 0, 0, "Value transfer to send"), ("access", "sensitive", 1, 4, "Storage modification"), ("access", "sensitive", 1, 5, "Self destruct"), ("arithmetic", "checked", 1, 3, "checked_mul(x, const:2)"),
                    ("reentrancy", "call", 0, 0, "Call send"), ("reentrancy", "call", 1, 2, "Call"), ("reentrancy", "write", 1, 4, "StorageStore k"), ("returns", "unused", 1, 2, ""), ("returns", "used", 0, 0, "send")]
+
+
+def test_prices_by_checks_and_operands(spark):
+    call = lambda name, target="External": ("Call", {"name": name, "target": target})
+    check = lambda message: ("Require", {"message": message})
+    rows = [(f, 0, *x) for f, xs in {
+        "one": [("Add", {}), call("priceFeed"), call("x", "External")],
+        "built": [call("oracle", "Builtin")],
+        "own": [call("chainlinkRead", "Internal"), call("myOracle", "Internal"), call("aggregator", "Library")],
+        "aged": [call("oracle"), call("feed"), check("price too OLD: timestamp")],
+        "time": [call("oracle"), call("feed"), check("past its time")],  # speaks of time, but not of prices
+        "safe": [check("price deviation out of range"), check("swap below minimum")],
+        "sums": [*[("Mul", {})] * 3, ("Div", {"operands": ["v1", "const:2"]}), ("StorageLoad", {})],
+        "maps": [*[("Mul", {})] * 4, ("MappingLoad", {})],
+        "parts": [("Div", {"operands": ["a", b]}) for b in ("v1", "storage:total", "param:0", "const:3", None)],
+        "none": [("Div", {}), ("Div", {"operands": []})],
+    }.items() for x in xs]
+    got = sorted(((r.func, r.finding_type, r.pos) for r in ir.price_findings(instr(spark, rows)).collect()), key=str)
+    at = {}  # first instruction of each function
+    for i, r in enumerate(rows):
+        at.setdefault(r[0], i)
+    want = [
+        ("one", "single-oracle-dependency", at["one"] + 1), ("one", "no-oracle-freshness-check", at["one"] + 1), ("own", "no-oracle-freshness-check", at["own"] + 1), ("aged", "no-price-deviation-check", None), ("aged", "no-slippage-protection", None),
+        ("time", "no-oracle-freshness-check", at["time"]), ("sums", "complex-price-calculation", at["sums"]), ("parts", "division-by-manipulable-value", at["parts"]), ("parts", "division-by-manipulable-value", at["parts"] + 1),
+    ]
+    assert got == sorted(want, key=str)
+
+
+def test_listings_are_validated(spark):
+    rows = [("fine", "function a:\n[0] Add\n[3] Call x y\n\nfunction b:\n[0] Add  \r\n"), ("fall", "function a:\n[4] Add\n[4] Add"), ("bare", "[0] Add\nfunction a:"), ("odd", "function a:\n[0] add"), ("twice", "function a:\n[0] Add\nfunction a:"),
+            ("blank", "\n \n"), ("null", None), (None, "function a:"), ("huge", "function a:\n" + "\n".join(f"[{i}] Op{i % 3}" for i in range(20000)))]
+    got = {r.file: (r.elements, r.instructions, r.rules, r.ok, r.error) for r in ir.validated(spark.createDataFrame(rows, "file string, text string")).collect()}
+    assert got == {
+        "fine": (2, 3, "Add=2,Call=1", True, None), "fall": (1, 2, "Add=2", False, "line 3: places that don't rise"), "bare": (1, 1, "Add=1", False, "line 1: an instruction before any function"), "odd": (1, 0, "", False, "line 2: neither a function nor an instruction"),
+        "twice": (2, 1, "Add=1", False, "a function named twice"), "blank": (0, 0, "", False, "no functions"), "null": (0, 0, "", False, "no functions"), None: (1, 0, "", True, None), "huge": (1, 20000, "Op0=6667,Op1=6667,Op2=6666", True, None),
+    }
