@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+SPACE = re.compile(r"([a-z]) ([a-z])")
 #: Alphabets by name; a candidate's encoding is the first whose alphabet holds it and all of whose classes it uses.
 ENCODINGS = (
     ("hex", "0123456789abcdef", ("0-9", "a-f")),
@@ -88,9 +90,62 @@ def like_words(s: str) -> float:
 
 
 _SHARE = np.exp(_LETTERS) / np.exp(_LETTERS).sum()
-_PROSE = float((_SHARE * _LETTERS).sum()), float(((_SHARE * _LETTERS**2).sum() - (_SHARE * _LETTERS).sum() ** 2) ** 0.5)  # mean and deviation of weights in prose
 DIGITS = 0.1  # share of digits that names and words have at most
 RANDOM = 0.01  # below this p-value of being random a string isn't
+PRIOR = 2000.0  # pairs after each letter that stand for prose letters in any order, beside those counted
+_FOLD = np.full(256, 26, np.uint8)  # bytes to 0-25 for letters of either case, 26 for others
+_FOLD[97:123] = _FOLD[65:91] = np.arange(26)
+
+
+class Prose:
+    """How letters follow each other in the words of a corpus: the null against which strings are told from text.
+
+    counts: 26 x 26 of letters after letters, in words and over one space (names are words run together). What is scored is
+    the mean log probability of a string's letters after the ones before; mean and deviation of a pair's under the null follow from the
+    same counts. Without counts a letter's probability is its share in prose, whatever comes before.
+    """
+
+    def __init__(self, counts: np.ndarray | None = None):
+        n = np.zeros((26, 26)) if counts is None else np.asarray(counts, float).reshape(26, 26)
+        after = (n + PRIOR * _SHARE) / (n.sum(1, keepdims=True) + PRIOR)
+        first = n.sum(1) + PRIOR * _SHARE
+        self.log = np.log(after)
+        joint = after * (first / first.sum())[:, None]
+        self.mean = float((joint * self.log).sum())
+        self.deviation = float(math.sqrt((joint * self.log**2).sum() - self.mean**2))
+
+    def p_text(self, s: str) -> float:
+        """p-value of s being words: its letters follow each other so seldom in text. A step from a small to a capital letter begins a
+        word and isn't scored; pairs of a text aren't independent, so that half of them count."""
+        b = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
+        x = _FOLD[b]
+        ok = (x[:-1] < 26) & (x[1:] < 26) & ~((b[:-1] >= 97) & (b[1:] < 97))
+        if not ok.any():
+            return 1.0
+        return 0.5 * math.erfc((self.mean - float(self.log[x[:-1][ok], x[1:][ok]].mean())) / self.deviation * math.sqrt(int(ok.sum()) / 2) / math.sqrt(2))
+
+
+def pairs(text: str) -> np.ndarray:
+    """Counts of letters after letters in a text, 26 x 26 in one row, without those in candidates."""
+    b = _FOLD[np.frombuffer(SPACE.sub(r"\1\2", CANDIDATE.sub("  ", text)).encode("utf-8", "replace"), np.uint8)].astype(np.int64)
+    return np.bincount(b[:-1] * 27 + b[1:], minlength=729).reshape(27, 27)[:26, :26].ravel()
+
+
+def prose(docs: DataFrame, text_col: str = "text") -> Prose:
+    """Counts over all texts; 676 sums come to the driver, whatever the corpus."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(676, np.int64)
+        for batch in parts:
+            for t in batch.column(0).to_pylist():
+                total += pairs(t or "")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(676), pa.int32()), pa.array(total)], ["pair", "n"])
+
+    rows = docs.select(text_col).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(676)
+    for r in rows:
+        counts[r["pair"]] = r["n"]
+    return Prose(counts)
 
 
 def randomness(s: str, name: str, x: np.ndarray, size: int) -> float:
@@ -98,25 +153,22 @@ def randomness(s: str, name: str, x: np.ndarray, size: int) -> float:
     return min(1.0, 2 * min(battery(x, size), like_words(s))) if name in WORDY else battery(x, size)
 
 
-def p_value(s: str, name: str, x: np.ndarray, size: int) -> float:
-    """p-value of s being a name or words: twice the lesser of two, that letters of prose weigh so little and that a string of
-    DIGITS digits has so many; 1 if the battery of tests shows that s isn't random."""
+def p_value(s: str, name: str, x: np.ndarray, size: int, null: Prose) -> float:
+    """p-value of s being a name or words: twice the lesser of two, that its letters follow each other so seldom in text and that a string
+    of DIGITS digits has so many; 1 if the battery of tests shows that s isn't random."""
     if randomness(s, name, x, size) < RANDOM:
         return 1.0
-    letters = np.array([ord(c) - 97 for c in s.lower() if "a" <= c <= "z"])
-    mean, deviation = _PROSE
-    p = 0.5 * math.erfc((mean - float(_LETTERS[letters].mean())) / deviation * math.sqrt(len(letters) / 2) / math.sqrt(2)) if len(letters) else 1.0
     d, n = sum(c.isdigit() for c in s), len(s)
     q = sum(math.comb(n, k) * DIGITS**k * (1 - DIGITS) ** (n - k) for k in range(d, n + 1)) if n <= 400 else 0.5 * math.erfc((d - n * DIGITS) / math.sqrt(2 * n * DIGITS * (1 - DIGITS)))
-    return min(1.0, 2 * min(p, q))
+    return min(1.0, 2 * min(null.p_text(s), q))
 
 
 def length_bin(n: int) -> int:
     return n.bit_length()  # strata double in length
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Base spans (start, kind, end), sorted; candidates (start, end, stratum, p-value bin) that base spans don't cover whole."""
+def scan(text: str, null: Prose) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, int]]]:
+    """Base spans (start, kind, end), sorted; candidates (start, end, stratum, p-value bin, hash) that base spans don't cover whole."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -131,7 +183,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             if to >= m.start() + len(x):
                 continue
             stratum = length_bin(len(x)) * len(ENCODINGS) + [e[0] for e in ENCODINGS].index(name)
-            more.append((m.start(), m.end(), stratum, min(P_BINS, int(-20 * math.log10(max(p_value(m[0], name, x, size), 1e-300))))))
+            more.append((m.start(), m.end(), stratum, min(P_BINS, int(-20 * math.log10(max(p_value(m[0], name, x, size, null), 1e-300)))), xxhash.xxh3_64_intdigest(m[0]) - 2**63))
     return base, more
 
 
@@ -139,9 +191,10 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of docs: id_col, n_assign, n_access, n_hex, base_sha256, spans.
 
     Base spans are those of the three patterns. Of other runs of 20 or more characters in which an encoding is recognised,
-    those are held to be secrets that the battery of randomness tests accepts and that are told from names and words: by a
-    Benjamini-Hochberg procedure over the p-values of all candidates of a stratum (encoding, and length by powers of two)
-    in all documents, so that of what is reported of each length a share of about `rate` at most is names or words, and
+    those are held to be secrets that the battery of randomness tests accepts and that are told from names and words: by the
+    serial dependence of their letters, against that of the words of all documents, or by their digits. A
+    Benjamini-Hochberg procedure goes over the p-values of all different candidates of a stratum (encoding, and length by powers of
+    two) in all documents, so that of the strings reported of each length a share of about `rate` at most is names or words, and
     short strings aren't judged by the many long ones. P-values are counted in bins rounded up. Null and empty texts have
     no spans; equal texts have equal ones; repeated or null ids do no harm; other columns are not read.
     """
@@ -150,22 +203,24 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in parts:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [scan(t or "") for t in part.column("text").to_pylist()]
+                found = [scan(t or "", null) for t in part.column("text").to_pylist()]
                 counts = [[sum(k == kind for _, k, _ in base) for base, _ in found] for kind in range(3)]
                 spans = [[f"{KINDS[k]}:{a}:{b}" for a, k, b in base] for base, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(",".join(s).encode()).hexdigest() for s in spans]),
-                     pa.array([[{"start": a, "kind": k, "stop": b} for a, k, b in base] for base, _ in found], kind_of_base), pa.array([[dict(zip(("start", "stop", "stratum", "bin"), c, strict=True)) for c in more] for _, more in found], kind_of_more)],
+                     pa.array([[{"start": a, "kind": k, "stop": b} for a, k, b in base] for base, _ in found], kind_of_base), pa.array([[dict(zip(("start", "stop", "stratum", "bin", "hash"), c, strict=True)) for c in more] for _, more in found], kind_of_more)],
                     ["id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more"],
                 )
 
     kind_of_base = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())]))
-    kind_of_more = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32())]))
+    kind_of_more = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32()), ("hash", pa.int64())]))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, stop: long>>, more array<struct<start: long, stop: long, stratum: int, bin: int>>"
+    null = prose(source)
+    schema = f"id {source.schema['id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, stop: long>>, more array<struct<start: long, stop: long, stratum: int, bin: int, hash: long>>"
     found = stored(source.mapInArrow(run, schema), "secrets")
     # a bin b holds p-values of 10 ** -(b / 20) at most: the largest such p within rate * rank / all reports all below it
-    bins = found.select(F.explode("more").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count(F.lit(1)).alias("n"))  # strata times bins at most
+    once = found.select(F.explode("more").alias("c")).select("c.stratum", "c.bin", "c.hash").distinct()  # a string counts once, however many copies
+    bins = once.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))  # strata times bins at most
     w = Window.partitionBy("stratum")
     ranked = bins.withColumn("rank", F.sum("n").over(w.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     cut = ranked.groupBy("stratum").agg(F.min(F.when(F.pow(F.lit(10.0), -F.col("bin") / 20) <= F.lit(rate) * F.col("rank") / F.col("all"), F.col("bin"))).alias("bin")).where("bin is not null")

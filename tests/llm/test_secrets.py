@@ -113,24 +113,63 @@ def test_few_names_among_what_is_reported(spark):
 
 
 def test_random_spans_of_whole_tables_by_the_plain_procedure(spark):
-    """Benjamini-Hochberg over all candidates of a stratum, one by one, on p-values rounded up to the bins."""
+    """Benjamini-Hochberg over all different candidates of a stratum, one by one, on p-values rounded up to the bins."""
     d = "/root/testdata/sf0.01"
     r = random.Random(21)
     key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
     docs = [tuple(x) for x in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     docs += [(10**6 + i, f"see {key(r.choice([20, 24, 32, 40, 70]))} and {''.join(w.capitalize() for w in r.sample(WORDS, 5))}{i % 10}") for i in range(400)]
-    found = {i: S.scan(t or "") for i, t in docs}
+    docs += [(2 * 10**6 + i, docs[-1][1]) for i in range(500)]  # copies
+    null = S.Prose(sum(S.pairs(t or "") for _, t in docs))
+    found = {i: S.scan(t or "", null) for i, t in docs}
+    texts = dict(docs)
     strata = {}
     for i, (_, more) in found.items():
-        for a, b, stratum, bin_ in more:
-            strata.setdefault(stratum, []).append((10.0 ** (-bin_ / 20), i, a, b))
-    kept = {i: [] for i in found}
-    for rows in strata.values():
-        rows.sort()
-        passed = [k for k, (p, *_) in enumerate(rows, 1) if p <= 0.05 * sum(x[0] <= p for x in rows) / len(rows)]
-        for _, i, a, b in rows[: max(passed, default=0)]:
-            kept[i].append((a, 3, b))
+        for a, b, stratum, bin_, _ in more:
+            strata.setdefault(stratum, {})[texts[i][a:b]] = 10.0 ** (-bin_ / 20)
+    kept = set()
+    for stratum, strings in strata.items():
+        rows = sorted((p, x) for x, p in strings.items())
+        passed = [p for p, _ in rows if p <= 0.05 * sum(q <= p for q, _ in rows) / len(rows)]
+        kept |= {(stratum, x) for p, x in rows if passed and p <= max(passed)}
     got = {x.doc_id: x.spans for x in S.secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     names = (*S.KINDS[:3], "random")
-    assert got == {i: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + kept[i])) for i, (base, _) in found.items()}
-    assert sum("random" in s for s in got.values()) > 200
+    assert got == {i: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + [(a, 3, b) for a, b, stratum, *_ in more if (stratum, texts[i][a:b]) in kept])) for i, (base, more) in found.items()}
+    assert sum("random" in s for s in got.values()) > 300
+
+
+def test_letter_pairs_of_texts(spark):
+    texts = [None, "", "Ab, cd e'f", "xy " + "q" * 30 + " yz", "äa b c\ud7ff", "a-b A B", "Z" * 100000]
+    want = {}
+    for t in texts:
+        t = re.sub("([a-z]) ([a-z])", r"\1\2", re.sub("[A-Za-z0-9+/_-]{20,}={0,2}", "  ", t or ""))
+        for x, y in zip(t, t[1:]):
+            if (x + y).isascii() and (x + y).isalpha():
+                want[x.lower() + y.lower()] = want.get(x.lower() + y.lower(), 0) + 1
+    got = sum(S.pairs(t or "") for t in texts)
+    assert {chr(97 + i // 26) + chr(97 + i % 26): int(n) for i, n in enumerate(got) if n} == want
+    null, same = S.prose(spark.createDataFrame([(t,) for t in texts], "text string")), S.Prose(got)
+    assert np.array_equal(null.log, same.log) and abs(S.prose(spark.createDataFrame([], "text string")).mean - S.Prose().mean) < 1e-12
+
+
+def test_recall_and_precision_by_length_and_encoding(spark):
+    """Keys of each length and encoding hidden in documents with as many names; texts of the table are the null."""
+    r = random.Random(33)
+    docs = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    alphabets = {n: a for n, a, _ in S.ENCODINGS}
+    keys, names = [], []
+    for n in (20, 24, 32, 40):
+        for name in ("base62", "base64", "base32", "lower", "letters"):
+            for _ in range(60):
+                keys.append((n, name, "".join(r.choice(alphabets[name]) for _ in range(n))))
+                names.append("".join(w.capitalize() for w in r.sample(WORDS, n // 6 + 1)) + str(r.randrange(10)))
+    rows = [(i, t) for i, t in enumerate(docs)] + [(10**6 + i, f"é {k} y") for i, (_, _, k) in enumerate(keys)] + [(2 * 10**6 + i, f"é {k} y") for i, k in enumerate(names)]
+    got = {x.doc_id: "random" in x.spans for x in S.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {}
+    for i, (n, name, k) in enumerate(keys):
+        recall.setdefault((n, name), []).append(got[10**6 + i])
+    recall = {k: sum(v) / len(v) for k, v in recall.items()}
+    print(recall, sum(got[2 * 10**6 + i] for i in range(len(names))) / len(names))
+    assert all(x >= (0.8 if n == 20 else 0.9) for (n, _), x in recall.items())
+    wrong = sum(got[2 * 10**6 + i] for i in range(len(names)))
+    assert wrong <= 0.1 * (wrong + sum(got[10**6 + i] for i in range(len(keys))))
