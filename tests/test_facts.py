@@ -250,3 +250,31 @@ def test_components(spark):
             if a != b:
                 top[g, a] = top[g, b] = min(top[g, a], top[g, b])
     assert got == top
+
+
+def test_pairs_come_from_classes_in_bounded_blocks(spark, monkeypatch):
+    """Members of one text or line form blocks of a few; a pair comes once, by its best strategy, whatever side finds it."""
+    r = random.Random(4)
+    said = ("alpha beta gamma delta", "alpha beta gamma delta epsilon", "alpha beta", "tiny", None, "a b")
+    rows = [(r.choice("pq") if i % 19 else None, i, r.choice((None, *range(0, 40, 3))), r.choice(said)) for i in range(240)]
+    df = spark.createDataFrame(rows, "f string, o long, line long, said string")
+    monkeypatch.setattr(correlate, "SIDE", 3)
+    monkeypatch.setattr(correlate, "DEALT", 100)
+    sets = [None if t is None else {w for w in t.split() if len(w) > 3} for *_, t in rows]
+    want, like = set(), set()
+    for a, (f, i, x, _) in enumerate(rows):
+        for b, (g, j, y, _) in enumerate(rows):
+            if i < j and f == g and f is not None:
+                near = 1 - abs(x - y) / 10 if x is not None and y is not None and abs(x - y) < 10 else 0.0
+                both = (sets[a] or set()) | (sets[b] or set())
+                share = len((sets[a] or set()) & (sets[b] or set())) / len(both) if both else 0.0
+                words = round(0.7 * share, 6) if share >= 0.3 else 0.0
+                if words:
+                    like.add((f, i, j, words))
+                if max(near, words) >= 0.5:
+                    want.add((f, i, j, round(max(near, words), 6), "location" if near >= words else "semantic"))
+    got = [(x.f, x.a, x.b, round(x.score, 6), x.strategy) for x in correlate.candidates(df, "f", "o", "line", "said").collect()]
+    assert len(got) == len(want) and set(got) == want
+    found = correlate.semantic(df, "f", "o", "said")
+    assert {tuple(x) for x in found.collect()} == like and found.count() == len(like)
+    assert found.rdd.getNumPartitions() >= len(like) // 100
