@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -55,17 +55,27 @@ def markdown(findings: DataFrame) -> DataFrame:
 
 
 def rolled_up(found: DataFrame, *by: str, score: str = "score", places: int = 3) -> DataFrame:
-    """(dimension, value, findings, mean, highest, first): findings by each of the columns and over all (dimension `all`), in one
-    aggregate by grouping sets: how many, their mean score, the highest severity, and the first places (`file:line`) of each."""
+    """(dimension, value, findings, mean, highest, first): findings by each of the columns and over all (dimension `all`): how many,
+    their mean score, the highest severity, and the first places (`file:line`) of each.
+
+    Counts come from one aggregate by grouping sets. The first places of a set are among the first ones of its parts, so each
+    combination of the columns gives its few, each task its few of those, and no row holds all places of a set.
+    """
     rank = F.array_position(F.array(*map(F.lit, rules.SEVERITIES)), F.col("severity"))
-    place = F.concat_ws(":", "file", F.col("line").cast("string"))
-    sets = found.withColumns({"_rank": rank, "_place": place, **{f"_{c}": F.col(c) for c in by}}).groupingSets([[f"_{c}"] for c in by] + [[]], *(f"_{c}" for c in by))
-    bits = lambda i: F.grouping(f"_{by[i]}") == 0
+    held = found.select(F.col(score).alias("_score"), rank.alias("_rank"), F.concat_ws(":", "file", F.col("line").cast("string")).alias("_place"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(by)))
+    names = [f"_{i}" for i in range(len(by))]
+    sets = held.groupingSets([[c] for c in names] + [[]], *names)
     dimension, value = F.lit("all"), F.lit("")
-    for i, c in enumerate(by):
-        dimension, value = F.when(bits(i), c).otherwise(dimension), F.when(bits(i), F.col(f"_{c}").cast("string")).otherwise(value)
-    out = sets.agg(dimension.alias("dimension"), value.alias("value"), F.count(F.lit(1)).alias("findings"), F.round(F.avg(score), 6).alias("mean"), F.max("_rank").alias("r"), F.slice(F.array_sort(F.collect_set("_place")), 1, places).alias("first"))
-    return out.select("dimension", "value", "findings", "mean", F.get(F.array(*map(F.lit, rules.SEVERITIES)), (F.col("r") - 1).cast("int")).alias("highest"), "first")
+    for n, c in zip(names, by, strict=True):
+        dimension, value = F.when(F.grouping(n) == 0, c).otherwise(dimension), F.when(F.grouping(n) == 0, F.col(n).cast("string")).otherwise(value)
+    counts = sets.agg(dimension.alias("dimension"), value.alias("value"), F.count(F.lit(1)).alias("findings"), F.round(F.avg("_score"), 6).alias("mean"), F.max("_rank").alias("r"))
+    least = lambda df, *keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("_place"))).where(F.col("n") <= places).drop("n")
+    parts = least(held.select(*names, "_place").distinct(), *names)
+    every = F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(n).cast("string").alias("value")) for n, c in zip(names, by, strict=True)), F.struct(F.lit("all").alias("dimension"), F.lit("").alias("value")))
+    some = least(parts.select("_place", F.explode(every).alias("s")).select("s.*", "_place").distinct(), "dimension", "value")
+    first = some.groupBy(F.col("dimension").alias("d"), F.col("value").alias("v")).agg(F.array_sort(F.collect_list("_place")).alias("first"))
+    out = counts.join(first, F.col("dimension").eqNullSafe(F.col("d")) & F.col("value").eqNullSafe(F.col("v")), "left")
+    return out.select("dimension", "value", "findings", "mean", F.get(F.array(*map(F.lit, rules.SEVERITIES)), (F.col("r") - 1).cast("int")).alias("highest"), F.coalesce("first", F.array().cast("array<string>")).alias("first"))
 
 
 def cross_checked(found: DataFrame, group: str, tier: str) -> DataFrame:

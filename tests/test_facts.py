@@ -278,3 +278,17 @@ def test_pairs_come_from_classes_in_bounded_blocks(spark, monkeypatch):
     found = correlate.semantic(df, "f", "o", "said")
     assert {tuple(x) for x in found.collect()} == like and found.count() == len(like)
     assert found.rdd.getNumPartitions() >= len(like) // 100
+
+
+def test_rollup_keeps_no_set_of_all_places(spark):
+    """The first places of each set, equal ones once, without an aggregate that collects all of them."""
+    r = random.Random(5)
+    rows = [(f"f{r.randrange(4)}", r.randrange(30), r.choice(("Low", "High", None)), r.choice("ab"), r.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "file string, line long, severity string, category string, score double")
+    rolled = findings.rolled_up(df, "severity", "category", "file")
+    want = {}
+    for f, line, s, c, _ in rows:
+        for key in (("severity", s), ("category", c), ("file", f), ("all", "")):
+            want.setdefault(key, []).append(f"{f}:{line}")
+    assert {(x.dimension, x.value): (x.findings, x["first"]) for x in rolled.collect()} == {k: (len(v), sorted(set(v))[:3]) for k, v in want.items()}
+    assert "collect_set" not in rolled._jdf.queryExecution().optimizedPlan().toString()
