@@ -169,3 +169,25 @@ def test_listings_are_validated(spark):
         "fine": (2, 3, "Add=2,Call=1", True, None), "fall": (1, 2, "Add=2", False, "line 3: places that don't rise"), "bare": (1, 1, "Add=1", False, "line 1: an instruction before any function"), "odd": (1, 0, "", False, "line 2: neither a function nor an instruction"),
         "twice": (2, 1, "Add=1", False, "a function named twice"), "blank": (0, 0, "", False, "no functions"), "null": (0, 0, "", False, "no functions"), None: (1, 0, "", True, None), "huge": (1, 20000, "Op0=6667,Op1=6667,Op2=6666", True, None),
     }
+
+
+def test_rounds_are_tables_and_are_not_sent_to_all(spark):
+    """What is worked out after a search reads tables of its rounds: its plan has few joins, and no round's rows are broadcast."""
+    from auditloom.operators import graph
+
+    edges = spark.createDataFrame([("C", "f", i, i + 1) for i in range(14)] + [("C", "f", 3, 1)], "contract string, func string, src long, dst long")
+    writes = spark.createDataFrame([("C", "f", 13), ("C", "f", 14)], "contract string, func string, block long")
+    found = graph.loops(edges, ["contract", "func"])
+    after = graph.writes_after(found, edges, writes, ["contract", "func"])
+    assert [tuple(x) for x in after.collect()] == [("C", "f", 1, [13, 14])]
+    assert [tuple(x) for x in graph.writes_after(found, edges, writes, ["contract", "func"], most=8).collect()] == []
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 15  # one a round, not one for all before it in each
+    plans = []
+
+    def step(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    flow = spark.createDataFrame([("C", "f", i, [i + 1] if i < 5 else []) for i in range(6)], "contract string, func string, block long, next array<long>")
+    assert [x.path for x in reentrancy.explored(flow, ["contract", "func"], step).collect()] == [[0, 1, 2, 3, 4, 5]]
+    assert not any("Broadcast" in p for p in plans)
