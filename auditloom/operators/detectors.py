@@ -88,14 +88,16 @@ def loop_reentrancy(facts: Facts) -> DataFrame:
 
 def integer_overflow(facts: Facts) -> DataFrame:
     """Products in loops, a product that is divided (the first of each contract), sums over loops; not from version 0.8 on."""
+    product, summed = F.col("stmt").rlike(r"[\w\])]\s*\*(?![*=])\s*[\w(]"), F.col("stmt").rlike(r"^[A-Za-z_$][\w$]+\s*\+=")
+    divided = F.col("stmt").rlike(r"\([^()]*[^*]\*[^*=][^()]*\)\s*/|[\w\])]\s*\*\s*[\w.\[\]]+\s*/")
     stmts = facts.statements.where("NOT checked").withColumn("snippet", F.col("stmt"))
-    looped = within(stmts, facts.loops)
-    product = looped.where(F.col("stmt").rlike(r"[\w\])]\s*\*(?![*=])\s*[\w(]"))
-    divided = stmts.where(F.col("stmt").rlike(r"\([^()]*[^*]\*[^*=][^()]*\)\s*/|[\w\])]\s*\*\s*[\w.\[\]]+\s*/"))
-    first = divided.withColumn("n", F.row_number().over(Window.partitionBy("file", "contract").orderBy("pos"))).where("n = 1")
-    summed = looped.where(F.col("stmt").rlike(r"^[A-Za-z_$][\w$]+\s*\+="))
-    f = lambda rows, kind, sev, score, what: findings(rows, "source-integer-overflow", kind, sev, "High" if score >= 0.8 else "Medium", _at(what), score=F.lit(score))
-    return union([f(product, "integer-overflow-multiplication-loop", "High", 0.9, "Product in a loop at line "), f(first, "integer-overflow-mul-div", "Medium", 0.85, "Product before a division at line "), f(summed, "integer-overflow-accumulation", "Medium", 0.75, "Sum over a loop at line ")])
+    looped = within(stmts.where(product | summed), facts.loops.where("NOT checked"))
+    first = stmts.where(divided).withColumn("n", F.row_number().over(Window.partitionBy("file", "contract").orderBy("pos"))).where("n = 1")
+    kind, line = F.col("k"), F.col("line")
+    what = rules.pick(kind, ("integer-overflow-multiplication-loop", "integer-overflow-accumulation"), ("Product in a loop at line ", "Sum over a loop at line "))
+    each = kinds(looped, (product, "integer-overflow-multiplication-loop", "High", "High"), (summed, "integer-overflow-accumulation", "Medium", "Medium"))
+    in_loops = findings(each, "source-integer-overflow", kind, F.col("s"), F.col("c"), F.concat(what, line), score=F.when(F.col("c") == "High", 0.9).otherwise(0.75))
+    return in_loops.unionByName(findings(first, "source-integer-overflow", "integer-overflow-mul-div", "Medium", "High", _at("Product before a division at line "), score=F.lit(0.85)))
 
 
 def unchecked_return(facts: Facts) -> DataFrame:
@@ -151,8 +153,8 @@ def ast_dos(facts: Facts) -> DataFrame:
 
 
 def gas_limit(facts: Facts) -> DataFrame:
-    params = facts.functions.select("file", "contract", "func", F.regexp_extract("header", r"\(([^)]*)\)", 1).alias("params")).dropDuplicates(["file", "contract", "func"])
-    rows = source_text.gas_limit_findings(facts.loops.where("loop_type = 'For'").join(params, ["file", "contract", "func"])).withColumn("snippet", top_lines())
+    l = facts.loops.where("loop_type = 'For'").withColumn("params", F.regexp_extract("f_header", r"\(([^)]*)\)", 1))
+    rows = source_text.gas_limit_findings(l).withColumn("snippet", top_lines())
     return findings(rows, "source-gas-limit-dos", F.col("finding_type"), F.col("severity"), "High", _at("Loop over an array that callers grow at line "), end_line="end_line")
 
 
@@ -164,19 +166,25 @@ def missing_access_control(facts: Facts) -> DataFrame:
 
 
 def time_vulnerabilities(facts: Facts) -> DataFrame:
-    s = facts.statements.withColumn("snippet", F.col("stmt"))
+    """Statements that read the time or number of the block: a row for each place of each kind, all kinds in one pass."""
+    s = facts.statements.where(F.col("stmt").rlike(r"block\.(?:difficulty|prevrandao|number|timestamp)|now")).withColumn("snippet", F.col("stmt"))
     low, stmt = F.lower("func"), F.col("stmt")
     random = low.rlike(RANDOM)
-    each = lambda pattern: s.withColumn("hit", F.explode(F.regexp_extract_all("stmt", F.lit(pattern), F.lit(0))))
-    hashed = s.where(stmt.rlike(r"\b(keccak256|sha256|sha3)\s*\(") & (stmt.contains("block.timestamp") | stmt.contains("now")) & random)
-    mod = stmt.contains("%")
+    hashed = stmt.rlike(r"\b(keccak256|sha256|sha3)\s*\(") & (stmt.contains("block.timestamp") | stmt.contains("now")) & random
     comparison = stmt.rlike(r"==|!=|<|>")
     timelock = low.rlike("withdraw|claim|unlock") & stmt.rlike(" >=? ") & stmt.rlike("require|revert")
     assigned = stmt.contains("=") & ~comparison & ~stmt.contains("if ") & ~stmt.contains("return ")
-    used = each(r"block\.timestamp\b").where((comparison | stmt.rlike(r"[+\-*/%]")) & ~timelock & ~assigned)
-    f = lambda rows, kind, sev, what: findings(rows, "source-time-vulnerabilities", kind, sev, "High", _at(what))
-    return union([f(each(r"block\.(?:difficulty|prevrandao)\b"), "block-difficulty-source", "High", "Block difficulty at line "), f(hashed, "timestamp-randomness-source", "High", "Hash of the time at line "),
-                  f(each(r"block\.number\b").where(random), "block-number-randomness-source", "Medium", "Block number at line "), f(used, "timestamp-source", F.when(mod, "High").otherwise("Medium"), "Time used at line ")])
+    used = (comparison | stmt.rlike(r"[+\-*/%]")) & ~timelock & ~assigned
+    places = lambda pattern: F.size(F.regexp_extract_all("stmt", F.lit(pattern), F.lit(0)))
+    each = lambda n, kind, severity, what: F.array_repeat(F.struct(F.lit(kind).alias("k"), severity.alias("s"), F.lit(what).alias("w")), n)
+    found = F.concat(
+        each(places(r"block\.(?:difficulty|prevrandao)\b"), "block-difficulty-source", F.lit("High"), "Block difficulty at line "),
+        each(F.when(hashed, 1).otherwise(0), "timestamp-randomness-source", F.lit("High"), "Hash of the time at line "),
+        each(F.when(random, places(r"block\.number\b")).otherwise(0), "block-number-randomness-source", F.lit("Medium"), "Block number at line "),
+        each(F.when(used, places(r"block\.timestamp\b")).otherwise(0), "timestamp-source", F.when(stmt.contains("%"), "High").otherwise("Medium"), "Time used at line "),
+    )
+    rows = s.withColumn("_", F.explode(found)).select(*s.columns, "_.*")
+    return findings(rows, "source-time-vulnerabilities", F.col("k"), F.col("s"), "High", F.concat("w", "line"))
 
 
 def simple_timestamp(facts: Facts) -> DataFrame:
@@ -232,19 +240,21 @@ def unchecked_overflow(facts: Facts) -> DataFrame:
 
 @dataclass(frozen=True)
 class Detector:
-    """What the registry knows of a detector; run: Facts to findings."""
+    """What the registry knows of a detector; run: Facts to findings; again: it reads the functions more than once, so that they
+    are to be a table."""
 
     id: str
     severity: str
     confidence: str
     run: Callable[[Facts], DataFrame]
     enabled: bool = True
+    again: bool = False
 
 
 DETECTORS = (
-    Detector("classic-reentrancy", "High", "High", classic_reentrancy), Detector("source-loop-reentrancy", "High", "High", loop_reentrancy), Detector("source-integer-overflow", "High", "High", integer_overflow),
-    Detector("source-unchecked-return", "Medium", "High", unchecked_return), Detector("source-dangerous-functions", "High", "High", dangerous_functions), Detector("source-delegatecall", "Critical", "High", delegatecall),
+    Detector("classic-reentrancy", "High", "High", classic_reentrancy), Detector("source-loop-reentrancy", "High", "High", loop_reentrancy, again=True), Detector("source-integer-overflow", "High", "High", integer_overflow, again=True),
+    Detector("source-unchecked-return", "Medium", "High", unchecked_return), Detector("source-dangerous-functions", "High", "High", dangerous_functions, again=True), Detector("source-delegatecall", "Critical", "High", delegatecall),
     Detector("source-dos-vulnerabilities", "High", "High", dos), Detector("source-gas-limit-dos", "Critical", "High", gas_limit), Detector("source-missing-access-control", "Critical", "High", missing_access_control),
     Detector("simple-timestamp", "Medium", "Medium", simple_timestamp), Detector("source-unchecked-overflow", "High", "High", unchecked_overflow),
-    Detector("ast-dos-vulnerabilities", "High", "High", ast_dos, False), Detector("source-time-vulnerabilities", "High", "High", time_vulnerabilities, False), Detector("unchecked-arithmetic", "High", "High", unchecked_arithmetic, False),
+    Detector("ast-dos-vulnerabilities", "High", "High", ast_dos, False, True), Detector("source-time-vulnerabilities", "High", "High", time_vulnerabilities, False), Detector("unchecked-arithmetic", "High", "High", unchecked_arithmetic, False, True),
 )

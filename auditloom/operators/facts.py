@@ -7,6 +7,9 @@ All relations have file, contract and line (from 1 on).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +20,10 @@ from ..sources.tables import written
 KEYWORDS = ("public", "external", "internal", "private", "view", "pure", "payable", "virtual", "override", "returns", "constant", "memory", "calldata", "storage")
 #: What a modifier's name contains, in lower case, if it restricts access.
 ACCESS = ("only", "auth", "admin", "owner", "require")
+SPACE = " \t\n\x0b\f\r"  # what \s stands for
 #: What in a block checks the calls in it.
 CHECKS = r"require\(|assert\(|\nif "
+METHOD = r"\.(?:call|delegatecall|staticcall|transfer|send)"  # told faster than CALL
 CALL = r"((?:[\w$]+(?:\([^()]*\)|\[[^\[\]]*\])*\.)*[\w$]+(?:\([^()]*\)|\[[^\[\]]*\])*)\.(call|delegatecall|staticcall|transferFrom|transfer|send)\s*(?:\{[^{}]*\})?\s*(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))"
 
 
@@ -74,14 +79,17 @@ def pieces(sources: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(text, r"\{(\s*(?:value|gas|salt)\s*:[^{};]*)\}", "\x02$1\x03"), r"\(\{([^{};]*)\}\)", "(\x02$1\x03)")  # nor options and fields of a call
     checked = F.coalesce(rules.version(F.col("content")) >= F.struct(F.lit(0), F.lit(8), F.lit(0)), F.lit(False))
     n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: few bytes are much work here
-    cut = sources.repartition(n, "file").select("file", checked.alias("checked"), F.posexplode(F.split(text, r"(?<=[{};])")).alias("pos", "raw")).withColumn("raw", F.translate("raw", "\x01\x02\x03", ";{}"))
+    cut = sources.repartition(n, "file").select("file", checked.alias("checked"), F.split(text, r"(?<=[{};])").alias("cut"))  # once a file: what stands beside a generator is worked out for each row
+    cut = cut.select("file", "checked", F.posexplode_outer("cut").alias("pos", "raw"))  # of a plain one Spark infers a filter, which would cut each text twice
+    raw = F.col("raw")
+    cut = cut.withColumn("raw", F.when(raw.contains("\x01") | raw.contains("\x02") | raw.contains("\x03"), F.translate("raw", "\x01\x02\x03", ";{}")).otherwise(raw))
     order = Window.partitionBy("file").orderBy("pos")
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     end = F.substring(F.rtrim("raw"), -1, 1)
-    step = F.when(F.col("raw").rlike(r"\)\s*$|[^}]\s*$") & (end == "{"), 1).when(end == "}", -1).otherwise(0)
-    out = cut.withColumns({"piece": F.regexp_replace("raw", r"^\s+|\s+$", ""), "step": step})
+    step = F.when(end == "{", 1).when(end == "}", -1).otherwise(0)
+    out = cut.withColumns({"piece": F.btrim("raw", F.lit(SPACE)), "step": step})
     before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumns({"before": before("step"), "line": 1 + before(newlines(F.col("raw"))) + newlines(F.regexp_extract("raw", r"^\s*", 0))})
+    out = out.withColumns({"before": before("step"), "line": 1 + before(newlines(F.col("raw"))) + newlines(F.col("raw")) - newlines(F.ltrim("raw", F.lit(SPACE)))})
     out = out.withColumn("after", F.col("before") + F.col("step"))
     # from the last piece on, the closing piece of a level seen last is the next one of an opening piece
     level = F.when(F.col("step") == 1, F.col("before")).otherwise(F.col("after"))
@@ -89,7 +97,7 @@ def pieces(sources: DataFrame) -> DataFrame:
     closing = F.last(F.when(F.col("step") == -1, F.struct(F.col("pos").alias("end"), (F.col("line") + newlines(F.col("piece"))).alias("end_line"))), ignorenulls=True).over(back)
     opens = F.col("step") == 1
     out = out.withColumn("level", level).withColumn("closing", closing)
-    out = out.withColumns({"end": F.when(opens, F.coalesce("closing.end", F.lit(2**31 - 1))), "end_line": F.when(opens, F.coalesce("closing.end_line", "line")), "header": F.when(opens, F.regexp_replace("piece", r"\s*\{$", ""))}).drop("closing", "level")
+    out = out.withColumns({"end": F.when(opens, F.coalesce("closing.end", F.lit(2**31 - 1))), "end_line": F.when(opens, F.coalesce("closing.end_line", "line")), "header": F.when(opens, F.rtrim(F.substr("piece", F.lit(1), F.length("piece") - 1), F.lit(SPACE)))}).drop("closing", "level")
     around = order.rowsBetween(Window.unboundedPreceding, 0)
     top = F.when(opens & F.col("header").rlike(CONTRACT), F.struct(F.regexp_extract("header", CONTRACT, 2).alias("contract"), F.regexp_extract("header", CONTRACT, 1).alias("kind"), F.col("pos").alias("c_pos"), F.col("end").alias("c_end")))
     member = F.when(opens & (F.col("before") == 1), F.struct(F.col("pos").alias("m_pos"), F.col("end").alias("m_end")))
@@ -165,7 +173,7 @@ def statements(funcs: DataFrame) -> DataFrame:
 def spans(funcs: DataFrame, keep: Column) -> DataFrame:
     """(file, contract, func, f_pos, pos, end, line, end_line, header, body) of the blocks within functions whose header (a column of
     that name) keep accepts."""
-    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), "all", F.explode(F.filter("all", lambda p: p["step"] == 1)).alias("p"))
+    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), "all", F.explode_outer(F.filter("all", lambda p: p["step"] == 1)).alias("p"))
     held = opened.withColumn("header", F.regexp_replace("p.piece", r"\s*\{$", "")).where(keep)
     body = _text(F.filter("all", lambda x: (x["pos"] > F.col("p.pos")) & (x["pos"] <= F.col("p.end"))))
     return held.select("file", "contract", "func", "f_pos", "p.pos", "p.end", "p.line", "p.end_line", "header", body.alias("body"))
@@ -191,7 +199,7 @@ def calls(funcs: DataFrame) -> DataFrame:
     A call is checked by what its statement says, or by a requirement anywhere in the innermost block around it, which is as
     far as four levels of syntax reach: expression, its statement in two, block. Blocks further out don't count.
     """
-    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), F.col("end").alias("f_end"), "all", F.explode(F.filter("all", lambda p: p["piece"].rlike(CALL))).alias("p")).where("p.pos < f_end")
+    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), F.col("end").alias("f_end"), "all", F.explode_outer(F.filter("all", lambda p: p["piece"].rlike(METHOD) & p["piece"].rlike(CALL))).alias("p")).where("p.pos < f_end")
     block = F.try_element_at(F.filter("all", lambda x: (x["step"] == 1) & (x["pos"] < F.col("p.pos")) & (x["end"] > F.col("p.pos"))), F.lit(-1))  # pieces are in order: the last one is the innermost
     held = opened.withColumn("block", block)
     since, until = F.coalesce("block.pos", "f_pos"), F.coalesce("block.end", "f_end")
@@ -214,12 +222,12 @@ def assignments(stmts: DataFrame) -> DataFrame:
 
 def loops(funcs: DataFrame) -> DataFrame:
     """(file, contract, func, f_pos, pos, end, line, end_line, loop_type, condition, body, contains_external_calls,
-    contains_storage_writes, iterates_over_length); nested loops are rows of their own.
+    contains_storage_writes, iterates_over_length, checked, f_header); nested loops are rows of their own.
 
     A loop may stand after conditions (`else if (x) for (...)`), and its body may be a statement without braces: it is then
     the rest of the piece, or that and the block that the piece opens.
     """
-    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), "all", F.explode("all").alias("p"))
+    opened = funcs.select("file", "contract", "func", F.col("pos").alias("f_pos"), "checked", F.col("header").alias("f_header"), "all", F.explode("all").alias("p"))
     maybe = opened.where(F.col("p.piece").rlike(r"^(?:(?:else|if)\b.*)?\b(?:for|while)\s*\((?s:.*)|^do\b"))
     g = F.when(F.col("p.piece").rlike(r"^do\b"), F.lit(None)).otherwise(grouped(F.col("p.piece")))
     held = maybe.withColumn("g", g).withColumn("skeleton", F.array_join("g.outer", "()"))
@@ -240,27 +248,50 @@ def loops(funcs: DataFrame) -> DataFrame:
     writes = F.size(F.regexp_extract_all("body", F.lit(r"(?:^|[;{})])\s*[\w$]+(?:\.[\w$]+|\[[^\]]*\])*\s*(?:[+\-*/%]?=)(?![=>])"), F.lit(0)))
     return held.select(
         "file", "contract", "func", "f_pos", "p.pos", F.coalesce("p.end", "p.pos").alias("end"), "p.line", F.coalesce("p.end_line", "p.line").alias("end_line"), F.col("kind").alias("loop_type"), "condition", "body",
-        F.col("body").rlike(r"\.(call|delegatecall|staticcall|transfer|send)\b\s*[({]").alias("contains_external_calls"), (writes > 2).alias("contains_storage_writes"), (F.col("condition").contains(".length") | F.col("body").contains(".length")).alias("iterates_over_length"),
+        F.col("body").rlike(r"\.(call|delegatecall|staticcall|transfer|send)\b\s*[({]").alias("contains_external_calls"), (writes > 2).alias("contains_storage_writes"), (F.col("condition").contains(".length") | F.col("body").contains(".length")).alias("iterates_over_length"), "checked", "f_header",
     )
 
 
 class Facts:
     """All relations of sources (file, content): members() is worked out by one exchange, and the others are read off its rows.
-    keep: members, functions and loops as tables of their own, for more than a detector or two."""
+    keep: which of members, functions and loops are tables of their own, written at their first use; for what reads them more
+    than once, as a plan works out each use of a relation anew."""
 
-    def __init__(self, sources: DataFrame, keep: bool = False):
-        table = written if keep else lambda df, name: df
+    def __init__(self, sources: DataFrame, keep: Iterable[str] = ()):
         self.sources = sources.select("file", "content")
+        self.keep = frozenset(keep)
         self.parts = pieces(self.sources)
-        rows = members(self.parts)
-        if keep:
-            rows = written(rows, "members")
-        self.functions = table(functions(rows), "functions")
-        self.statements = statements(self.functions)
-        self.modifiers = modifiers(rows)
-        self.loops = table(loops(self.functions), "loops")
-        self.calls = calls(self.functions)
-        self.assignments = assignments(self.statements)
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name) if name in self.keep else df
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self._kept(members(self.parts), "members")
+
+    @cached_property
+    def functions(self) -> DataFrame:
+        return self._kept(functions(self.members), "functions")
+
+    @cached_property
+    def loops(self) -> DataFrame:
+        return self._kept(loops(self.functions), "loops")
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        return statements(self.functions)
+
+    @cached_property
+    def modifiers(self) -> DataFrame:
+        return modifiers(self.members)
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return calls(self.functions)
+
+    @cached_property
+    def assignments(self) -> DataFrame:
+        return assignments(self.statements)
 
     def functions_with_modifier(self, name: str) -> DataFrame:
         return self.functions.where(F.array_contains("modifiers", name))

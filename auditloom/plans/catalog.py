@@ -313,7 +313,7 @@ def td_markdown_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _scanned(detector: detectors.Detector):
     def f(spark: SparkSession, d: str) -> DataFrame:
-        found = detector.run(Facts(C.sources(spark, d)))
+        found = detector.run(Facts(C.sources(spark, d), keep=["functions"] if detector.again else ()))
         return found.select("file", "scanner_id", "finding_type", "severity", "confidence", "function", "line")
 
     f.__name__ = "td_scan_" + detector.id.replace("source-", "").replace("-", "_")
@@ -327,7 +327,7 @@ for _d in detectors.DETECTORS:
 @query(f"""WITH f AS ({C.findings_sql()}) SELECT scanner_id, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(*) FILTER (severity = 'Informational') AS informational, count(*) AS total FROM f GROUP BY 1""")
 def td_scan_all(spark: SparkSession, d: str) -> DataFrame:
     """Every detector of the registry in one plan."""
-    return findings.severity_counts(scan.detected(Facts(C.sources(spark, d), keep=True), scan.selected(every=True)), "scanner_id")
+    return findings.severity_counts(scan.detected(Facts(C.sources(spark, d), keep=("functions", "loops")), scan.selected(every=True)), "scanner_id")
 
 
 @query(f"""WITH {C.USED}, f(i, visibility, mutability, modifiers, params, fin) AS ({C.values(C.FUNCTION_FACTS)}) SELECT file, name AS func, visibility, mutability, modifiers, params, CAST(base AS BIGINT) AS line, CAST(base + fin AS BIGINT) AS end_line FROM used JOIN f USING (i) JOIN size USING (i)""")
@@ -355,7 +355,7 @@ def td_facts_assignments(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {C.USED} SELECT file, 'onlyOwner' AS name, CAST(max(base + n) AS BIGINT) AS line, true AS is_access_control, coalesce(max(CASE WHEN i = 6 THEN 'setOwner' END), '') AS used_by FROM used JOIN size USING (i) GROUP BY file""")
 def td_facts_modifiers(spark: SparkSession, d: str) -> DataFrame:
     """Modifiers, and the functions that are restricted by them."""
-    facts = Facts(C.sources(spark, d))
+    facts = Facts(C.sources(spark, d), keep=["members"])
     used = facts.access_modifiers().groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("func")), ",").alias("used_by"))
     return facts.modifiers.join(used, "file", "left").select("file", "name", F.col("line").cast("long").alias("line"), "is_access_control", F.coalesce("used_by", F.lit("")).alias("used_by"))
 
@@ -521,7 +521,7 @@ def td_model_findings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH f AS ({C.findings_sql()}), g AS (SELECT file, function, line, max(CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END) AS s, count(DISTINCT scanner_id) AS n FROM f WHERE scanner_id IN ('source-delegatecall', 'source-dangerous-functions', 'source-unchecked-return') GROUP BY ALL) SELECT file, function, line, (['Informational', 'Low', 'Medium', 'High', 'Critical'])[s + 1] AS severity, n AS scanners FROM g""")
 def td_scan_composite(spark: SparkSession, d: str) -> DataFrame:
     """Three detectors as one."""
-    facts = Facts(C.sources(spark, d), keep=True)
+    facts = Facts(C.sources(spark, d), keep=["functions"])
     parts = [x.run(facts) for x in scan.selected(["source-delegatecall", "source-dangerous-functions", "source-unchecked-return"])]
     return scan.composite(parts).select("file", "function", "line", "severity", F.size("scanners").cast("long").alias("scanners"))
 

@@ -101,7 +101,7 @@ def known_safe(found: DataFrame, sources: DataFrame) -> DataFrame:
 def scan(sources: DataFrame, *, ids: Iterable[str] | None = None, every: bool = False, least_score: float = 0.6, failed: list | None = None) -> DataFrame:
     """Findings of sources (file, content): contracts that are examples or tests are left out, then unsure findings, those not
     worth a report and those known to be safe; of what is near each other one is kept. With priority; sort by ordered()."""
-    facts = Facts(sources.where("content IS NOT NULL"), keep=True)
+    facts = Facts(sources.where("content IS NOT NULL"), keep=("functions", "loops"))
     found = detected(facts, selected(ids, every=every), failed).where(~rules.skipped_contract(F.col("contract"))).where(F.col("score") >= least_score)
     found = found.where(~rules.suppressed(F.col("score"), F.col("function"), F.col("finding_type"), F.col("severity"), F.col("confidence")))
     return P.deduplicated(known_safe(found, sources))

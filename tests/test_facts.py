@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import rules
 from auditloom.operators import correlate, detectors, findings, graph, prompts
-from auditloom.operators.facts import Facts
-from auditloom.plans import scan
+from auditloom.operators.facts import Facts, pieces
+from auditloom.plans import catalog, scan
 
 AUCTION = """pragma solidity ^0.8.0;
 contract Auction is Base, Other {
@@ -194,6 +194,42 @@ def test_one_scan_and_one_exchange(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_a_text_is_cut_once_and_its_version_read_once_a_file(spark):
+    source = spark.createDataFrame([(f"{i}.sol", OVERLOADS) for i in range(3)], "file string, content string").localCheckpoint()
+    plan = pieces(source)._jdf.queryExecution().executedPlan().toString().split("Generate ")
+    assert len(plan) == 2 and "pragma" not in plan[0] and "pragma" in plan[1]  # below the generator
+    assert "Filter" not in plan[1]  # such as infers that there are pieces, and cuts each text to know
+
+
+def test_what_reads_facts_more_than_once_reads_tables(spark, tmp_path):
+    spark.range(8).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("td_scan_integer_overflow", "td_scan_unchecked_arithmetic", "td_scan_loop_reentrancy", "td_scan_composite", "td_facts_modifiers"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("(?<=[{};])") <= (name == "td_scan_unchecked_arithmetic"), name  # there the contract's own pieces
+    for name in ("td_scan_time_vulnerabilities", "td_scan_gas_limit_dos"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("(?<=[{};])") == 1, name
+
+
+OVERLOADS = """pragma solidity ^0.7.0;
+contract A {
+    function f(uint n) external { x = n; }
+    function f(address[] memory a) external { for (uint i = 0; i < a.length; i++) { a[i].transfer(1); } }
+    function f(address a) external { x = block.timestamp % 2 + block.timestamp * block.number; }
+    function pickWinner() external { x = uint(keccak256(abi.encode(block.timestamp))) % block.number; }
+}
+"""
+
+
+def test_loops_are_of_their_own_function_and_times_are_counted_by_place(spark):
+    f = Facts(spark.createDataFrame([("o.sol", OVERLOADS)], "file string, content string"))
+    assert [(r.line, r.function) for r in scan.detected(f, scan.selected(["source-gas-limit-dos"])).collect()] == [(4, "f")]
+    times = scan.detected(f, scan.selected(["source-time-vulnerabilities"]))
+    assert sorted((r.line, r.finding_type, r.severity, r.confidence) for r in times.collect()) == [(6, "block-number-randomness-source", "Medium", "High"), (6, "timestamp-randomness-source", "High", "High")]
+    over = spark.createDataFrame([("u.sol", OVERLOADS.replace("{ x = block", "{ return block"))], "file string, content string")
+    assert sorted((r.line, r.finding_type) for r in scan.detected(Facts(over), scan.selected(["source-time-vulnerabilities"])).collect())[:2] == [(5, "timestamp-source"), (5, "timestamp-source")]
+
+
 def test_groups_by_the_best_of_three_strategies(spark):
     """Against the plain loop over findings, groups, members and strategies."""
     r = random.Random(9)
